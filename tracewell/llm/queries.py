@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lengths
+from . import bpe, langid, lengths, ogg, token_files
 from .common import table
 
 
@@ -14,12 +14,27 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), bpe.tokenizer_text())
 
 
+def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_features(ogg.media_column(table(spark, sf_dir, "documents")))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(spark, table(spark, sf_dir, "documents"), bpe.tokenizer_text("word_bpe_49k.json"))[0]
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_length_histogram(table(spark, sf_dir, "documents"), bpe.tokenizer_text())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_tree": op2_bpe_tree,
+    "op3_ogg_media": op3_ogg_media,
+    "op4_token_files": op4_token_files,
+    "op8_language_id": op8_language_id,
     "op9_token_lengths": op9_token_lengths,
 }
 

@@ -50,6 +50,16 @@ def normal(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
+def byte_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes, wherever it stands."""
+    up, down = _powers_of(len(data))
+    with np.errstate(over="ignore"):
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_LETTER[data] * up, out=total[1:])
+        return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, offsets): text k has the words offsets[k]:offsets[k + 1]."""
     parts = [normal(t) for t in texts]
@@ -60,13 +70,7 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if inside.size and inside[0]:
         edge = np.concatenate(([0], edge))
     begin, end = edge[::2], edge[1::2]  # the data end with a newline, so every word ends
-    up, down = _powers_of(len(data))
-    with np.errstate(over="ignore"):
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_LETTER[data] * up, out=total[1:])
-        hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    return hashes, np.searchsorted(begin, starts)
+    return byte_hashes(data, begin, end), np.searchsorted(begin, starts)
 
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
