@@ -91,10 +91,11 @@ def train(docs: DataFrame, label: str = "lang", buckets: int = BUCKETS, smoothin
             yield pa.RecordBatch.from_arrays([pa.array([y] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["label", "bucket", "n"])
 
     found = rows.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    names = sorted(r.label for r in found.where(F.col("bucket") == buckets).select("label").limit(MOST_LANGUAGES + 1).collect())
+    counts = found.limit(MOST_LANGUAGES * (buckets + 1) + 1).toPandas()
+    names = sorted(counts["label"][counts["bucket"] == buckets])
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
-    return names, _matrix(names, found.toPandas() if names else None, buckets, smoothing)
+    return names, _matrix(names, counts, buckets, smoothing)
 
 
 def _matrix(names: list[str], counts, buckets: int, smoothing: float) -> np.ndarray:
