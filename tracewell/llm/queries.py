@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lengths, ogg, token_files
+from . import bpe, langid, lengths, ogg, token_files, toxicity
 from .common import table
 
 
@@ -15,13 +15,17 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.media_features(ogg.media_column(table(spark, sf_dir, "documents")))
+    return ogg.stored_features(table(spark, sf_dir, "documents"))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(spark, table(spark, sf_dir, "documents"), bpe.tokenizer_text("word_bpe_49k.json"))[0]
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_tree": op2_bpe_tree,
     "op3_ogg_media": op3_ogg_media,
     "op4_token_files": op4_token_files,
+    "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_token_lengths": op9_token_lengths,
 }
