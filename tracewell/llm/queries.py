@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lengths, ogg, token_files, toxicity
+from . import bpe, decontam, langid, lengths, ogg, token_files, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(spark, table(spark, sf_dir, "documents"), bpe.tokenizer_text("word_bpe_49k.json"))[0]
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_tree": op2_bpe_tree,
     "op3_ogg_media": op3_ogg_media,
     "op4_token_files": op4_token_files,
+    "op5_decontamination": op5_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_token_lengths": op9_token_lengths,
