@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import column, groups, texts_of, with_text
@@ -27,7 +28,7 @@ PAGE_BYTES = 32_768
 MAGIC = b"\x7fSAMPLE8"
 CONTINUED, FIRST, LAST = 1, 2, 4
 NO_GRANULE = -1
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 _HEAD = struct.Struct("<4sBBqIIIB")
 _ID = struct.Struct("<8sBBIIQ")
 _MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
@@ -194,18 +195,40 @@ def media_column(docs: DataFrame) -> DataFrame:
     return with_text(docs).mapInArrow(run, "doc_id long, media binary, n_bytes long")
 
 
+FEATURES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+FEATURE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _features(keys: pa.Array, sizes: pa.Array, blobs: list[bytes]) -> pa.RecordBatch:
+    rows = []
+    for blob in blobs:
+        tracks = read_ogg(blob)
+        data = payload_of(tracks)
+        rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(blob), hashlib.sha256(blob).hexdigest(), feature_of(tracks, np.frombuffer(data, np.uint8))))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([keys, sizes, *(pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True))], FEATURES)
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """What reading the stored bytes back gives: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 64 samples), media_bytes, media_sha256, feature. A broken file is an error, not a row less."""
+    """What reading a media column back gives: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 64 samples), media_bytes, media_sha256, feature. A broken file is an error, not a row less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for blob in column(batch, "media").to_pylist():
-                tracks = read_ogg(blob)
-                data = payload_of(tracks)
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(blob), hashlib.sha256(blob).hexdigest(), feature_of(tracks, np.frombuffer(data, np.uint8))))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            keys, sizes, blobs = (column(batch, c) for c in ("doc_id", "n_bytes", "media"))
+            for x, y in groups(pc.fill_null(pc.binary_length(blobs), 0).to_pylist(), BATCH_CHARS):
+                yield _features(keys[x:y], sizes[x:y], blobs[x:y].to_pylist())
+
+    return media.mapInArrow(run, FEATURE_SCHEMA)
+
+
+def stored_features(docs: DataFrame) -> DataFrame:
+    """media_features(media_column(docs)) in one task: each file is written, and its bytes read back, without a second passage between Spark and Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = column(batch, "doc_id"), column(batch, "text")
+            for x, y in groups(pc.binary_length(texts).to_pylist(), BATCH_CHARS):
+                data = [t.encode() for t in texts[x:y].to_pylist()]
+                yield _features(keys[x:y], pa.array(list(map(len, data)), pa.int64()), [write_ogg(padded(d)) for d in data])
+
+    return with_text(docs).mapInArrow(run, FEATURE_SCHEMA)
