@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, lengths, neardup, ogg, token_files, toxicity
+from . import bpe, decontam, html_text, langid, lengths, neardup, ogg, token_files, toxicity
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_length_histogram(table(spark, sf_dir, "documents"), bpe.tokenizer_text())
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_tree": op2_bpe_tree,
     "op3_ogg_media": op3_ogg_media,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_token_lengths": op9_token_lengths,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {}
