@@ -212,3 +212,22 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
     return reduce(DataFrame.unionByName, found)
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of documents, as they are, that hold no test item; without a shuffle, as each task judges its own rows."""
+    spark = docs.sparkSession
+    for index in _indexes(items):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                texts = [t or "" for t in texts_of(batch)]
+                held = np.zeros(len(texts), bool)
+                for x, y in groups([len(t) for t in texts], CHUNK_CHARS):
+                    held[[x + d for d, *_ in matches(index, texts[x:y])]] = True
+                yield batch.filter(pa.array(~held))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
