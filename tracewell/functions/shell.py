@@ -41,9 +41,12 @@ def runs_git_commit(command: str | None) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
-def git_commit(commands: pd.Series) -> pd.Series:
-    return commands.map(runs_git_commit)
+def git_commit(command: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(commands: pd.Series) -> pd.Series:
+        return commands.map(runs_git_commit)
+
+    return run(command)
 
 
 def says_failed(response: Column) -> Column:
