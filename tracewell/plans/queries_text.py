@@ -234,16 +234,17 @@ def tool_failures(x: Tables) -> DataFrame:
     return x.events.select("event_id", shell.says_failed(response).alias("failed"))
 
 
-@query("""WITH k AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 'context' WHEN 'A' THEN 'add' ELSE 'del' END AS kind FROM lineitem)
-SELECT l_orderkey, l_linenumber, kind, CASE WHEN kind <> 'add' THEN 10 + coalesce(sum((kind <> 'add')::INT) OVER w, 0) ELSE 0 END::BIGINT AS old_line, CASE WHEN kind <> 'del' THEN 20 + coalesce(sum((kind <> 'del')::INT) OVER w, 0) ELSE 0 END::BIGINT AS new_line FROM k WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+@query("""WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE l_returnflag WHEN 'N' THEN 'context' WHEN 'A' THEN 'add' ELSE 'del' END AS kind FROM lineitem)
+SELECT l_orderkey, l_linenumber, kind, CASE WHEN kind <> 'add' THEN 10 + coalesce(sum((kind <> 'add')::INT) OVER w, 0) ELSE 0 END::BIGINT AS old_line, CASE WHEN kind <> 'del' THEN 20 + coalesce(sum((kind <> 'del')::INT) OVER w, 0) ELSE 0 END::BIGINT AS new_line FROM k WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def diff_numbering(x: Tables) -> DataFrame:
     k = _diff_kind(x)
-    return df_.numbered_lines(k, ["l_orderkey"], "l_linenumber", "kind", F.lit(10), F.lit(20)).withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("old_line", "new_line")})
+    return df_.numbered_lines(k, ["l_orderkey"], "pos", "kind", F.lit(10), F.lit(20)).withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("old_line", "new_line")}).drop("pos")
 
 
 def _diff_kind(x: Tables) -> DataFrame:
     f = F.col("l_returnflag")
-    return x.lineitem.select("l_orderkey", "l_linenumber", F.when(f == "N", "context").when(f == "A", "add").otherwise("del").alias("kind"))
+    kind = F.when(f == "N", "context").when(f == "A", "add").otherwise("del")
+    return x.lineitem.select("l_orderkey", "l_linenumber", kind.alias("kind"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", kind.alias("kind")).alias("pos"))
 
 
 @query("SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS additions, count(*) FILTER (l_returnflag = 'R') AS deletions FROM lineitem GROUP BY 1")
