@@ -48,7 +48,8 @@ def patch_rows(sha: str, patch: str) -> list[tuple]:
         target = tag["rename to "] or tag["copy to "]
         old = unquoted(origin) if origin else side_path(tag["--- "]) if tag["--- "] else None
         new = unquoted(target) if target else side_path(tag["+++ "]) if tag["+++ "] else None
-        guess = unquoted(lines[0].rpartition(" b/")[2]) if " b/" in lines[0] else lines[0]
+        quoted = re.search(r'"b/(?:\\.|[^"\\])*"$', lines[0])
+        guess = unquoted(quoted[0])[2:] if quoted else lines[0].rpartition(" b/")[2]
         path = new or (old if status == "deleted" else None) or guess
         is_binary = any(x.startswith(("Binary files ", "GIT binary patch")) for x in lines)
         digits = re.match(r"\d+", tag["similarity index "] or "")

@@ -43,10 +43,13 @@ def parse_notes(notes: DataFrame, sha: str = "commit_sha", body: str = "body") -
     oldest first. A body that is no JSON, is empty, has a line of another shape or mixes changes is unreadable,
     with a reason, and gives no entries.
     """
-    whole = F.try_parse_json(F.col(body))
+    full = F.filter(F.split(F.col(body), "\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != "")
+    # the parser stops after one value, so a body of several lines is one document only if its first line is none
+    single = (F.size(full) <= 1) | F.try_parse_json(F.element_at(full, 1)).isNull()
+    whole = F.when(single, F.try_parse_json(F.col(body)))
     is_line = F.try_variant_get(whole, "$.entry.change_id", "string").isNotNull()
     envelope = F.try_variant_get(whole, "$.entries", "array<variant>")
-    lines = F.array_sort(F.array_distinct(F.filter(F.split(F.col(body), "\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != "")))
+    lines = F.array_sort(F.array_distinct(full))
     n = notes.select(
         F.col(sha).alias("sha"), whole.isNotNull().alias("whole"),
         F.when(whole.isNotNull() & ~is_line & envelope.isNotNull(), "legacy-envelope").otherwise("jsonl").alias("format"),
