@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,13 @@ def groups(lengths: list[int] | np.ndarray, most: int) -> Iterator[tuple[int, in
         yield start, len(lengths)
 
 
+def text_groups(batch: pa.RecordBatch, most: int, name: str = "text") -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, row after the last, texts) of runs of rows of about `most` bytes of text; nulls as empty texts. Only one run is held as Python strings at a time."""
+    texts = column(batch, name)
+    for x, y in groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most):
+        yield x, y, [t or "" for t in texts[x:y].to_pylist()]
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
