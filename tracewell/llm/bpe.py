@@ -26,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column, groups, texts_of, with_text
+from .common import column, text_groups, with_text
 
 #: Characters of a leaf; bytes that a boundary keeps from an edge, over the pattern's look-ahead; pre-tokens of more tokens are joined inside.
 LEAF_CHARS, MARGIN, LONG_PIECE = 32_768, 16, 256
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: Fixed value: the pre-token pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a short text may hold so that both libraries surely split it alike: ASCII and Latin letters and marks.
@@ -218,10 +218,10 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, leaf_chars: int = LEA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = encoder(js.value, leaf_chars)
         for batch in batches:
-            keys, texts = column(batch, "doc_id"), texts_of(batch)
-            for x, y in groups([len(t) for t in texts], BATCH_CHARS):
-                ids = tree.encode(texts[x:y])
-                yield pa.RecordBatch.from_arrays([keys[x:y], pa.array(texts[x:y]), pa.array(ids, pa.list_(pa.int32())), pa.array(tree.decode(ids))], ["doc_id", "text", "ids", "decoded"])
+            keys = column(batch, "doc_id")
+            for x, y, texts in text_groups(batch, BATCH_CHARS):
+                ids = tree.encode(texts)
+                yield pa.RecordBatch.from_arrays([keys[x:y], pa.array(texts), pa.array(ids, pa.list_(pa.int32())), pa.array(tree.decode(ids))], ["doc_id", "text", "ids", "decoded"])
 
     return with_text(docs).mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 
@@ -233,9 +233,9 @@ def bpe_digests(docs: DataFrame, tokenizer_json: str, leaf_chars: int = LEAF_CHA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, sha = encoder(js.value, leaf_chars), hashlib.sha256
         for batch in batches:
-            keys, texts = column(batch, "doc_id"), texts_of(batch)
-            for x, y in groups([len(t) for t in texts], BATCH_CHARS):
-                ids = tree.encode(texts[x:y])
+            keys = column(batch, "doc_id")
+            for x, y, texts in text_groups(batch, BATCH_CHARS):
+                ids = tree.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [keys[x:y], pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(np.array(i, "<u4").tobytes()).hexdigest() for i in ids]), pa.array([sha(t.encode()).hexdigest() for t in tree.decode(ids)])],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -251,8 +251,8 @@ def token_lengths(docs: DataFrame, tokenizer_json: str, leaf_chars: int = LEAF_C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = encoder(js.value, leaf_chars)
         for batch in batches:
-            keys, texts = column(batch, "doc_id"), texts_of(batch)
-            for x, y in groups([len(t) for t in texts], BATCH_CHARS):
-                yield pa.RecordBatch.from_arrays([keys[x:y], pa.array(list(map(len, tree.encode(texts[x:y]))), pa.int64())], ["doc_id", "n_tokens"])
+            keys = column(batch, "doc_id")
+            for x, y, texts in text_groups(batch, BATCH_CHARS):
+                yield pa.RecordBatch.from_arrays([keys[x:y], pa.array(list(map(len, tree.encode(texts))), pa.int64())], ["doc_id", "n_tokens"])
 
     return with_text(docs).mapInArrow(run, "doc_id long, n_tokens long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, groups, texts_of, with_text
+from .common import column, groups, text_groups, with_text
 from .words import hashed_words, shingle_hashes
 
 K1, B = 1.2, 0.75
@@ -201,9 +201,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                keys, texts = column(batch, "doc_id"), texts_of(batch)
-                for x, y in groups([len(t) for t in texts], CHUNK_CHARS):
-                    hits = matches(index, texts[x:y])
+                keys = column(batch, "doc_id")
+                for x, _, texts in text_groups(batch, CHUNK_CHARS):
+                    hits = matches(index, texts)
                     if hits:
                         d, i, *scores = zip(*hits, strict=True)
                         yield pa.RecordBatch.from_arrays([keys.take(pa.array([x + k for k in d], pa.int64())), pa.array(i, pa.int64()), *(pa.array(s, pa.float64()) for s in scores)], COLUMNS)
@@ -223,10 +223,9 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                texts = [t or "" for t in texts_of(batch)]
-                held = np.zeros(len(texts), bool)
-                for x, y in groups([len(t) for t in texts], CHUNK_CHARS):
-                    held[[x + d for d, *_ in matches(index, texts[x:y])]] = True
+                held = np.zeros(batch.num_rows, bool)
+                for x, _, texts in text_groups(batch, CHUNK_CHARS):
+                    held[[x + d for d, *_ in matches(index, texts)]] = True
                 yield batch.filter(pa.array(~held))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, groups
+from .common import column, text_groups
 
 # Tags of HTML by kind.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -228,16 +228,15 @@ def main_text(page: str, tree: tuple) -> str:
 CHUNK_CHARS = 4_000_000
 
 
-def extract(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
+def extract(table: DataFrame, tree: tuple | None = None) -> DataFrame:
     """page_id, url, text, n_chars of each row. A null html counts as empty and has an empty text; a page without main text too; repeated rows and null ids or urls give a row each; other columns are ignored."""
     tree = tree or trained_tree()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html_ = column(batch, "html").to_pylist()
-            for x, y in groups([len(h) for h in html_], CHUNK_CHARS):
-                texts = [main_text(h, tree) for h in html_[x:y]]
+            for x, y, pages in text_groups(batch, CHUNK_CHARS, "html"):
+                texts = [main_text(h, tree) for h in pages]
                 yield pa.RecordBatch.from_arrays([column(batch, "page_id")[x:y], column(batch, "url")[x:y], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = table.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

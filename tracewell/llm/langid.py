@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import column, groups, in_fold, texts_of, with_text
+from .common import column, in_fold, text_groups, with_text
 from .words import mix
 
 #: Orders of n-grams, hash buckets, added to each count, languages at most (a bound on the matrix).
@@ -76,15 +76,15 @@ def train(docs: DataFrame, label: str = "lang", buckets: int = BUCKETS, smoothin
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, labels = texts_of(batch), column(batch, "label").to_pylist()
-            by: dict[str, list[str]] = {}
-            for t, y in zip(texts, labels, strict=True):
-                by.setdefault(y, []).append(t)
-            for y, own in by.items():
-                total = sums.setdefault(y, np.zeros(buckets + 1, np.int64))
-                total[buckets] += len(own)
-                for a, b in groups([len(t) for t in own], CHUNK_CHARS):
-                    for h in ngram_buckets(own[a:b], buckets=buckets)[0]:
+            labels = column(batch, "label").to_pylist()
+            for a, b, texts in text_groups(batch, 4 * CHUNK_CHARS):
+                by: dict[str, list[str]] = {}
+                for t, y in zip(texts, labels[a:b], strict=True):
+                    by.setdefault(y, []).append(t)
+                for y, own in by.items():
+                    total = sums.setdefault(y, np.zeros(buckets + 1, np.int64))
+                    total[buckets] += len(own)
+                    for h in ngram_buckets(own, buckets=buckets)[0]:
                         total[:buckets] += np.bincount(h[h >= 0], minlength=buckets)
         for y, total in sums.items():
             at = np.flatnonzero(total)
@@ -135,10 +135,9 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, keep: tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = model.value
         for batch in batches:
-            texts = [t or "" for t in texts_of(batch)]
             langs, scores = [], []
-            for a, b in groups([len(t) for t in texts], CHUNK_CHARS):
-                lang, score = score_texts(texts[a:b], names, matrix)
+            for _, _, texts in text_groups(batch, CHUNK_CHARS):
+                lang, score = score_texts(texts, names, matrix)
                 langs += lang
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*keep, "lang_pred", "score"])

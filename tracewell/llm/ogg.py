@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import column, groups, texts_of, with_text
+from .common import column, groups, text_groups, with_text
 
 UNIT, TRACKS, PACKET, RATE = 64, 2, 4096, 8000
 #: Pages are closed at the packet that brings them to so many bytes; a page holds 255 segments at most.
@@ -188,9 +188,8 @@ def media_column(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = column(batch, "doc_id"), texts_of(batch)
-            for x, y in groups([len(t) for t in texts], BATCH_CHARS):
-                yield pa.RecordBatch.from_arrays([keys[x:y], pa.array([write_ogg(padded(t.encode())) for t in texts[x:y]], pa.binary()), pa.array([len(t.encode()) for t in texts[x:y]], pa.int64())], ["doc_id", "media", "n_bytes"])
+            for x, y, texts in text_groups(batch, BATCH_CHARS):
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id")[x:y], pa.array([write_ogg(padded(t.encode())) for t in texts], pa.binary()), pa.array([len(t.encode()) for t in texts], pa.int64())], ["doc_id", "media", "n_bytes"])
 
     return with_text(docs).mapInArrow(run, "doc_id long, media binary, n_bytes long")
 
@@ -226,9 +225,8 @@ def stored_features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = column(batch, "doc_id"), column(batch, "text")
-            for x, y in groups(pc.binary_length(texts).to_pylist(), BATCH_CHARS):
-                data = [t.encode() for t in texts[x:y].to_pylist()]
-                yield _features(keys[x:y], pa.array(list(map(len, data)), pa.int64()), [write_ogg(padded(d)) for d in data])
+            for x, y, texts in text_groups(batch, BATCH_CHARS):
+                data = [t.encode() for t in texts]
+                yield _features(column(batch, "doc_id")[x:y], pa.array(list(map(len, data)), pa.int64()), [write_ogg(padded(d)) for d in data])
 
     return with_text(docs).mapInArrow(run, FEATURE_SCHEMA)

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, groups, texts_of, with_text
+from .common import Scratch, column, text_groups, with_text
 from .words import byte_hashes
 
 SEQ_LEN, ROWS, END_ID = 2048, 64, 2
@@ -220,10 +220,10 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, folder: str, shards:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(js.value)
         for batch in batches:
-            keys, texts = column(batch, "doc_id"), texts_of(batch)
+            keys = column(batch, "doc_id")
             shard = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
-            for x, y in groups([len(t) for t in texts], BATCH_CHARS):
-                ids = [np.append(i, end_id).astype("<u4" if wide else "<u2").tobytes() for i in enc.encode(texts[x:y])]
+            for x, y, texts in text_groups(batch, BATCH_CHARS):
+                ids = [np.append(i, end_id).astype("<u4" if wide else "<u2").tobytes() for i in enc.encode(texts)]
                 yield pa.RecordBatch.from_arrays([keys[x:y], pa.array(shard[x:y].astype(np.int32)), pa.array(ids, pa.binary())], ["doc_id", "shard", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
