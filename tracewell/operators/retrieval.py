@@ -33,26 +33,27 @@ def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: str, k: int | None, key: str = "key", text: str = "text") -> DataFrame:
-    """key and score of the k best rows for any of the query's words; less is better. A query without words gives nothing.
+    """key and score of the k best rows (all, if k is None) for any of the query's words; less is better. A query without words gives nothing.
 
-    Only rows with one of the words are exploded into postings; lengths and counts of all rows come from one
-    aggregate over the text, without a shuffle of it.
+    Two scans and no shuffle of rows: one aggregate for the corpus and the documents of each word, then each row
+    scores itself by its counts of the query's words and keeps a place in the top k.
     """
     import re
 
     from ..functions.text import words
 
     asked = sorted(set(re.findall(r"\w+", query.lower())))
-    session = docs.sparkSession
     if not asked:
-        return session.createDataFrame([], "key string, score double").select(F.col("key").cast(docs.schema[key].dataType).alias("key"), "score")
+        return docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).where(F.lit(False))
+    every = F.array(*map(F.lit, asked))
     w = docs.select(F.col(key).alias("key"), words(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("w"))
-    corpus = w.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    hits = w.select("key", F.size("w").alias("dl"), F.explode(F.filter("w", lambda x: x.isin(asked))).alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each word of the query
-    idf = df.crossJoin(F.broadcast(corpus)).select("term", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(idf), "term").groupBy("key").agg((-F.sum(part)).alias("score"))
+    own = F.element_at(F.transform(F.array(F.filter("w", lambda x: x.isin(asked))), lambda hits: F.transform(every, lambda t: F.size(F.filter(hits, lambda x: x == t)))), 1)
+    counted = w.select("key", F.size("w").alias("dl"), own.alias("tf"))
+    df = F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(asked))])
+    corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), df.alias("df"))
+    idf = corpus.select("avgdl", F.transform("df", lambda d: F.greatest(F.log((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(IDF_FLOOR))).alias("idf"))
+    part = F.zip_with("tf", "idf", lambda n, i: i * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    scored = counted.where(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(idf)).select("key", (-F.aggregate(part, F.lit(0.0), lambda s, x: s + x)).alias("score"))  # one row of statistics
     return scored if k is None else scored.orderBy("score", "key").limit(k)
 
 
