@@ -271,3 +271,32 @@ def test_each_stage_against_its_operator(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_tables(spark, name, stage):
+    """Nulls in any column, empty and long texts, repeated rows, more columns with names that operators use, and no rows."""
+    odd = [None, "", "...", "a", "the cat the cat", "word " * 30_000, "x" * 60_000, "é ñ ß 日本", "the cat the cat"]
+    rows = [(k, t, None, None, None, 0.5, 1, "z", "b") for k, t in enumerate(odd)] + [(None, "the dog sat", "en", "s", 1, None, None, None, None), (4, odd[4], "en", "s", 1, 1.0, 1, "y", "c")]
+    d = spark.createDataFrame(rows, COLUMNS + ", score double, predicted int, sig string, bands string")
+    out = stage(spark, d, SF).collect()
+    ids = [r.doc_id for r in out]
+    if name == "encode":
+        assert len(out) == len(rows)
+    else:
+        assert list(out[0].asDict()) == corpus_pipeline.DOCUMENT_COLUMNS and None in ids or name == "language"
+        kept = {"toxicity": {*range(9)}, "language": set(), "near_copies": {0, 3, 4, 5, 6, 7}, "contamination": {*range(9)}}[name]
+        assert kept <= {i for i in ids if i is not None}
+    if name == "near_copies":
+        assert ids.count(4) == 1 and 8 not in ids and 1 not in ids and 2 not in ids
+    assert stage(spark, d.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_give_every_row(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    n = got.count()
+    if name.startswith(("op5", "op9")):
+        assert n > 0
+    else:
+        assert n == table(spark, SF, "pages" if name.startswith("op10") else "documents").count()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import shared_dir
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -19,19 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where nobody has set it (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jsc.isDefined():
-        return jsc.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 class Scratch:
     """Tables written once in the shared folder, so that a lost executor costs a reread and no recomputation."""
 
