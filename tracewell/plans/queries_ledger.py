@@ -216,12 +216,12 @@ def rewrite_groups(x: Tables) -> DataFrame:
 
 @query(f"""WITH {_OWNERS}, o AS (SELECT sha, max(change_id) AS change_id FROM own WHERE change_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY sha), p AS (SELECT l_partkey AS new_sha, l_orderkey * 10 + l_linenumber AS pos, l_orderkey AS old_sha, o.change_id FROM lineitem LEFT JOIN o ON o.sha = l_orderkey),
 k AS (SELECT new_sha, change_id, min(pos) AS pos FROM p WHERE change_id IS NOT NULL GROUP BY ALL)
-SELECT p.new_sha, any_value(s.survivor) AS survivor, coalesce(any_value(s.n), 0) - CASE WHEN any_value(s.n) IS NULL THEN 0 ELSE 1 END AS n_absorbed, count(*) FILTER (p.change_id IS NULL) AS n_unknown, CASE WHEN any_value(s.n) IS NULL THEN 'unknown' WHEN any_value(s.n) = 1 THEN 'rekeyed' ELSE 'folded' END AS outcome
+SELECT p.new_sha, any_value(s.survivor)::VARCHAR AS survivor, coalesce(any_value(s.n), 0) - CASE WHEN any_value(s.n) IS NULL THEN 0 ELSE 1 END AS n_absorbed, count(*) FILTER (p.change_id IS NULL) AS n_unknown, CASE WHEN any_value(s.n) IS NULL THEN 'unknown' WHEN any_value(s.n) = 1 THEN 'rekeyed' ELSE 'folded' END AS outcome
 FROM p LEFT JOIN (SELECT new_sha, arg_min(change_id, pos) AS survivor, count(*) AS n FROM k GROUP BY new_sha) s ON s.new_sha = p.new_sha GROUP BY p.new_sha""")
 def post_rewrite(x: Tables) -> DataFrame:
     m = _shared(x).join(x.customer.where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("change_id")), "change_id", "left_semi")
     p = x.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_orderkey").alias("old_sha"), F.col("l_partkey").alias("new_sha"))
-    return i.post_rewrite(m, p).select("new_sha", "survivor", F.size("absorbed").cast("long").alias("n_absorbed"), F.size("unknown").cast("long").alias("n_unknown"), "outcome")
+    return i.post_rewrite(m, p).select("new_sha", F.col("survivor").cast("string").alias("survivor"), F.size("absorbed").cast("long").alias("n_absorbed"), F.size("unknown").cast("long").alias("n_unknown"), "outcome")
 
 
 def _messages(x: Tables) -> DataFrame:
