@@ -27,9 +27,9 @@ def reachable(commits: DataFrame, tips: DataFrame) -> DataFrame:
 
 def unreachable_heads(change_map: DataFrame, reached: DataFrame) -> DataFrame:
     """Heads of unfolded changes that no ref leads to; nothing if no commit is known to be reached."""
-    some = reached.limit(1).select(F.lit(True).alias("some"))
+    some = reached.select("sha").limit(1).agg(F.count(F.lit(1)) > 0).scalar()
     heads = change_map.where(F.col("folded_into").isNull()).select("change_id", F.col("head").alias("sha"))
-    return heads.join(reached.select("sha"), "sha", "left_anti").crossJoin(F.broadcast(some)).select("change_id", "sha")
+    return heads.join(reached.select("sha"), "sha", "left_anti").where(some).select("change_id", "sha")
 
 
 def stale_blobs(changed: DataFrame, current: DataFrame, key: str = "blob_sha") -> DataFrame:
@@ -58,6 +58,6 @@ def check_rows(findings: DataFrame) -> DataFrame:
 
 def index_findings(state: DataFrame, chunks: DataFrame, fingerprint: str, head: str) -> DataFrame:
     """problem rows of an index against its checkpoint: another model, another count, or behind the head."""
-    s = state.crossJoin(F.broadcast(chunks.agg(F.count(F.lit(1)).alias("stored"))))
+    s = state.withColumn("stored", chunks.agg(F.count(F.lit(1))).scalar())
     checks = [(F.col("model_fingerprint") != fingerprint, "model", F.concat(F.lit("built with "), F.col("model_fingerprint"))), (F.col("chunk_count") != F.col("stored"), "count", F.concat(F.col("stored").cast("string"), F.lit(" stored, "), F.col("chunk_count").cast("string"), F.lit(" recorded"))), (F.col("last_indexed_commit") != head, "stale", F.concat(F.lit("indexed at "), F.col("last_indexed_commit")))]
     return s.select(F.explode(F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(name).alias("problem"), text.alias("detail"))) for bad, name, text in checks]))).alias("p")).select("p.*")

@@ -52,8 +52,9 @@ def bm25(docs: DataFrame, query: str, k: int | None, key: str = "key", text: str
     df = F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(asked))])
     corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), df.alias("df"))
     idf = corpus.select("avgdl", F.transform("df", lambda d: F.greatest(F.log((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(IDF_FLOOR))).alias("idf"))
-    part = F.zip_with("tf", "idf", lambda n, i: i * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    scored = counted.where(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(idf)).select("key", (-F.aggregate(part, F.lit(0.0), lambda s, x: s + x)).alias("score"))  # one row of statistics
+    part = F.zip_with("tf", "s.idf", lambda n, i: i * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("dl") / F.col("s.avgdl"))))
+    known = counted.where(F.exists("tf", lambda n: n > 0)).withColumn("s", idf.select(F.struct("avgdl", "idf")).scalar())
+    scored = known.select("key", (-F.aggregate(part, F.lit(0.0), lambda s, x: s + x)).alias("score"))
     return scored if k is None else scored.orderBy("score", "key").limit(k)
 
 
@@ -94,8 +95,8 @@ def with_recent(sources: DataFrame, recent: DataFrame) -> DataFrame:
     """Recent sources (key, order) flagged where they were found, and else appended after the others with score 0."""
     found = sources.join(recent.select("key", F.lit(True).alias("recent")), "key", "left")
     found = found.withColumn("matched_by", F.when(F.col("recent"), F.array_append("matched_by", F.lit("recency"))).otherwise(F.col("matched_by"))).drop("recent")
-    last = sources.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("last"))
-    new = recent.join(sources.select("key"), "key", "left_anti").crossJoin(F.broadcast(last))
+    last = sources.agg(F.coalesce(F.max("rank"), F.lit(0))).scalar()
+    new = recent.join(sources.select("key"), "key", "left_anti").withColumn("last", last)
     new = new.select("key", F.lit(0.0).alias("score"), F.array(F.lit("recency")).alias("matched_by"), (F.col("last") + F.row_number().over(Window.orderBy("order"))).alias("rank"))
     return found.select("key", "score", "matched_by", "rank").unionByName(new)
 
