@@ -205,6 +205,13 @@ class ShardReader:
         return np.concatenate(out) if out else np.zeros(0, np.uint16)
 
 
+def _deal_keys(spark: SparkSession, shards: int) -> list[int]:
+    """For each shard a number that Spark's hash partitioning deals to a partition of its own, so that no task gets two shards while another has none."""
+    k = F.col("id").cast("int")
+    found = {r.p: r.k for r in spark.range(shards * 32).select(k.alias("k"), F.pmod(F.hash(k), F.lit(shards)).alias("p")).groupBy("p").agg(F.min("k").alias("k")).collect()}
+    return [found.get(s, s) for s in range(shards)]
+
+
 def write_token_files(docs: DataFrame, tokenizer_json: str, folder: str, shards: int, end_id: int = END_ID, seq_len: int = SEQ_LEN, wide: bool = False) -> DataFrame:
     """Writes shard files named by number and returns the index, lazily: doc_id, shard, start (in the shard), n_tokens.
 
@@ -216,6 +223,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, folder: str, shards:
     d = with_text(docs)
     cuts = d.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 10_000).alias("q")).first().q or []
     bounds = np.unique(np.array(cuts if shards > 1 else [], np.int64))
+    deal = np.array(_deal_keys(spark, shards), np.int32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(js.value)
@@ -224,7 +232,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, folder: str, shards:
             shard = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
             for x, y, texts in text_groups(batch, BATCH_CHARS):
                 ids = [np.append(i, end_id).astype("<u4" if wide else "<u2").tobytes() for i in enc.encode(texts)]
-                yield pa.RecordBatch.from_arrays([keys[x:y], pa.array(shard[x:y].astype(np.int32)), pa.array(ids, pa.binary())], ["doc_id", "shard", "ids"])
+                yield pa.RecordBatch.from_arrays([keys[x:y], pa.array(shard[x:y].astype(np.int32)), pa.array(deal[shard[x:y]]), pa.array(ids, pa.binary())], ["doc_id", "shard", "deal", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now = None, None
@@ -243,8 +251,8 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, folder: str, shards:
         if out:
             out.close()
 
-    encoded = d.mapInArrow(encode, "doc_id long, shard int, ids binary")
-    return encoded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(write, "doc_id long, shard int, start long, n_tokens long")
+    encoded = d.mapInArrow(encode, "doc_id long, shard int, deal int, ids binary")
+    return encoded.repartition(shards, "deal").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(write, "doc_id long, shard int, start long, n_tokens long")
 
 
 def read_token_files(index: DataFrame, folder: str) -> DataFrame:
