@@ -114,9 +114,9 @@ def _enriched(x: Tables, k: int = r.TOP_K) -> DataFrame:
     return r.enrich(_fuse(x, k), chunks(x), _latest_event(x)).join(labels, "key", "left")
 
 
-@query(f"WITH {_fused()}, {_LATEST} SELECT f.key, f.rank, {_KIND} AS kind, (f.key % 150) AS change_id, l.summary, l.entry, coalesce(q.quality, -1) AS quality FROM fused f JOIN documents d ON d.doc_id = f.key LEFT JOIN latest l ON l.change_id = f.key % 150 LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) q ON q.doc_id = f.key")
+@query(f"WITH {_fused()}, {_LATEST} SELECT f.key, f.rank, {_KIND} AS kind, (f.key % 150) AS change_id, l.summary, l.entry::VARCHAR AS entry, coalesce(q.quality, -1) AS quality FROM fused f JOIN documents d ON d.doc_id = f.key LEFT JOIN latest l ON l.change_id = f.key % 150 LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) q ON q.doc_id = f.key")
 def ask_enriched(x: Tables) -> DataFrame:
-    return _enriched(x).select("key", F.col("rank").cast("long").alias("rank"), "kind", "change_id", "summary", "entry", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    return _enriched(x).select("key", F.col("rank").cast("long").alias("rank"), "kind", "change_id", "summary", F.col("entry").cast("string").alias("entry"), F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
 @query(f"""WITH {_fused()}, {_LATEST}, recent AS (SELECT change_id AS key, row_number() OVER (ORDER BY happened DESC, change_id) AS o FROM latest QUALIFY o <= 5)
