@@ -125,6 +125,29 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {got[k] for k in range(1500)} == {0} and all(got[k] == k for k in range(1500, 1550))
 
 
+def links_asked(spark, monkeypatch, n):
+    """Of n near copies, none of which is verified: the links asked for, and all pairs that share a bucket and agree enough."""
+    rng, asked = random.Random(12), set()
+    origin = prose(rng, 120).split()
+    texts = dict.fromkeys(" ".join(prose(rng, 1) if rng.random() < 0.02 else w for w in origin) for _ in range(n))
+    docs = rows(spark, texts).cache()
+
+    def none(links, *_):
+        asked.update((r.a, r.b) for r in links.collect())
+        return links.limit(0)
+
+    monkeypatch.setattr(neardup, "verified", none)
+    neardup.near_duplicates(spark, docs).collect()
+    idf = spark.sparkContext.broadcast(neardup.idf_table(*neardup.document_frequencies(docs)))
+    reps = {r.doc_id: (np.frombuffer(r.sig, np.uint32), set(r.bands)) for r in neardup.profiles(docs, idf).collect()}
+    return asked, {(a, b) for a, (s, x) in reps.items() for b, (t, y) in reps.items() if a < b and x & y and (s == t).mean() >= neardup.CANDIDATE_SHARE}
+
+
+def test_a_failed_link_is_followed_by_the_next(spark, monkeypatch):
+    asked, want = links_asked(spark, monkeypatch, 30)
+    assert len(want) > 200 and want <= asked
+
+
 def test_odd_tables(spark):
     d = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "y"), (1, "q r s t", "z"), (5, "Q r s t!", "u"), (None, "a b c", "v"), (7, None, None)], "doc_id long, text string, class_id string")
     assert sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(spark, d).collect()) == [(1, 1), (5, 1), (7, 7)]

@@ -11,7 +11,8 @@
 4. Each candidate link is verified by the exact weighted Jaccard similarity of the whole texts.
 5. Connected components of verified links, by minimum labels with shortcuts, over tables in the shared folder.
 6. Rounds for what leaders missed: in buckets that still hold several components, each text outside the largest is
-   linked to the texts of other components that it agrees with best; new links are verified, until no round finds one.
+   linked to the texts of other components that it agrees with best, and to `MORE` times as many in each next round; new links
+   are verified, until all candidates of different components have been.
 
 A shingle's weight is one and the logarithm of its count in the text, times an inverse document frequency that only ranges from 1 to
 1 + `IDF_RANGE`: the frequency also counts copies, so with a steep one the members of a large group of copies
@@ -35,8 +36,8 @@ SIMILARITY, BANDS, ROWS, IDF_RANGE = 0.8, 12, 4, 0.05
 DF_BINS, DF_SLICE = 1 << 20, 1 << 14
 #: Rows of a block of signatures; of K places, those that must agree for a candidate, and those that keep a text from leading.
 BLOCK, CANDIDATE_SHARE, FOLLOW_SHARE = 1024, 0.5, 0.8
-#: Leaders of a block that are chosen as typical; texts of other classes that a text is compared with in each bucket and round.
-TYPICAL, NEAREST = 3, 2
+#: Leaders of a block that are chosen as typical; texts of other classes that a text is linked to in a block in the first round; times as many in each next round.
+TYPICAL, NEAREST, MORE = 3, 2, 4
 CHUNK_CHARS, CHUNK_SHINGLES = 1_000_000, 32_768
 K = BANDS * ROWS
 _DRAWS = 4096
@@ -259,12 +260,13 @@ def leader_links(scratch: Scratch, level: DataFrame) -> DataFrame:
         step += 1
 
 
-def cross_links(level: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b), a < b: links between classes so far that share a bucket: for each text outside its block's largest class the `NEAREST` texts of other classes in the block that agree with it best, and the `TYPICAL` most typical texts of that class, if in `CANDIDATE_SHARE` of the places. Blocks stay the same from round to round, so only what has merged meets anew."""
+def cross_links(level: DataFrame, labels: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    """(a, b), a < b: links between classes so far that share a bucket: for each text outside its block's largest class the `nearest` texts of other classes in the block that agree with it best, and the `TYPICAL` most typical texts of that class, if in `CANDIDATE_SHARE` of the places. A row of nulls says that some text has more such texts than `nearest`."""
     own = level.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = False
         for _, ids, sigs, labels in _runs(batches, "label"):
             a, b = [], []
             classes, n = np.unique(labels, return_counts=True)
@@ -279,12 +281,15 @@ def cross_links(level: DataFrame, labels: DataFrame) -> DataFrame:
                 own = asking[x : x + 64]
                 same = (sigs[own, None, :] == sigs[None, :, :]).mean(2)
                 same[labels[own, None] == labels[None, :]] = 0
-                near = np.argsort(-same, axis=1, kind="stable")[:, :NEAREST]
+                more |= bool(((same >= CANDIDATE_SHARE).sum(1) > nearest).any())
+                near = np.argsort(-same, axis=1, kind="stable")[:, :nearest]
                 for j, k in zip(*np.nonzero(np.take_along_axis(same, near, 1) >= CANDIDATE_SHARE), strict=True):
                     a.append(int(ids[own[j]]))
                     b.append(int(ids[near[j, k]]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["a", "b"])
 
     return _ordered(_blocks(own.join(several, "bucket"), F.ceil(F.col("size") / BLOCK), -1, "label").mapInArrow(run, "a long, b long"))
 
@@ -371,15 +376,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     edges = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") != F.col("b")).select("a", "b")
     tested = scratch.put(leader_links(scratch, level), "tested0")
     labels = components(scratch, edges.unionByName(scratch.put(verified(tested, texts, idf, similarity).select("a", "b"), "verified0")))
-    step = 1
+    step, nearest = 1, NEAREST
     while True:
-        fresh = scratch.put(cross_links(level, labels).join(tested, ["a", "b"], "left_anti"), f"tested{step}")
+        found = scratch.put(cross_links(level, labels, nearest).join(tested, ["a", "b"], "left_anti"), f"tested{step}")
+        fresh = found.where(F.col("a").isNotNull())
         new = scratch.put(verified(fresh, texts, idf, similarity).select("a", "b"), f"verified{step}")
-        if not new.head(1):
+        if new.head(1):
+            labels = merged(scratch, labels, new, f"round{step}")
+        if not found.where(F.col("a").isNull()).head(1):  # each candidate of another class is tested; classes that merge make no more of them
             break
-        labels = merged(scratch, labels, new, f"round{step}")
         tested = tested.unionByName(fresh)
-        step += 1
+        step, nearest = step + 1, nearest * MORE
     scratch.drop("texts")
     return members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
 
