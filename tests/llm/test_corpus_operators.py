@@ -148,6 +148,12 @@ def test_a_failed_link_is_followed_by_the_next(spark, monkeypatch):
     assert len(want) > 200 and want <= asked
 
 
+def test_texts_of_different_blocks_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    asked, want = links_asked(spark, monkeypatch, 40)
+    assert len(want) > 200 and want <= asked
+
+
 def test_odd_tables(spark):
     d = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "y"), (1, "q r s t", "z"), (5, "Q r s t!", "u"), (None, "a b c", "v"), (7, None, None)], "doc_id long, text string, class_id string")
     assert sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(spark, d).collect()) == [(1, 1), (5, 1), (7, 7)]

@@ -10,8 +10,8 @@
    costs texts times leaders in time, and gives two links a text, not pairs. Each of the bands has leaders of its own.
 4. Each candidate link is verified by the exact weighted Jaccard similarity of the whole texts.
 5. Connected components of verified links, by minimum labels with shortcuts, over tables in the shared folder.
-6. Rounds for what leaders missed: in buckets that still hold several components, each text outside the largest is
-   linked to the texts of other components that it agrees with best, and to `MORE` times as many in each next round; new links
+6. Rounds for what leaders missed: in buckets that still hold several components, each text outside the largest meets
+   all blocks of its bucket, and in each is linked to the texts of other components that it agrees with best, and to `MORE` times as many in each next round; new links
    are verified, until all candidates of different components have been.
 
 A shingle's weight is one and the logarithm of its count in the text, times an inverse document frequency that only ranges from 1 to
@@ -218,9 +218,9 @@ def lead(ids: np.ndarray, sigs: np.ndarray) -> tuple[list[int], list[tuple[int,
     return leaders, sorted(links)
 
 
-def _blocks(df: DataFrame, size, salt: int, *more: str) -> DataFrame:
+def _blocks(df: DataFrame, size, salt: int) -> DataFrame:
     """Rows (bucket, id, sig) dealt by bucket and block of about `BLOCK` rows, and sorted by these."""
-    dealt = df.select("bucket", "id", "sig", *more, F.pmod(F.xxhash64("id", "bucket", F.lit(salt)), size).alias("block"), F.xxhash64("bucket", "id").alias("turn"))
+    dealt = df.select("bucket", "id", "sig", F.pmod(F.xxhash64("id", "bucket", F.lit(salt)), size).alias("block"), F.xxhash64("bucket", "id").alias("turn"))
     return dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "turn")
 
 
@@ -260,38 +260,57 @@ def leader_links(scratch: Scratch, level: DataFrame) -> DataFrame:
         step += 1
 
 
-def cross_links(level: DataFrame, labels: DataFrame, nearest: int = NEAREST) -> DataFrame:
-    """(a, b), a < b: links between classes so far that share a bucket: for each text outside its block's largest class the `nearest` texts of other classes in the block that agree with it best, and the `TYPICAL` most typical texts of that class, if in `CANDIDATE_SHARE` of the places. A row of nulls says that some text has more such texts than `nearest`."""
+def _cells(level: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, block, id, sig, label, role, sorted by bucket and block: in buckets of several classes each text outside the largest class meets every text. Texts are dealt to parts of about `BLOCK` rows, those outside the largest class also to groups of about `BLOCK`; a block is a part with a group. role: 0 to be compared with, 1 to ask, 2 both."""
     own = level.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    several = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
+    sizes = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("most"), F.count(F.lit(1)).alias("classes"))
+    rows = own.join(several.where(F.col("classes") > 1), "bucket")
+    rows = rows.withColumn("parts", F.ceil(F.col("size") / BLOCK)).withColumn("groups", F.ceil((F.col("size") - F.col("most")) / BLOCK)).withColumn("asks", F.col("label") != F.col("largest"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "bucket", F.lit(-1)), "parts")).withColumn("group", F.pmod(F.xxhash64("id", "bucket", F.lit(-2)), "groups"))
+
+    def cell(part, group, role):
+        return F.struct((part * F.col("groups") + group).alias("block"), role.alias("role"))
+
+    home = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda g: cell(F.col("part"), g, F.when(F.col("asks") & (g == F.col("group")), 2).otherwise(0)))
+    away = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.col("asks") & (p != F.col("part"))), lambda p: cell(p, F.col("group"), F.lit(1)))
+    dealt = rows.select("bucket", "id", "sig", "label", F.explode(F.concat(home, away)).alias("c")).select("bucket", "id", "sig", "label", "c.block", "c.role", F.xxhash64("bucket", "id").alias("turn"))
+    return dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "turn")
+
+
+def cross_links(level: DataFrame, labels: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    """(a, b), a < b: links between classes so far that share a bucket: for each text outside its bucket's largest class, in each block of the bucket, the `nearest` texts of other classes that agree with it best, and the `TYPICAL` most typical texts of the block's largest class, if in `CANDIDATE_SHARE` of the places. A row of nulls says that some text has more such texts in a block than `nearest`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = False
-        for _, ids, sigs, labels in _runs(batches, "label"):
+        for _, ids, sigs, labels, role in _runs(batches, "label", "role"):
             a, b = [], []
-            classes, n = np.unique(labels, return_counts=True)
-            asking = np.flatnonzero(labels != classes[n.argmax()])
+            home, asking = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+            if not len(home):
+                continue
+            classes, n = np.unique(labels[home], return_counts=True)
             if n.max() > 8:
-                most = np.flatnonzero(labels == classes[n.argmax()])
+                most = home[labels[home] == classes[n.argmax()]]
+                others = asking[labels[asking] != classes[n.argmax()]]
                 for k in most[_typical(sigs[most], TYPICAL)]:
-                    for j in asking[(sigs[asking] == sigs[k]).mean(1) >= CANDIDATE_SHARE]:
+                    for j in others[(sigs[others] == sigs[k]).mean(1) >= CANDIDATE_SHARE]:
                         a.append(int(ids[j]))
                         b.append(int(ids[k]))
             for x in range(0, len(asking), 64):
                 own = asking[x : x + 64]
-                same = (sigs[own, None, :] == sigs[None, :, :]).mean(2)
-                same[labels[own, None] == labels[None, :]] = 0
+                same = (sigs[own, None, :] == sigs[None, home, :]).mean(2)
+                same[labels[own, None] == labels[None, home]] = 0
                 more |= bool(((same >= CANDIDATE_SHARE).sum(1) > nearest).any())
                 near = np.argsort(-same, axis=1, kind="stable")[:, :nearest]
                 for j, k in zip(*np.nonzero(np.take_along_axis(same, near, 1) >= CANDIDATE_SHARE), strict=True):
                     a.append(int(ids[own[j]]))
-                    b.append(int(ids[near[j, k]]))
+                    b.append(int(ids[home[near[j, k]]]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         if more:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["a", "b"])
 
-    return _ordered(_blocks(own.join(several, "bucket"), F.ceil(F.col("size") / BLOCK), -1, "label").mapInArrow(run, "a long, b long"))
+    return _ordered(_cells(level, labels).mapInArrow(run, "a long, b long"))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
