@@ -195,6 +195,13 @@ def test_restoring_letters_set_apart(restorer):
     assert restorer.restore("you are an i d i o t and m-o-r-o-n") .split() == ["you", "are", "an", "idiot", "and", "moron"]
 
 
+def test_long_words_and_runs_are_restored(restorer):
+    assert restorer.word("stu" + "u" * 100 + "pid") == "stupid" and "moron" in restorer.word("the.sea.and.you.are.here.to.stay.with.them." * 2 + "m0r0n")
+    assert len(restorer.word("x" * 60_000)) >= 1 and restorer.word("@#" * 30_000)
+    run = " ".join("idiot" * 12)
+    assert restorer.joined(run).strip() != run
+
+
 def toxic_tables(spark, n=1500):
     rng, bad = random.Random(6), ["idiot", "moron", "scum"]
     vocabulary = [prose(rng, 1) for _ in range(4000)]

@@ -98,7 +98,8 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 class Restorer:
     """Restores texts under a character model; keeps what it has restored, up to a bound."""
 
-    ODD = re.compile(r"(?i)[a-zÀ-ɏ][^\W\d_]*[\d@$!|+(€£¡*.\-_~^#%&/\\:;=]+[^\W_]|[\d@$!|€£¡(][^\s\w]*[^\W\d_]|([^\W\d_])\1\1")
+    # each alternative starts only where a run of letters or marks does, so that a search is linear in the word's length
+    ODD = re.compile(r"(?i)(?<![^\W\d_])(?>[^\W\d_]*?[a-zÀ-ɏ])[^\W\d_]*+[\d@$!|+(€£¡*.\-_~^#%&/\\:;=]+[^\W_]|\d[^\s\w]*+[^\W\d_]|(?<![^\s\w])(?>[^\s\w]*?[@$!|€£¡(])[^\s\w]*+[^\W\d_]|([^\W\d_])\1\1")
     EDGE = re.compile(r"([^\w\s])\1{2,}$|^([^\w\s])\2{2,}")
     THRICE = re.compile(r"(.)\1\1")
     APART = re.compile(r"(?<!\S)(?:[\w@$!|€£¡][ .\-_*]+){3,}[\w@$!|€£¡](?!\S)")
@@ -115,28 +116,33 @@ class Restorer:
         return total, a, b
 
     def decode(self, written: str) -> tuple[str, float]:
-        """The most likely text of a word's lattice and its log probability. Input in lower case."""
-        # a state is the last two classes and the letter last read; the best path to each is kept
-        states: dict[tuple[int, int, str, bool], tuple[float, str]] = {(0, 0, "", False): (0.0, "")}
+        """The most likely text of a word's lattice and its log probability. Input in lower case, of any length."""
+        # a state is the last two classes and the letter last read; the best path to each is kept, as (path before, letter)
+        states: dict[tuple[int, int, str, bool], tuple[float, tuple | None]] = {(0, 0, "", False): (0.0, None)}
         for ch in written:
             reads = [(ch, ITSELF)] if ch.isalpha() else [(x, SIGN) for x in LEET.get(ch, "")]
             skip = not ch.isalpha() and (ch in MARKS or ch in LEET)
-            new: dict[tuple[int, int, str, bool], tuple[float, str]] = {}
+            new: dict[tuple[int, int, str, bool], tuple[float, tuple | None]] = {}
 
-            def offer(key, score, text, new=new):
+            def offer(key, score, path, new=new):
                 if key not in new or new[key][0] < score:
-                    new[key] = score, text
+                    new[key] = score, path
 
-            for (a, b, last, used), (score, text) in states.items():
+            for (a, b, last, used), (score, path) in states.items():
                 for letter, weight in reads:
                     cost, x, y = self._cost(a, b, letter)
-                    offer((x, y, letter, False), score + weight + cost, text + letter)
+                    offer((x, y, letter, False), score + weight + cost, (path, letter))
                     if letter == last:  # a copy of the letter before
-                        offer((a, b, last, True), score + COPY + (ITSELF if used else 0), text)
+                        offer((a, b, last, True), score + COPY + (ITSELF if used else 0), path)
                 if skip or not reads:
-                    offer((a, b, last, used), score + (LOST if ch in LEET else NOTHING), text)
-            states = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:24])
-        return max(((t, s + float(self.logp[a, b, 0])) for (a, b, _, _), (s, t) in states.items()), key=lambda x: (x[1], x[0]))
+                    offer((a, b, last, used), score + (LOST if ch in LEET else NOTHING), path)
+            states = new
+        best, path = max(((s + float(self.logp[a, b, 0]), p) for (a, b, _, _), (s, p) in states.items()), key=lambda x: x[0])
+        letters = []
+        while path:
+            path, letter = path
+            letters.append(letter)
+        return "".join(reversed(letters)), best
 
     def word(self, w: str) -> str:
         if w not in self.kept:
@@ -149,13 +155,11 @@ class Restorer:
         if w.isalpha() and not self.THRICE.search(w):
             return w
         core = self.EDGE.sub("", w).strip(".,;:!?\"'()[]")
-        return (self.decode(core)[0] or core) if len(core) <= 64 and self.ODD.search(core) else core
+        return (self.decode(core)[0] or core) if self.ODD.search(core) else core
 
     def _together(self, m: re.Match) -> str:
         """Letters set apart, as one word if that is likelier than as words of their own."""
         parts = [p for p in re.split(r"[ .\-_*]+", m[0]) if p]
-        if len(parts) > 48:
-            return m[0]
         joined, score = self.decode("".join(parts))
         alone = sum(self.decode(p)[1] for p in parts)
         return f" {joined} " if joined and score > alone else m[0]
