@@ -202,6 +202,12 @@ def test_long_words_and_runs_are_restored(restorer):
     assert restorer.joined(run).strip() != run
 
 
+@pytest.mark.parametrize("written, words", [("you are a m o r o n", ["a", "moron"]), ("y o u  a r e  a n  i d i o t", ["you", "are", "an", "idiot"]), ("y o u a r e a n i d i o t", ["idiot"]), ("you idio7", ["idiot"])])
+def test_spaced_words_are_cut_where_words_end(spark, written, words):
+    text = "you are an idiot and a moron , you are a clown and an idiot with the sea here to stay " * 50
+    assert set(words) <= set(toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts([text]))).words(written))
+
+
 def toxic_tables(spark, n=1500):
     rng, bad = random.Random(6), ["idiot", "moron", "scum"]
     vocabulary = [prose(rng, 1) for _ in range(4000)]

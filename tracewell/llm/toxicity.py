@@ -1,7 +1,7 @@
 """Toxicity by a noisy channel: restore obfuscated words, then score what they say.
 
 Restoring: a word that holds digits or marks among letters or repeats a letter, and a run of letters set
-apart, is read as a lattice. Each written character may stand for some letters (leetspeak), for nothing (a
+apart, is read as a lattice; in such a run each gap may be a space. Each written character may stand for some letters (leetspeak), for nothing (a
 mark put in), or be one of several copies (repetition). The Viterbi path through the lattice is the most
 likely text under a character trigram model, whose counts are taken over all documents.
 
@@ -39,6 +39,8 @@ KEPT_WORDS = 200_000
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Natural logarithms of the channel: a letter for itself, a letter for its sign, a mark put in, a sign of LEET put in, a copy more.
 ITSELF, SIGN, NOTHING, LOST, COPY = -0.05, -1.2, -1.0, -5.0, -0.7
+#: Natural logarithms of a gap between letters set apart, by 0 for a narrow and 1 for a wide one: within a word, and between words.
+WITHIN, BETWEEN = (-0.2, -3.0), (-1.6, -0.1)
 MARKS = set(".,-_~'`^#%&/\\:;=")
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -99,7 +101,7 @@ class Restorer:
     """Restores texts under a character model; keeps what it has restored, up to a bound."""
 
     # each alternative starts only where a run of letters or marks does, so that a search is linear in the word's length
-    ODD = re.compile(r"(?i)(?<![^\W\d_])(?>[^\W\d_]*?[a-zÀ-ɏ])[^\W\d_]*+[\d@$!|+(€£¡*.\-_~^#%&/\\:;=]+[^\W_]|\d[^\s\w]*+[^\W\d_]|(?<![^\s\w])(?>[^\s\w]*?[@$!|€£¡(])[^\s\w]*+[^\W\d_]|([^\W\d_])\1\1")
+    ODD = re.compile(r"(?i)(?<![^\W\d_])(?>[^\W\d_]*?[a-zÀ-ɏ])[^\W\d_]*+[\d@$!|+(€£¡*.\-_~^#%&/\\:;=]+[^\W_]|[a-zÀ-ɏ][\d@$!|+(€£¡*]+$|\d[^\s\w]*+[^\W\d_]|(?<![^\s\w])(?>[^\s\w]*?[@$!|€£¡(])[^\s\w]*+[^\W\d_]|([^\W\d_])\1\1")
     EDGE = re.compile(r"([^\w\s])\1{2,}$|^([^\w\s])\2{2,}")
     THRICE = re.compile(r"(.)\1\1")
     APART = re.compile(r"(?<!\S)(?:[\w@$!|€£¡][ .\-_*]+){3,}[\w@$!|€£¡](?!\S)")
@@ -115,11 +117,19 @@ class Restorer:
             a, b = b, c
         return total, a, b
 
-    def decode(self, written: str) -> tuple[str, float]:
-        """The most likely text of a word's lattice and its log probability. Input in lower case, of any length."""
+    def decode(self, written: str, gaps: list[int] | None = None) -> tuple[str, float]:
+        """The most likely text of a word's lattice and its log probability. Input in lower case, of any length. gaps: for each character but the first how wide the gap before it is; a gap may be a space."""
         # a state is the last two classes and the letter last read; the best path to each is kept, as (path before, letter)
         states: dict[tuple[int, int, str, bool], tuple[float, tuple | None]] = {(0, 0, "", False): (0.0, None)}
-        for ch in written:
+        for k, ch in enumerate(written):
+            if gaps and k:
+                width, apart = gaps[k - 1], {}
+                for (a, b, last, used), (score, path) in states.items():
+                    apart[a, b, last, used] = score + WITHIN[width], path
+                    key, ends = (b, 0, "", False), score + BETWEEN[width] + float(self.logp[a, b, 0])
+                    if last and (key not in apart or apart[key][0] < ends):
+                        apart[key] = ends, (path, " ")
+                states = apart
             reads = [(ch, ITSELF)] if ch.isalpha() else [(x, SIGN) for x in LEET.get(ch, "")]
             skip = not ch.isalpha() and (ch in MARKS or ch in LEET)
             new: dict[tuple[int, int, str, bool], tuple[float, tuple | None]] = {}
@@ -158,10 +168,12 @@ class Restorer:
         return (self.decode(core)[0] or core) if self.ODD.search(core) else core
 
     def _together(self, m: re.Match) -> str:
-        """Letters set apart, as one word if that is likelier than as words of their own."""
-        parts = [p for p in re.split(r"[ .\-_*]+", m[0]) if p]
-        joined, score = self.decode("".join(parts))
-        alone = sum(self.decode(p)[1] for p in parts)
+        """Letters set apart, as the likeliest words that they make, if these are likelier than words of a letter each. A gap wider than the run's narrowest likely ends a word."""
+        written = re.split(r"([ .\-_*]+)", m[0].strip(" .-_*"))
+        parts, widths = written[::2], [len(g) for g in written[1::2]]
+        least = min(widths, default=0)
+        joined, score = self.decode("".join(parts), [int(w > least) for w in widths])
+        alone = sum(self.decode(p)[1] for p in parts) + sum(BETWEEN[int(w > least)] for w in widths)
         return f" {joined} " if joined and score > alone else m[0]
 
     def words(self, text: str) -> list[str]:
