@@ -198,6 +198,13 @@ def test_main_text():
     assert np.mean([html_text.says(tree, r[:-1]) == bool(r[-1]) for r in html_text.LABELLED]) == 1
 
 
+@pytest.mark.parametrize("attributes, kind", [('style="overflow:hidden"', ""), ('title="hidden costs"', ""), ('data-hidden="false"', ""), ("title='id=sidebar'", ""), ("href=hidden", ""), ("hidden", "skipped"), ('class=x HIDDEN=""', "skipped"), ("aria-hidden = 'true'", "skipped"), ('title="a" id = sidebar', "aside"), ('data-x="1"class="comments"', "comments")])
+def test_only_an_attribute_of_its_name_counts(attributes, kind):
+    assert html_text._kind("div", " " + attributes) == kind
+    page = f"<div {attributes}><article><p>the text of an article</p></article></div>"
+    assert html_text.main_text(page, html_text.trained_tree()) == ("" if kind in ("skipped", "comments") else "the text of an article")
+
+
 def test_the_tree_keeps_articles_and_drops_asides():
     tree = html_text.trained_tree()
     for words in (1, 4, 12, 60, 300):

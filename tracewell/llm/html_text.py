@@ -34,7 +34,8 @@ ASIDE_NAMES = re.compile(
 COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond|reviews?)(?:$|[\s_-])", re.I)
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+#: Name and value of each attribute from left to right, so that nothing within a value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 
 
 class Block(NamedTuple):
@@ -61,7 +62,7 @@ def _kind(tag: str, attributes: str) -> str:
                 return "skipped"
             if name == "role" and value.lower() in ASIDE_ROLES:
                 return "aside"
-            if name != "role":
+            if name in ("class", "id"):
                 names += " " + value
     if names and COMMENT_NAMES.search(names):
         return "comments"
