@@ -402,3 +402,14 @@ def test_trace_records(spark):
     assert r["id"] == "aaaaaaaa-aaaa-aaaa-aaaa-aaaaaaaaaaaa" and [f["path"] for f in r["files"]] == ["a", "c"] and len(r["files"][0]["conversations"][0]["ranges"]) == 2 and r["files"][1]["conversations"][0]["ranges"] == []
     assert r["files"][0]["conversations"][0]["contributor"] == {"type": "ai", "model_id": "anthropic/claude-1"}
     assert export.pr_comment(None)[1] == 2 and export.pr_comment({"summary": "s", "reasoning": {"intent": "i"}})[1] == 0
+
+
+def test_keyword_query_of_whole_texts(spark, tmp_path):
+    import re
+
+    from tracewell.plans.all_queries import QUERIES
+
+    texts = ["word " * 100 + "last", "why not redis?", "", "!!!", "日本 x_1 " * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.query for r in QUERIES["keyword_query_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: " OR ".join(f'"{w}"' for w in re.findall(r"\w+", text)) for k, text in enumerate(texts)}

@@ -174,3 +174,9 @@ def index_run_counts(x: Tables) -> DataFrame:
 @query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(left(text, 200), '[\\p{L}\\p{N}_]+'), lambda w: '\"' || w || '\"'), ' OR ') AS query FROM documents")
 def keyword_query_text(x: Tables) -> DataFrame:
     return x.documents.select("doc_id", t.keyword_query(F.substring("text", 1, 200)).alias("query"))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: '\"' || w || '\"'), ' OR ') AS query FROM documents")
+def keyword_query_whole(x: Tables) -> DataFrame:
+    """Of whole texts; `keyword_query_text` has those of the first 200 characters, as its SQL says."""
+    return x.documents.select("doc_id", t.keyword_query(F.col("text")).alias("query"))
