@@ -404,6 +404,18 @@ def test_trace_records(spark):
     assert export.pr_comment(None)[1] == 2 and export.pr_comment({"summary": "s", "reasoning": {"intent": "i"}})[1] == 0
 
 
+def test_redacted_texts_of_every_row(spark, tmp_path):
+    from tracewell.plans.all_queries import QUERIES
+
+    texts = [None, "", "plain words", "see https://a.example/b", "password = aaaaaaaaaaaaaaaaaaaaaaaa", *(f"x {text} y" for text, *_ in SECRETS), "a " * 3000 + SECRETS[0][0]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["redacted_texts"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        assert got[k].text == (None if text is None else red.redact_text(text, red.built_in())[0])
+        assert got[k].keys_text == (None if text is None else red.redact_text(text, red.built_in()[:-1])[0])
+
+
 def test_keyword_query_of_whole_texts(spark, tmp_path):
     import re
 

@@ -35,6 +35,13 @@ def redact_documents(x: Tables) -> DataFrame:
     return kept.select("doc_id", F.sha2(red.redact_column(F.col("text"))["text"], 256).alias("digest"))
 
 
+@query()
+def redacted_texts(x: Tables) -> DataFrame:
+    """Every row's text by all rules, by the whole-match rules alone, and what fired; a null text stays null. SQL can't say the gated rule's replacements."""
+    d = x.documents.select("doc_id", "text", red.redact_column(F.col("text")).alias("r"))
+    return d.select("doc_id", F.col("r.text").alias("text"), red.redact_native(F.col("text")).alias("keys_text"), F.col("r.rules").alias("rules"))
+
+
 @query()
 def redaction_counts(x: Tables) -> DataFrame:
     r = x.documents.select("doc_id", red.redact_column(F.col("text")).alias("r"))
