@@ -143,6 +143,48 @@ def test_cached_words_equal_the_library():
         assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tk.encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(n):
+    """A word of two letters and its complement: any polynomial over their bytes modulo 2^64 gives both one hash."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    e = token_files.CachedWordEncoder(bpe.tokenizer_text("word_bpe_49k.json"))
+    texts = [*thue_morse(1024), "the cat", "the dog", "a the"]
+    want = [e.tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.encode(texts)] == want
+    monkeypatch.setattr(token_files, "byte_hashes", lambda data, begin, end: (end - begin).astype(np.uint64) + np.uint64(1))  # one hash for all words of a length
+    e.clear()
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode(texts)] == want
+
+
+def test_token_files_of_colliding_words_and_one_id(spark):
+    js = bpe.tokenizer_text("word_bpe_49k.json")
+    tk = token_files.CachedWordEncoder(js).tk
+    texts = [*thue_morse(1024)] + ["the same text"] * 400 + [f"text {k}" for k in range(100)]
+    docs = spark.createDataFrame([(1 if 2 <= k < 402 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    out, folder = token_files.token_files(spark, docs, js, shards=8, seq_len=32)
+    rows = out.collect()
+    crc = lambda t: zlib.crc32(np.array([*tk.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((r.doc_id, r.ids_crc32) for r in rows) == sorted((r.doc_id, crc(r.text)) for r in docs.collect())
+    rows.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows) and [r.start for r in rows[1:]] == np.cumsum([r.n_tokens for r in rows])[:-1].tolist()
+    sizes = [sum(b.num_rows for b in token_files.ShardReader(f"{folder}/{k:06d}.arrows").batches) for k in range(8)]
+    assert min(sizes) > 0 and max(sizes) < 0.4 * sum(sizes)  # the hot id has several files
+
+
+def test_width_follows_the_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "the cat"), (2, "日本")], "doc_id long, text string")
+    js = bpe.tokenizer_text("word_bpe_49k.json")
+    assert not token_files.needs_wide(js) and token_files.needs_wide(js, 70_000)
+    with pytest.raises(ValueError):
+        token_files.write_token_files(docs, js, "file:///tmp/none", 1, end_id=70_000, wide=False)
+    out, folder = token_files.token_files(spark, docs, js, shards=1, end_id=70_000)
+    assert out.count() == 2 and 70_000 in token_files.ShardReader(f"{folder}/000000.arrows").sequence(0)[0]
+
+
 @pytest.mark.parametrize("shards", [1, 3])
 def test_token_files(spark, shards):
     from tokenizers import Tokenizer

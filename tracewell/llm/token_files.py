@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, column, text_groups, with_text
-from .words import byte_hashes
+from .words import byte_hashes, mix
 
 SEQ_LEN, ROWS, END_ID = 2048, 64, 2
 BATCH_CHARS = 2_000_000
@@ -39,7 +39,8 @@ class CachedWordEncoder:
     The shortcut serves texts of ASCII (but the apostrophe, for contractions) and Latin letters, where the
     library's normalisation is lower-casing and its split is into runs of letters, single digits and runs of
     other marks. There a batch is split and its words hashed (64 bits) by numpy, and only words not met before
-    go to the library. All other texts, and those that might hold a special token, go to the library whole.
+    go to the library. A hash only finds a place: the word that is kept there is compared byte by byte, and a text
+    with a word that differs goes to the library whole, as do all other texts and those that might hold a special token.
     """
 
     OTHER = re.compile(r"[^\t\n\r -&(-~À-ÖØ-öø-ɏ]|<\||İ")
@@ -57,10 +58,14 @@ class CachedWordEncoder:
     def clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and where their ids stand
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.letters, self.word_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # the words themselves, by slot
         self.direct_key, self.direct_slot = np.zeros(1 << self.DIRECT, np.uint64), np.zeros(1 << self.DIRECT, np.int64)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """hashes: ascending."""
+        written = [w.encode() for w in words]
+        self.letters = np.concatenate((self.letters, np.frombuffer(b"".join(written), np.uint8)))
+        self.word_at = np.concatenate((self.word_at, self.word_at[-1] + np.cumsum([len(w) for w in written])))
         ids, counts = [], []
         chunks = [words[k : k + 500] for k in range(0, len(words), 500)]
         for own, e in zip(chunks, self.tk.encode_batch([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
@@ -92,6 +97,17 @@ class CachedWordEncoder:
             self.direct_slot[d[rest[free][same]]] = self.slots[at[free][same]]
         return slot, known
 
+    def _other(self, slot: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the words that are not the ones kept in their slots."""
+        n, first = end - begin, self.word_at[slot]
+        odd = n != self.word_at[slot + 1] - first
+        same = np.flatnonzero(~odd)
+        n, stop = n[same], np.cumsum(n[same])
+        place = np.arange(stop[-1] if len(stop) else 0)
+        differs = data[np.repeat(begin[same] - stop + n, n) + place] != self.letters[np.repeat(first[same] - stop + n, n) + place]
+        odd[same[np.searchsorted(stop, np.flatnonzero(differs), side="right")]] = True
+        return np.flatnonzero(odd)
+
     def _fast(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.lower().encode() for t in texts]
         raw = b"\n".join(parts) + b"\n"
@@ -117,7 +133,10 @@ class CachedWordEncoder:
         ids = self.flat[np.repeat(self.start[slot] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
         text_at = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
         cut = np.concatenate(([0], stop))[np.searchsorted(begin, text_at)]
-        return [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        out = [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        for k in np.unique(np.searchsorted(text_at, begin[self._other(slot, data, begin, end)], side="right") - 1).tolist():
+            out[k] = np.array(self.tk.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         slow = [k for k, t in enumerate(texts) if self.OTHER.search(t)]
@@ -212,24 +231,43 @@ def _deal_keys(spark: SparkSession, shards: int) -> list[int]:
     return [found.get(s, s) for s in range(shards)]
 
 
-def write_token_files(docs: DataFrame, tokenizer_json: str, folder: str, shards: int, end_id: int = END_ID, seq_len: int = SEQ_LEN, wide: bool = False) -> DataFrame:
+def needs_wide(tokenizer_json: str, end_id: int = END_ID) -> bool:
+    """Whether some id takes over 16 bits."""
+    from tokenizers import Tokenizer
+
+    return max([end_id, *Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).values()]) > np.iinfo(np.uint16).max
+
+
+def shard_of(ids: np.ndarray, cuts: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Shard of each row: the number of cuts below its id. Where several cuts are the same id, its rows are dealt over as many shards by turn (0 up to 1)."""
+    low, high = np.searchsorted(cuts, ids, side="left"), np.searchsorted(cuts, ids, side="right")
+    return low + (turn * np.maximum(1, high - low)).astype(np.int64)
+
+
+def write_token_files(docs: DataFrame, tokenizer_json: str, folder: str, shards: int, end_id: int = END_ID, seq_len: int = SEQ_LEN, wide: bool | None = None) -> DataFrame:
     """Writes shard files named by number and returns the index, lazily: doc_id, shard, start (in the shard), n_tokens.
 
     A null text counts as empty and has the end id alone. A null id comes before all others; rows of one id
-    stand in the order of their encoded ids. Reading the index writes the files; read it once, into a table.
+    stand in the order of their encoded ids within a shard, and an id with more rows than a shard holds is dealt over
+    several. wide: ids of 32 bits; by default where the vocabulary needs them, and a narrow file of such a vocabulary is
+    refused. Reading the index writes the files; read it once, into a table.
     """
-    spark = docs.sparkSession
+    spark, needed = docs.sparkSession, needs_wide(tokenizer_json, end_id)
+    if wide is False and needed:
+        raise ValueError("the vocabulary has ids of over 16 bits")
+    wide = needed if wide is None else wide
     js = spark.sparkContext.broadcast(tokenizer_json)
     d = with_text(docs)
     cuts = d.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 10_000).alias("q")).first().q or []
-    bounds = np.unique(np.array(cuts if shards > 1 else [], np.int64))
+    bounds = np.array(cuts if shards > 1 else [], np.int64)
     deal = np.array(_deal_keys(spark, shards), np.int32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(js.value)
+        enc, seen = word_encoder(js.value), 0
         for batch in batches:
             keys = column(batch, "doc_id")
-            shard = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
+            turn = mix(np.arange(seen, seen + batch.num_rows, dtype=np.uint64)).astype(np.float64) / 2**64.001
+            shard, seen = shard_of(keys.fill_null(np.iinfo(np.int64).min).to_numpy(), bounds, turn), seen + batch.num_rows
             for x, y, texts in text_groups(batch, BATCH_CHARS):
                 ids = [np.append(i, end_id).astype("<u4" if wide else "<u2").tobytes() for i in enc.encode(texts)]
                 yield pa.RecordBatch.from_arrays([keys[x:y], pa.array(shard[x:y].astype(np.int32)), pa.array(deal[shard[x:y]]), pa.array(ids, pa.binary())], ["doc_id", "shard", "deal", "ids"])
