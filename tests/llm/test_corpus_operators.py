@@ -125,33 +125,79 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {got[k] for k in range(1500)} == {0} and all(got[k] == k for k in range(1500, 1550))
 
 
-def links_asked(spark, monkeypatch, n):
-    """Of n near copies, none of which is verified: the links asked for, and all pairs that share a bucket and agree enough."""
-    rng, asked = random.Random(12), set()
-    origin = prose(rng, 120).split()
-    texts = dict.fromkeys(" ".join(prose(rng, 1) if rng.random() < 0.02 else w for w in origin) for _ in range(n))
-    docs = rows(spark, texts).cache()
+def brute_classes(texts, spark):
+    """The least number of each text's component under exact weighted similarities of all pairs."""
+    docs = rows(spark, texts)
+    idf = neardup.idf_table(*neardup.document_frequencies(docs))
+    own = neardup.text_profiles(texts, idf)
+    label = list(range(len(texts)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(own[a][0]) and len(own[b][0]) and neardup.weighted_jaccard(own[a], own[b]) >= neardup.SIMILARITY:
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return {k: root(k) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("block", [6, 1024])
+def test_a_group_without_an_origin_equals_brute_force(spark, monkeypatch, block):
+    """Near copies of a text that is not there, of all similarities around the threshold; blocks so small that most pairs lie in different ones."""
+    rng = random.Random(12)
+    origin, other = prose(rng, 120).split(), prose(rng, 120).split()
+    texts = list(dict.fromkeys(" ".join(prose(rng, 1) if rng.random() < share else w for w in base) for base in (origin, other) for share in (0.01, 0.015, 0.02, 0.03) for _ in range(20)))
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark, rows(spark, texts)).collect()}
+    want = brute_classes(texts, spark)
+    assert 4 < len(set(want.values())) < len(texts) - 20 and np.mean([got[k] == want[k] for k in want]) > 0.98
+
+
+def test_cells_give_exact_similarities():
+    rng = np.random.default_rng(5)
+    pool = np.sort(rng.integers(1, 2**63, 300, dtype=np.uint64))
+    idf = rng.uniform(1, 1.5, neardup.DF_BINS).astype(np.float32)
+
+    def one():
+        h = np.sort(rng.choice(pool, rng.integers(1, 250), replace=False))
+        return h, rng.choice([1, 1, 1, 2, 3, 50], len(h)).astype(np.uint32), idf[neardup.bins_of(h, len(idf))]
+
+    home, asking = [one() for _ in range(9)], [one() for _ in range(7)]
+    got = neardup.cell_similarities(home, asking)
+    want = [[neardup.weighted_jaccard((a, (1 + np.log(m)) * i), (b, (1 + np.log(n)) * j)) for b, n, j in home] for a, m, i in asking]
+    assert np.allclose(got, want, atol=1e-5)
+    labels = list(range(16))
+    links = neardup.cell_links(labels, home + asking, list(range(9)), list(range(9, 16)), 0.3)
+    assert 0 < len(links) < 16 and all(want[a - 9][b] >= 0.3 for a, b in links)
+
 
-    def none(links, *_):
-        asked.update((r.a, r.b) for r in links.collect())
-        return links.limit(0)
+def test_complementary_words_are_two_classes(spark):
+    from .test_text_operators import thue_morse
 
-    monkeypatch.setattr(neardup, "verified", none)
-    neardup.near_duplicates(spark, docs).collect()
-    idf = spark.sparkContext.broadcast(neardup.idf_table(*neardup.document_frequencies(docs)))
-    reps = {r.doc_id: (np.frombuffer(r.sig, np.uint32), set(r.bands)) for r in neardup.profiles(docs, idf).collect()}
-    return asked, {(a, b) for a, (s, x) in reps.items() for b, (t, y) in reps.items() if a < b and x & y and (s == t).mean() >= neardup.CANDIDATE_SHARE}
+    got = neardup.near_duplicates(spark, rows(spark, list(thue_morse(1024)))).collect()
+    assert {r.doc_id: r.class_id for r in got} == {0: 0, 1: 1}
 
 
-def test_a_failed_link_is_followed_by_the_next(spark, monkeypatch):
-    asked, want = links_asked(spark, monkeypatch, 30)
-    assert len(want) > 200 and want <= asked
+def test_one_id_with_two_texts(spark):
+    """Near copies of either text are of the id's class; an id with very many texts makes no pairs."""
+    rng = random.Random(21)
+    base = [prose(rng, 80).split() for _ in range(3)]
 
+    def near(w):
+        w = list(w)
+        w[rng.randrange(80)] = "zz"
+        return " ".join(w)
 
-def test_texts_of_different_blocks_meet(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 6)
-    asked, want = links_asked(spark, monkeypatch, 40)
-    assert len(want) > 200 and want <= asked
+    texts = [(1, " ".join(base[0])), (1, " ".join(base[1])), (1, " ".join(base[2])), (5, near(base[0])), (6, near(base[1])), (7, near(base[2])), (8, prose(rng, 50)), (1, " ".join(base[1]))]
+    texts += [(9, prose(rng, 30)) for _ in range(300)] + [(10, texts[-1][1])]
+    d = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts], COLUMNS).repartition(3)
+    assert {(r.doc_id, r.class_id) for r in neardup.near_duplicates(spark, d).collect()} == {(1, 1), (5, 1), (6, 1), (7, 1), (8, 8), (9, 9), (10, 1)}
+    kept = sorted(tuple(r) for r in neardup.keep_one(spark, d).collect())
+    assert [k for k, *_ in kept] == [1, 8, 9] and kept == sorted(tuple(r) for r in neardup.keep_one(spark, d.repartition(5)).collect())
 
 
 def test_odd_tables(spark):
