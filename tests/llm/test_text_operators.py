@@ -240,21 +240,76 @@ def test_main_text():
     assert np.mean([html_text.says(tree, r[:-1]) == bool(r[-1]) for r in html_text.LABELLED]) == 1
 
 
-@pytest.mark.parametrize("attributes, kind", [('style="overflow:hidden"', ""), ('title="hidden costs"', ""), ('data-hidden="false"', ""), ("title='id=sidebar'", ""), ("href=hidden", ""), ("hidden", "skipped"), ('class=x HIDDEN=""', "skipped"), ("aria-hidden = 'true'", "skipped"), ('title="a" id = sidebar', "aside"), ('data-x="1"class="comments"', "comments")])
+@pytest.mark.parametrize("attributes, kind", [('style="overflow:hidden"', ""), ('title="hidden costs"', ""), ('data-hidden="false"', ""), ("title='id=sidebar'", ""), ("href=hidden", ""), ("hidden", "skipped"), ('class=x HIDDEN=""', "skipped"), ("aria-hidden = 'true'", "skipped"), ('title="a" id = sidebar', "part"), ("class=nav", "soft"), ("role=search", "tagged"), ('data-x="1"class="comments"', "comments")])
 def test_only_an_attribute_of_its_name_counts(attributes, kind):
     assert html_text._kind("div", " " + attributes) == kind
     page = f"<div {attributes}><article><p>the text of an article</p></article></div>"
     assert html_text.main_text(page, html_text.trained_tree()) == ("" if kind in ("skipped", "comments") else "the text of an article")
 
 
-def test_the_tree_keeps_articles_and_drops_asides():
+#: Blocks labelled by hand that the tree has not seen.
+HELD_OUT = [
+    (33, 0.0, 7, 0.0, 48, 0.1, 1, 0, 1), (5, 0.0, 2, 1.0, 33, 0.0, 1, 0, 1), (1, 0.0, 7, 0.0, 9, 0.0, 1, 0, 1), (75, 0.15, 1, 1.0, 2, 1.0, 1, 0, 1), (8, 1.0, 35, 0.0, 51, 0.0, 1, 0, 1), (11, 0.4, 44, 0.0, 44, 0.0, 1, 0, 1),
+    (2, 1.0, 3, 1.0, 2, 1.0, 1, 0, 0), (10, 0.95, 8, 1.0, 12, 1.0, 1, 0, 0), (3, 1.0, 5, 1.0, 22, 0.0, 1, 0, 0),
+    (70, 0.0, 10, 0.0, 65, 0.0, 1, 1, 1), (85, 0.02, 20, 0.0, 0, 0.0, 0, 1, 1), (4, 1.0, 5, 1.0, 6, 1.0, 0, 1, 0), (7, 0.0, 66, 0.0, 30, 0.0, 0, 1, 0), (55, 0.9, 3, 1.0, 45, 0.8, 0, 1, 0),
+    (45, 0.0, 30, 0.0, 66, 0.0, 1, 2, 0), (11, 0.1, 70, 0.0, 0, 0.0, 0, 3, 0), (180, 0.0, 30, 0.0, 40, 0.0, 0, 2, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 3, 0),
+    (65, 0.0, 6, 0.0, 35, 0.0, 0, 0, 1), (35, 0.1, 50, 0.0, 3, 1.0, 0, 0, 1), (7, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1), (5, 0.0, 2, 1.0, 85, 0.0, 0, 0, 1),
+    (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (5, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0), (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0), (25, 0.8, 3, 1.0, 30, 0.9, 0, 0, 0),
+]
+
+
+def used(tree):
+    return set() if len(tree) == 1 else {html_text.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+
+def test_the_tree_on_blocks_it_has_not_seen():
     tree = html_text.trained_tree()
-    for words in (1, 4, 12, 60, 300):
-        for links in (0, 0.3, 1):
-            for before, after in ((0, 0), (1, 50), (80, 2)):
-                for near in (0, 1):
-                    assert html_text.says(tree, (words, links, before, near, after, near, 1, 0))
-                    assert not html_text.says(tree, (words, links, before, near, after, near, 1, 1)) and not html_text.says(tree, (words, links, before, near, after, near, 0, 1))
+    assert np.mean([html_text.says(tree, r[:-1]) == bool(r[-1]) for r in HELD_OUT]) >= 0.95
+    assert {"words", "links", "marked", "article"} <= used(tree) and used(tree) & {"links_before", "links_after"} and used(tree) & {"words_before", "words_after"}
+    # by chance a tree that forgets the neighbours, or the words and links, does worse on the table
+    for drop in ((2, 3, 4, 5), (0, 1)):
+        keep = [k for k in range(8) if k not in drop]
+        x, y = html_text.LABELLED[:, keep], html_text.LABELLED[:, -1]
+        less = html_text.grow(x, y)
+        assert np.mean([html_text.says(less, r) == bool(v) for r, v in zip(x, y, strict=True)]) < 1
+
+
+def paragraph(n, word="word"):
+    return " ".join(f"{word}{k}" for k in range(n))
+
+
+LINKS = "<ul>" + "".join(f"<li><a href=/{k}>item {k}</a></li>" for k in range(5)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<article class="book-reviews"><h1>A title</h1><p>{paragraph(90)}</p></article>', "A title " + paragraph(90)),
+        (f'<article class="comments"><p>{paragraph(30)}</p></article>', paragraph(30)),
+        (f'<article><p>{paragraph(50)}</p><div class="post-tags-list"><p>{paragraph(60, "x")}</p></div></article>', paragraph(50) + " " + paragraph(60, "x")),
+        (f'<article><p>{paragraph(50)}</p><div class="post-tags-list">{LINKS}</div></article>', paragraph(50)),
+        (f"<article><p>{paragraph(50)}</p>{LINKS}</article>", paragraph(50)),
+        (f"<nav>{LINKS}</nav><div><h1>The title</h1><p>{paragraph(60)}</p><h2>Part</h2><p>{paragraph(70, 'x')}</p></div>{LINKS}<div>(c) 2020 X</div>", f"The title {paragraph(60)} Part {paragraph(70, 'x')}"),
+        (f"{LINKS}<div><p>{paragraph(60)}</p></div>", paragraph(60)),
+        (f'<article><p>{paragraph(40)}</p><div class="ad">{paragraph(45, "buy")}</div><p>{paragraph(3)}</p></article><div id=comments><article>{paragraph(80, "me")}</article></div>', paragraph(40) + " " + paragraph(3)),
+        (f'<div class="cookie-notice"><p>{paragraph(50, "cookie")}</p></div>{LINKS}', ""),
+    ],
+)
+def test_words_and_links_decide(page, want):
+    assert html_text.main_text(page, html_text.trained_tree()) == want
+
+
+def test_nesting_takes_linear_time():
+    import time
+
+    def seconds(page):
+        start = time.perf_counter()
+        html_text.blocks_of(page)
+        return time.perf_counter() - start
+
+    for make in (lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<span class=x>a</b>" * n, lambda n: "<p><b>a" * n, lambda n: "<div class=ad><section>a" * n):
+        seconds(make(100))
+        assert seconds(make(32_000)) < 20 * max(0.01, min(seconds(make(4_000)) for _ in range(3)))
 
 
 def test_pages(spark):
@@ -264,5 +319,7 @@ def test_pages(spark):
     for r, p in zip(html_text.extract(table(spark, SF, "pages")).orderBy("page_id").collect(), table(spark, SF, "pages").orderBy("page_id").collect(), strict=True):
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.search(r"<article>(.*)</article>", p.html, re.S)[1])).split())
         assert (r.text, r.n_chars, r.url) == (want, len(want), p.url)
-    odd = spark.createDataFrame([(1, None, None), (None, "u", "<article>a<b>b</b>"), (2, "u", "")], "page_id long, url string, html string")
+    odd = spark.createDataFrame([(1, None, None, "a", 1), (None, "u", "<article>a<b>b</b>", None, None), (2, "u", "", "b", 2)], "page_id long, url string, html string, text string, n_chars int")
+    deep = spark.createDataFrame([(1, "u", "<article>" + "<div>" * 20_000 + "one" + "</div>" * 20_000 + "<p>two" * 20_000)], "page_id long, url string, html string")
+    assert html_text.extract(deep).first().text == "one" + " two" * 20_000 and html_text.extract(odd.limit(0)).count() == 0
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract(odd).collect()) == [("1", "", 0), ("2", "", 0), ("None", "ab", 2)]

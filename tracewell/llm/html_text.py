@@ -1,9 +1,10 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page is cut into blocks at block-level tags. Each block has its words, the share of them in links, whether
-it stands in the page's article and whether in a part that is no article text (by tag, role, class or id);
-it also sees words and link shares of the blocks before and after it. A decision tree says which blocks are
-main text. The tree is trained here on `LABELLED`, a small table of blocks labelled by hand.
+A page is cut into blocks at block-level tags. A block's features are its words, the share of them in links, the
+same of the blocks before and after it, whether it stands in an article, and how it is marked: 0 not at all, 1
+by a name that parts with links or few words mostly have, 2 by the name of a part that is never article text (advert,
+notice, comments), 3 by a tag or role of that kind. A decision tree says which blocks are main text. It is
+trained here on `LABELLED`, a small table of blocks labelled by hand. Names alone decide only at mark 2 and above.
 """
 
 from __future__ import annotations
@@ -26,12 +27,10 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 SKIPPED_TAGS = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button title head datalist".split())
 ASIDE_TAGS = frozenset("nav aside footer header form dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words in a class or id that name a part besides the article. A hit must be a whole part of the name.
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebars?|aside|rail|widgets?|nav\w*|menus?|breadcrumbs?|masthead|topbar|toolbar|header|footer|foot|copyright|legal|cookies?|consent|gdpr|notices?|notifications?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|share|sharing|social|related|recommended|recommendations|trending|comments?|commentlist|disqus|replies|respond|reviews?|pagination|pager|search|tags|skip)(?:$|[\s_-])",
-    re.I,
-)
-COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond|reviews?)(?:$|[\s_-])", re.I)
+#: Names of parts, as whole parts of a class or id. Parts whose text is none of the article's, however much it is; of these, comments, which an article tag within doesn't lift; parts mostly of links or few words.
+PART_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|login|paywall|popup|modal|overlay|notices?|notifications?|sidebars?|footer|copyright|masthead)(?:$|[\s_-])", re.I)
+COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
+SOFT_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|aside|rail|widgets?|nav\w*|menus?|breadcrumbs?|topbar|toolbar|header|foot|legal|alert|share|sharing|social|related|recommended|recommendations|trending|reviews?|pagination|pager|search|tags|skip)(?:$|[\s_-])", re.I)
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|$)", re.S)
 #: Name and value of each attribute from left to right, so that nothing within a value is taken for a name.
@@ -43,15 +42,22 @@ class Block(NamedTuple):
     words: int
     links: float
     article: int
-    aside: int
+    marked: int
 
 
 class _Open(NamedTuple):
+    """An open element, and what holds within it: article, mark, whether an article lifts the mark, and skipped; block tags up to it."""
+
     tag: str
-    kind: str  # "article", "aside", "comments", "skipped" or ""
+    article: int
+    marked: int
+    liftable: bool
+    skipped: bool
+    blocks: int
 
 
 def _kind(tag: str, attributes: str) -> str:
+    """skipped, comments, part, tagged, soft, article or nothing."""
     if tag in SKIPPED_TAGS:
         return "skipped"
     names = ""
@@ -61,39 +67,38 @@ def _kind(tag: str, attributes: str) -> str:
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return "skipped"
             if name == "role" and value.lower() in ASIDE_ROLES:
-                return "aside"
+                return "tagged"
             if name in ("class", "id"):
                 names += " " + value
-    if names and COMMENT_NAMES.search(names):
-        return "comments"
     if tag in ASIDE_TAGS:
-        return "aside"
-    if names and ASIDE_NAMES.search(names) and tag not in ("html", "body"):
-        return "aside"
-    return "article" if tag in ("article", "main") else ""
+        return "comments" if names and COMMENT_NAMES.search(names) else "tagged"
+    if tag in ("article", "main"):  # it says what it is, whatever it is called
+        return "article"
+    if names and tag not in ("html", "body"):
+        return "comments" if COMMENT_NAMES.search(names) else "part" if PART_NAMES.search(names) else "soft" if SOFT_NAMES.search(names) else ""
+    return ""
+
+
+_MARKS = {"comments": 2, "part": 2, "tagged": 3, "soft": 1}
+
+
+def _opened(tag: str, kind: str, outer: _Open) -> _Open:
+    blocks = outer.blocks + (tag in BLOCK_TAGS)
+    if kind == "article":
+        lifted = outer.liftable or not outer.marked  # an article in an unclosed aside counts; one among comments doesn't
+        return _Open(tag, 1, 0 if lifted else outer.marked, lifted, outer.skipped, blocks)
+    if kind in _MARKS:
+        return _Open(tag, outer.article, max(outer.marked, _MARKS[kind]), kind != "comments" and (outer.liftable or not outer.marked), outer.skipped, blocks)
+    return outer._replace(tag=tag, skipped=outer.skipped or kind == "skipped", blocks=blocks)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, each with its text (references decoded, white space single) and what is said about it above."""
+    """The blocks of a page in order, each with its text (references decoded, white space single) and what is said about it above. Time is linear in the page, however deep it nests."""
     out: list[Block] = []
-    stack: list[_Open] = []
+    stack: list[_Open] = [_Open("", 0, 0, True, False, 0)]
+    places: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
     parts: list[str] = []
     link_words, links_open = 0, 0
-    article = aside = skipped = 0
-
-    def place() -> None:
-        nonlocal article, aside, skipped
-        article = aside = skipped = 0
-        for o in stack:
-            if o.kind == "article":
-                article = 1
-                aside = 2 if aside == 2 else 0  # an article in an unclosed aside counts; one among comments doesn't
-            elif o.kind == "aside":
-                aside = max(aside, 1)
-            elif o.kind == "comments":
-                aside = 2
-            elif o.kind == "skipped":
-                skipped = 1
 
     def flush() -> None:
         nonlocal link_words
@@ -101,15 +106,22 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 n = len(text.split())
-                out.append(Block(text, n, min(1.0, link_words / n), article, int(aside > 0)))
+                out.append(Block(text, n, min(1.0, link_words / n), stack[-1].article, stack[-1].marked))
             parts.clear()
         link_words = 0
 
+    def close(k: int) -> None:
+        """Closes all from the k-th open element on. What has another mark than what follows is a block of its own."""
+        if stack[-1][1:5] != stack[k - 1][1:5]:
+            flush()
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
     at = 0
     while at < len(page):
         m = _MARKUP.search(page, at)
         stop = m.start() if m else len(page)
-        if stop > at and not skipped:
+        if stop > at and not stack[-1].skipped:
             parts.append(page[at:stop])
             if links_open:
                 link_words += len(page[at:stop].split())
@@ -117,12 +129,12 @@ def blocks_of(page: str) -> list[Block]:
             break
         at = m.end()
         tag = (m[1] or "").lower()
-        if m[0].startswith("<![CDATA[") and not skipped:
+        if m[0].startswith("<![CDATA[") and not stack[-1].skipped:
             parts.append(html.escape(m[0][9:].removesuffix("]]>")))
         if not tag:
             continue
         if m[0][1] != "/":
-            if tag == "br" and not skipped:
+            if tag == "br" and not stack[-1].skipped:
                 parts.append(" ")
             if tag in BLOCK_TAGS:
                 flush()
@@ -133,56 +145,58 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if tag in VOID_TAGS or m[3]:
                 continue
-            kind = _kind(tag, m[2])
             if tag == "a":
                 links_open += 1
-            if tag == "p" and any(o.tag == "p" for o in stack):  # a paragraph ends where the next begins
-                k = max(i for i, o in enumerate(stack) if o.tag == "p")
-                if not any(o.tag in BLOCK_TAGS for o in stack[k + 1 :]):
-                    del stack[k:]
-            if kind:
+            if tag == "p" and places.get("p"):  # a paragraph ends where the next begins
+                k = places["p"][-1]
+                if stack[-1].blocks == stack[k].blocks:
+                    close(k)
+            new = _opened(tag, _kind(tag, m[2]), stack[-1])
+            if new[1:5] != stack[-1][1:5]:
                 flush()
-            stack.append(_Open(tag, kind))
-            if kind or tag == "p":
-                place()
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(new)
         else:
             if tag in BLOCK_TAGS:
                 flush()
             if tag == "a":
                 links_open = max(0, links_open - 1)
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
-            if k >= 0 and (tag in BLOCK_TAGS or not any(o.tag in BLOCK_TAGS for o in stack[k + 1 :])):
-                special = any(o.kind for o in stack[k:])
-                if special:
-                    flush()
-                del stack[k:]
-                if special:
-                    place()
+            if places.get(tag):
+                k = places[tag][-1]
+                if tag in BLOCK_TAGS or stack[-1].blocks == stack[k].blocks:
+                    close(k)
     flush()
     return out
 
 
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "aside"]
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "marked"]
 #: Blocks labelled by hand: the features in their order, and 1 for main text.
 LABELLED = np.array(
     [
-        # paragraphs, titles and single words within an article
+        # paragraphs, titles and single words within an article, by menus, adverts and each other
         (45, 0.0, 12, 0.0, 60, 0.0, 1, 0, 1), (80, 0.02, 45, 0.0, 30, 0.0, 1, 0, 1), (1, 0.0, 50, 0.0, 70, 0.0, 1, 0, 1), (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 1),
-        (6, 0.0, 4, 1.0, 55, 0.0, 1, 0, 1), (12, 0.5, 30, 0.0, 25, 0.1, 1, 0, 1), (4, 1.0, 40, 0.0, 40, 0.0, 1, 0, 1), (150, 0.0, 9, 0.0, 5, 0.2, 1, 0, 1),
-        (9, 0.0, 6, 0.0, 0, 0.0, 1, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (300, 0.05, 4, 1.0, 8, 0.0, 1, 0, 1), (20, 0.0, 2, 1.0, 8, 0.3, 1, 0, 1),
-        (50, 0.0, 20, 0.0, 3, 1.0, 1, 0, 1), (2, 0.0, 80, 0.0, 12, 1.0, 1, 0, 1), (6, 0.1, 1, 1.0, 1, 1.0, 1, 0, 1), (4, 0.0, 60, 0.0, 20, 0.9, 1, 0, 1), (9, 1.0, 5, 0.9, 4, 1.0, 1, 0, 1), (110, 0.0, 3, 1.0, 40, 0.8, 1, 0, 1),
-        (30, 0.6, 9, 0.7, 8, 0.6, 1, 0, 1), (1, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1),
-        # menus, adverts, notices, comments, footers, within an article or not
-        (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 2, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 10, 0.0, 0, 1, 0), (9, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0),
-        (12, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0), (60, 0.0, 70, 0.0, 80, 0.0, 0, 1, 0), (35, 0.1, 2, 1.0, 3, 1.0, 0, 1, 0), (40, 0.0, 60, 0.0, 55, 0.0, 1, 1, 0),
-        (5, 0.6, 90, 0.0, 40, 0.0, 1, 1, 0), (25, 0.0, 9, 0.0, 31, 0.0, 1, 1, 0), (100, 0.0, 40, 0.0, 90, 0.0, 0, 1, 0), (8, 0.0, 5, 0.0, 4, 0.0, 0, 1, 0),
+        (6, 0.0, 4, 1.0, 55, 0.0, 1, 0, 1), (150, 0.0, 9, 0.0, 5, 0.2, 1, 0, 1), (9, 0.0, 6, 0.0, 0, 0.0, 1, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
+        (300, 0.05, 4, 1.0, 8, 0.0, 1, 0, 1), (20, 0.0, 2, 1.0, 8, 0.3, 1, 0, 1), (50, 0.0, 20, 0.0, 3, 1.0, 1, 0, 1), (2, 0.0, 80, 0.0, 12, 1.0, 1, 0, 1),
+        (6, 0.1, 1, 1.0, 1, 1.0, 1, 0, 1), (4, 0.0, 60, 0.0, 20, 0.9, 1, 0, 1), (110, 0.0, 3, 1.0, 40, 0.8, 1, 0, 1), (1, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1),
+        # in an article, a line with links, or that is one link, between text
+        (12, 0.5, 30, 0.0, 25, 0.1, 1, 0, 1), (4, 1.0, 40, 0.0, 40, 0.0, 1, 0, 1), (7, 0.6, 50, 0.1, 9, 0.0, 1, 0, 1), (3, 1.0, 12, 0.0, 60, 0.2, 1, 0, 1), (9, 0.9, 70, 0.0, 10, 0.0, 1, 0, 1), (5, 0.8, 6, 0.3, 30, 0.0, 1, 0, 1), (30, 0.6, 22, 0.2, 31, 0.1, 1, 0, 1),
+        # lists of links in an article
+        (3, 1.0, 4, 1.0, 5, 1.0, 1, 0, 0), (6, 0.9, 5, 1.0, 3, 1.0, 1, 0, 0), (4, 1.0, 60, 0.0, 3, 1.0, 1, 0, 0), (5, 1.0, 4, 1.0, 70, 0.0, 1, 0, 0), (2, 1.0, 2, 1.0, 0, 0.0, 1, 0, 0), (9, 1.0, 5, 0.9, 4, 1.0, 1, 0, 0), (20, 0.9, 18, 0.8, 15, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (7, 0.85, 30, 0.1, 8, 0.9, 1, 0, 0),
+        # of soft name: long text with few links, in an article or not
+        (90, 0.0, 0, 0.0, 0, 0.0, 1, 1, 1), (60, 0.0, 8, 0.0, 40, 0.0, 1, 1, 1), (45, 0.1, 60, 0.0, 2, 1.0, 1, 1, 1), (60, 0.0, 50, 0.0, 70, 0.0, 0, 1, 1), (120, 0.05, 3, 1.0, 80, 0.0, 0, 1, 1), (50, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (200, 0.1, 90, 0.0, 4, 1.0, 0, 1, 1),
+        # of soft name: links and short lines
+        (3, 1.0, 60, 0.0, 3, 1.0, 1, 1, 0), (8, 0.0, 90, 0.0, 40, 0.0, 1, 1, 0), (25, 0.6, 9, 0.0, 31, 0.0, 1, 1, 0), (5, 0.6, 90, 0.0, 40, 0.0, 1, 1, 0), (2, 1.0, 1, 1.0, 10, 0.0, 0, 1, 0), (9, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0),
+        (30, 0.2, 5, 0.0, 28, 0.3, 0, 1, 0), (45, 0.8, 3, 1.0, 40, 0.9, 0, 1, 0), (60, 0.7, 2, 1.0, 50, 0.8, 0, 1, 0), (1, 0.0, 80, 0.0, 60, 0.0, 0, 1, 0), (20, 0.0, 4, 1.0, 22, 0.0, 0, 1, 0), (12, 0.0, 40, 0.0, 80, 0.0, 1, 1, 0),
+        # adverts, notices, comments, and what stands in menus, footers and forms, within an article or not
+        (9, 0.0, 1, 1.0, 12, 0.0, 0, 2, 0), (12, 0.0, 80, 0.0, 0, 0.0, 0, 3, 0), (60, 0.0, 70, 0.0, 80, 0.0, 0, 2, 0), (35, 0.1, 2, 1.0, 3, 1.0, 0, 2, 0), (40, 0.0, 60, 0.0, 55, 0.0, 1, 2, 0), (5, 0.6, 90, 0.0, 40, 0.0, 1, 2, 0),
+        (25, 0.0, 9, 0.0, 31, 0.0, 1, 2, 0), (100, 0.0, 40, 0.0, 90, 0.0, 0, 2, 0), (8, 0.0, 5, 0.0, 4, 0.0, 0, 3, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 3, 0), (2, 1.0, 1, 1.0, 10, 0.0, 0, 3, 0), (250, 0.0, 60, 0.0, 90, 0.0, 0, 2, 0), (150, 0.0, 40, 0.0, 20, 0.0, 1, 3, 0), (80, 0.0, 90, 0.0, 0, 0.0, 0, 3, 0), (120, 0.0, 0, 0.0, 0, 0.0, 1, 2, 0),
         # pages without an article: long text with few links
-        (40, 0.0, 8, 0.0, 50, 0.0, 0, 0, 1), (90, 0.05, 40, 0.0, 70, 0.1, 0, 0, 1), (22, 0.1, 60, 0.0, 45, 0.0, 0, 0, 1), (55, 0.2, 3, 1.0, 60, 0.0, 0, 0, 1), (30, 0.0, 25, 0.0, 2, 1.0, 0, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
-        # and short lines between long paragraphs
-        (5, 0.0, 60, 0.0, 80, 0.0, 0, 0, 1), (8, 0.0, 45, 0.05, 40, 0.0, 0, 0, 1), (3, 0.0, 90, 0.0, 35, 0.0, 0, 0, 1), (10, 0.1, 30, 0.0, 52, 0.0, 0, 0, 1),
+        (40, 0.0, 8, 0.0, 50, 0.0, 0, 0, 1), (90, 0.05, 40, 0.0, 70, 0.1, 0, 0, 1), (22, 0.1, 60, 0.0, 45, 0.0, 0, 0, 1), (55, 0.2, 3, 1.0, 60, 0.0, 0, 0, 1), (30, 0.0, 25, 0.0, 2, 1.0, 0, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (70, 0.0, 3, 1.0, 9, 0.0, 0, 0, 1), (25, 0.0, 4, 1.0, 3, 1.0, 0, 0, 1),
+        # and short lines between long paragraphs, or before one
+        (5, 0.0, 60, 0.0, 80, 0.0, 0, 0, 1), (8, 0.0, 45, 0.05, 40, 0.0, 0, 0, 1), (3, 0.0, 90, 0.0, 35, 0.0, 0, 0, 1), (10, 0.1, 30, 0.0, 52, 0.0, 0, 0, 1), (6, 0.0, 3, 1.0, 70, 0.0, 0, 0, 1), (4, 0.0, 1, 1.0, 45, 0.0, 0, 0, 1), (9, 0.0, 5, 0.5, 60, 0.0, 0, 0, 1),
         # lists of links, labels, single lines of the page's frame
-        (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0), (20, 0.9, 3, 1.0, 18, 0.8, 0, 0, 0), (45, 0.8, 20, 0.9, 5, 1.0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (7, 0.0, 3, 0.5, 6, 0.7, 0, 0, 0), (6, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0),
-        (9, 0.0, 55, 0.0, 0, 0.0, 0, 0, 0), (2, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0), (5, 1.0, 70, 0.0, 60, 0.0, 0, 0, 0), (30, 0.7, 50, 0.0, 4, 1.0, 0, 0, 0), (8, 0.4, 4, 1.0, 9, 0.0, 0, 0, 0),
+        (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0), (20, 0.9, 3, 1.0, 18, 0.8, 0, 0, 0), (45, 0.8, 20, 0.9, 5, 1.0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (7, 0.0, 3, 0.5, 6, 0.7, 0, 0, 0), (6, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0), (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0),
+        (9, 0.0, 55, 0.0, 0, 0.0, 0, 0, 0), (2, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0), (5, 1.0, 70, 0.0, 60, 0.0, 0, 0, 0), (30, 0.7, 50, 0.0, 4, 1.0, 0, 0, 0), (8, 0.4, 4, 1.0, 9, 0.0, 0, 0, 0), (3, 1.0, 50, 0.0, 2, 1.0, 0, 0, 0), (12, 0.0, 80, 0.0, 3, 1.0, 0, 0, 0), (4, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0),
     ]
 )
 
@@ -221,7 +235,7 @@ def main_text(page: str, tree: tuple) -> str:
     kept = []
     for k, b in enumerate(blocks):
         p, n = blocks[k - 1] if k else frame, blocks[k + 1] if k + 1 < len(blocks) else frame
-        if says(tree, (b.words, b.links, p.words, p.links, n.words, n.links, b.article, b.aside)):
+        if says(tree, (b.words, b.links, p.words, p.links, n.words, n.links, b.article, b.marked)):
             kept.append(b.text)
     return " ".join(kept)
 
