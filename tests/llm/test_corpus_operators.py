@@ -237,6 +237,86 @@ def test_restoring(restorer, written, meant):
     assert restorer.word(written) == meant
 
 
+def exhaustive(r, written, gaps=None):
+    """The best text over all paths of the lattice, one by one."""
+    t, best = toxicity, (-np.inf, "")
+
+    def walk(k, a, b, last, used, score, out):
+        nonlocal best
+        if k == len(written):
+            best = max(best, (score + float(r.logp[a, b, 0]), out))
+            return
+        if gaps and k and not out.endswith("|"):
+            wide = gaps[k - 1]
+            walk_char(k, a, b, last, used, score + t.WITHIN[wide], out)
+            if last:
+                walk_char(k, b, 0, "", False, score + t.BETWEEN[wide] + float(r.logp[a, b, 0]), out + " ")
+        else:
+            walk_char(k, a, b, last, used, score, out)
+
+    def walk_char(k, a, b, last, used, score, out):
+        ch = written[k]
+        reads = [(ch, t.ITSELF)] if ch.isalpha() else [(x, t.SIGN) for x in t.LEET.get(ch, "")]
+        for letter, weight in reads:
+            cost, x, y = r._cost(a, b, letter)
+            walk(k + 1, x, y, letter, False, score + weight + cost, out + letter)
+            if letter == last:
+                walk(k + 1, a, b, last, True, score + t.COPY + (t.ITSELF if used else 0), out)
+        if not reads or not ch.isalpha() and (ch in t.MARKS or ch in t.LEET):
+            walk(k + 1, a, b, last, used, score + (t.LOST if ch in t.LEET else t.NOTHING), out)
+
+    walk(0, 0, 0, "", False, 0.0, "")
+    return best
+
+
+def test_decoding_is_the_best_of_all_paths(restorer):
+    rng = random.Random(7)
+    for k in range(150):
+        written = "".join(rng.choice("idotmrnscue10@$!.-*é") for _ in range(rng.randint(1, 8)))
+        gaps = [rng.randint(0, 1) for _ in written[1:]] if k % 3 == 0 else None
+        score, text = exhaustive(restorer, written, gaps)
+        got = restorer.decode(written, gaps)
+        assert got[1] == pytest.approx(score) and got[0].rstrip() == text.rstrip()
+
+
+def test_learned_weights_equal_brute_force(spark):
+    docs, labels, truth = toxic_tables(spark, 600)
+    model = toxicity.train(spark, docs, labels)
+    r, kept = toxicity.Restorer(model.logp), []
+    text = {x.doc_id: x.text for x in docs.collect()}
+    for k in sorted(truth):
+        if zlib.crc32(str(k).encode()) % 5:
+            words = set(r.words(text[k]))
+            if not any(y == truth[k] and len(words & w) >= toxicity.ALIKE * len(words | w) for w, y in kept):  # random texts: none is like another
+                kept.append((words, truth[k]))
+    bad = sum(y for _, y in kept)
+    good, found = len(kept) - bad, []
+    counts = {}
+    for words, y in kept:
+        for f in {f for w in words for f in toxicity.features(w)}:
+            counts.setdefault(f, [0, 0])[1 - y] += 1
+    base = bad / (bad + good)
+    for f, (t, n) in counts.items():
+        if t >= toxicity.LEAST_DOCS:
+            gain = t * np.log(t / ((t + n) * base)) + (n * np.log(n / ((t + n) * (1 - base))) if n else 0)
+            weight = (np.log((t + 0.5) / (bad + 1)) - np.log((n + 0.5) / (good + 1))) * gain / (gain + toxicity.SHRINK)
+            if weight > 0:
+                found.append((f, weight, t, gain))
+    least = np.log(max(1, len(found))) + toxicity.MARGIN
+    want = toxicity.distinct_features([(f, w, t) for f, w, t, g in found if g >= least])
+    assert set(want) == set(model.weights) and {"=idiot", "=moron", "=scum"} <= set(want) and all(model.weights[f] == pytest.approx(w) for f, w in want.items())
+
+
+def test_only_verified_copies_count_once(spark):
+    """Near copies of one toxic text teach no word; different texts with one word do."""
+    rng = random.Random(30)
+    origin = "zorro is a name and " + prose(rng, 30)
+    docs = [(k, prose(rng, 40), 0) for k in range(400)] + [(400 + k, f"{origin} {prose(rng, 1)}", 1) for k in range(60)] + [(500 + k, prose(rng, 30) + " moron", 1) for k in range(60)]
+    d = spark.createDataFrame([(k, t, "en", "s", 1) for k, t, _ in docs], COLUMNS)
+    weights = toxicity.train(spark, d, spark.createDataFrame([(k, 1, y) for k, _, y in docs], "doc_id long, quality int, toxic int")).weights
+    assert "=moron" in weights and "=zorro" not in weights
+
+
 def test_restoring_letters_set_apart(restorer):
     assert restorer.restore("you are an i d i o t and m-o-r-o-n") .split() == ["you", "are", "an", "idiot", "and", "moron"]
 

@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import Scratch, column, in_fold, text_groups
-from .words import hashed_words
+from .words import hashed_words, shingle_hashes
 
 FOLD, HELD_OUT = 5, 0
 #: Labelled rows for fitting at most; beginnings of words by length; toxic documents that must hold a feature; natural logarithm by which its evidence must beat chance; evidence at which a weight is halved; features at most.
 TRAIN_ROWS, PREFIXES, LEAST_DOCS, MARGIN, SHRINK, MOST_FEATURES = 20_000, (4, 5, 6, 7), 3, 3.0, 40.0, 100_000
+#: Share of their distinct words in which two labelled texts agree that count as one.
+ALIKE = 0.8
 CHUNK_CHARS = 1_000_000
 KEPT_WORDS = 200_000
 
@@ -256,7 +258,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 2
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Learns from labelled rows outside the held-out fold. A null label or id teaches nothing; a document labelled twice counts by its highest label; texts that share the least of their words' hashes (copies and near copies) count once a label."""
+    """Learns from labelled rows outside the held-out fold. A null label or id teaches nothing; a document labelled twice counts by its highest label; a text whose distinct words agree with an earlier one's in `ALIKE` (copies and near copies) counts once a label, as far as they share the least hash of their shingles."""
     logp = log_model(corpus_trigrams(docs))
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), FOLD, HELD_OUT))
     y = y.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
@@ -269,11 +271,23 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
         for batch in batches:
             for a, b, texts in text_groups(batch, CHUNK_CHARS):
                 h, o = hashed_words(texts)
-                hashes = [int(h[i:j].min().view(np.int64)) if j > i else 0 for i, j in zip(o[:-1], o[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([column(batch, "id")[a:b], column(batch, "y")[a:b], pa.array(hashes, pa.int64()), pa.array([r.words(t) for t in texts], pa.list_(pa.string()))], ["id", "y", "sketch", "words"])
+                sketch = [int(shingle_hashes(h[i:j]).min().view(np.int64)) if j > i else 0 for i, j in zip(o[:-1], o[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([column(batch, "id")[a:b], column(batch, "y")[a:b], pa.array(sketch, pa.int64()), pa.array([r.words(t) for t in texts], pa.list_(pa.string()))], ["id", "y", "sketch", "words"])
+
+    def unlike(rows: pa.Table) -> pa.Table:
+        """Of the rows of one sketch and label, those that are like none kept before them, in order of their words' number, then ids."""
+        words = [frozenset(w) for w in rows.column("words").to_pylist()]
+        order = sorted(range(len(words)), key=lambda k: (len(words[k]), rows.column("id")[k].as_py()))
+        kept, first = [], 0
+        for k in order:
+            while first < len(kept) and len(words[kept[first]]) < ALIKE * len(words[k]):
+                first += 1  # too few words to be like any that follow
+            if not any(len(words[j] & words[k]) >= ALIKE * len(words[j] | words[k]) for j in kept[first:]):
+                kept.append(k)
+        return rows.select(["y", "words"]).take(pa.array(kept, pa.int64()))
 
     scratch = Scratch(spark, "toxicity")
-    read_rows = scratch.put(sample.mapInArrow(read, "id long, y int, sketch long, words array<string>").dropDuplicates(["sketch", "y"]), "sample")
+    read_rows = scratch.put(sample.mapInArrow(read, "id long, y int, sketch long, words array<string>").groupBy("sketch", "y").applyInArrow(unlike, "y int, words array<string>"), "sample")  # groups of a bounded sample
     sizes = {r.y: r.n for r in read_rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not bad or not good:  # nothing to tell apart
