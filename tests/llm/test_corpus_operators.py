@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,6 +83,45 @@ def test_no_item_is_below_its_bound():
                 assert any(i == k for _, i, *_ in decontam.matches(index, [f"x y z {t} u v w"]))
 
 
+def bm25_by_hand(items, text):
+    """Scores of all items that share a word with the text, each distinct word of the text once."""
+    full = {k: words_of(v) for k, v in items.items()}
+    mean, held = np.mean([len(w) for w in full.values()]), Counter(t for w in full.values() for t in set(w))
+    out = {}
+    for k, w in full.items():
+        for t in set(words_of(text)) & set(w):
+            df, tf = held[t], w.count(t)
+            out[k] = out.get(k, 0) + np.log(1 + (len(full) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 4200])
+def test_wand_finds_what_full_scoring_finds(n):
+    """4,200 items make blocks of blocks of blocks."""
+    rng = random.Random(n)
+    common = [prose(rng, 1) for _ in range(60)]
+    items = {k: " ".join(rng.choice(common) if rng.random() < 0.6 else prose(rng, 1) for _ in range(rng.randint(8, 30))) for k in range(n)}
+    index = decontam.ItemIndex(list(items), list(items.values()))
+    assert len(index.levels) == (1 if n == 5 else 3)
+    texts = [" ".join(rng.choice(common) for _ in range(10)) + " " + items[rng.randrange(n)] + " " + items[rng.randrange(n)] for _ in range(25)]
+    words, at = hashed_words(texts)
+    got = {(w, i): s * index.bound[i] for w, i, s in index.candidates(index.terms(words), at[:-1], at[1:])}
+    want = {(w, i): s for w, t in enumerate(texts) for i, s in bm25_by_hand(items, t).items() if s >= index.bound[i] * decontam.REACHED}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) >= 25
+
+
+def test_scores_do_not_depend_on_shares(spark, monkeypatch):
+    rng = random.Random(14)
+    items = {k: prose(rng, rng.randint(8, 40)) for k in range(60)} | {60: None, 61: "..."}
+    docs = rows(spark, [prose(rng, 20) + " " + items[k] for k in range(0, 60, 3)])
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    scores = []
+    for chars in (10**9, sum(len(t or "") for t in items.values()) // 2 - 5):
+        monkeypatch.setattr(decontam, "SHARE_CHARS", chars)
+        scores.append({(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()})
+    assert len(scores[0]) == 20 and set(scores[0]) == set(scores[1]) and all(scores[0][k] == pytest.approx(scores[1][k]) for k in scores[0])
+
+
 # -- near copies
 
 
