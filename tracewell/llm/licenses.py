@@ -67,9 +67,9 @@ DIGESTS: list[tuple[str, str]] = [
     ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
 ]
 
-#: Equivalent spellings, applied to words set apart by single spaces.
+#: Equivalent spellings, applied in order to words with a space of their own on either side, so that equal neighbours both change.
 SPELLINGS = [
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("licencor", "licensor"), ("licencee", "licensee"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("licencor", "licensor"), ("licencee", "licensee"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("sublicence", "sublicense"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"),
     ("organisation", "organization"), ("authorisation", "authorization"), ("authorised", "authorized"), ("favour", "favor"), ("judgement", "judgment"), ("fulfilment", "fulfillment"), ("merchantibility", "merchantability"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("https", "http"),
 ]
 COPYRIGHT = r"(^|\n)[^\p{L}\p{N}(\n]*(?:copyright(?: by)? *(?:\(c\)|©|[0-9]{4}|[<\[{])|(?:\(c\)|©) *(?:copyright *)?[0-9<\[{])[^\n]*"
@@ -77,33 +77,37 @@ RESERVED = r"all rights reserved\.?"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
+def apart(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
 def canonical(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT, "\n"), RESERVED, " ")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, OTHER, " "), F.lit(" "))
+    t = F.concat(F.lit(" "), F.regexp_replace(t, OTHER, "  "), F.lit(" "))
     for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(apart(a)), F.lit(apart(b)))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def canonical_sql(text: str) -> str:
     """The same in SQL, of a column."""
     t = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT}', chr(10), 'g'), '{RESERVED}', ' ', 'g')"
-    t = f"' ' || regexp_replace({t}, '{OTHER}', ' ', 'g') || ' '"
+    t = f"' ' || regexp_replace({t}, '{OTHER}', '  ', 'g') || ' '"
     for a, b in SPELLINGS:
-        t = f"replace({t}, ' {a} ', ' {b} ')"
-    return f"trim({t})"
+        t = f"replace({t}, '{apart(a)}', '{apart(b)}')"
+    return f"trim(replace({t}, '  ', ' '))"
 
 
 def canonical_text(text: str) -> str:
     """The same in Python, for texts of ASCII."""
     t = text.lower()
-    for pattern, by in ((COPYRIGHT, "\n"), (RESERVED, " "), (OTHER, " ")):
+    for pattern, by in ((COPYRIGHT, "\n"), (RESERVED, " "), (OTHER, "  ")):
         t = re.sub(pattern.replace(r"[^\p{L}\p{N}(\n]", r"[^a-z0-9(\n]").replace(r"[^\p{L}\p{N}]", "[^a-z0-9]"), by, t)
     t = f" {t} "
     for a, b in SPELLINGS:
-        t = t.replace(f" {a} ", f" {b} ")
-    return t.strip(" ")
+        t = t.replace(apart(a), apart(b))
+    return t.replace("  ", " ").strip(" ")
 
 
 def catalogue(texts: list[tuple[str, str]] | None = None, digests: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
@@ -116,9 +120,9 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     """doc_id, canonical_sha256, license_id (null if the whole text is no known licence) and is_license of each row.
 
     A null text counts as empty, and the empty form is no licence; equal texts, repeated rows and null ids give
-    a row each; other columns are ignored.
+    a row each; other columns are ignored. known: (digest, licence) in place of catalogue(); an empty one knows none.
     """
-    names = docs.sparkSession.createDataFrame(known or catalogue(), "canonical_sha256 string, license_id string")
+    names = docs.sparkSession.createDataFrame(catalogue() if known is None else known, "canonical_sha256 string, license_id string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
     return rows.join(F.broadcast(names), "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
