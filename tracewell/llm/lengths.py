@@ -1,6 +1,6 @@
 """Exact histogram of encoded lengths, and what its suffix sums answer.
 
-Documents are counted by length (partial counts before the shuffle), so all later work is on one row a
+Documents are counted by length (partial counts before the shuffle) into a table, so each is encoded once and all later work is on one row a
 distinct length. Running sums go in two steps, over stripes of lengths and then within each stripe, so no
 step sorts all lengths in one task.
 """
@@ -11,20 +11,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import token_lengths
+from .common import Scratch
 
 STRIPE = 1024
 
 
-def length_histogram(lengths: DataFrame) -> DataFrame:
-    """From rows with n_tokens, one row a distinct length L:
+def length_counts(lengths: DataFrame) -> DataFrame:
+    """n_tokens and n_docs: the rows of each length. Null lengths are not counted."""
+    return lengths.where(F.col("n_tokens").isNotNull()).groupBy(F.col("n_tokens").cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def length_histogram(counts: DataFrame) -> DataFrame:
+    """From length_counts(), one row a distinct length L:
 
     n_tokens (L), n_docs and sum_tokens of that length; docs_le, tokens_le of lengths up to L; docs_gt,
     tokens_gt of longer ones; truncated_tokens, what is left of all documents cut to L; lost_tokens, what the
-    cut drops; cdf, the share of documents with at most L. Documents without tokens have length 0. Null
-    lengths are not counted. No rows give no rows.
+    cut drops; cdf, the share of documents with at most L. Documents without tokens have length 0. No rows give no rows.
+    The counts are read more than once: they should be a table.
     """
-    h = lengths.where(F.col("n_tokens").isNotNull()).groupBy(F.col("n_tokens").cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
-    h = h.withColumn("sum_tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("stripe", F.floor(F.col("n_tokens") / STRIPE))
+    h = counts.withColumn("sum_tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("stripe", F.floor(F.col("n_tokens") / STRIPE))
     within = Window.partitionBy("stripe").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     own = h.select("*", F.sum("n_docs").over(within).alias("d"), F.sum("sum_tokens").over(within).alias("t"))
     stripes = h.groupBy("stripe").agg(F.sum("n_docs").alias("sd"), F.sum("sum_tokens").alias("st"))
@@ -55,4 +60,5 @@ def answers(histogram: DataFrame, limits: list[int], quantiles: list[float]) ->
 
 def token_length_histogram(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     """The histogram of whole texts under a tokenizer; a null text counts as empty (length 0)."""
-    return length_histogram(token_lengths(docs, tokenizer_json))
+    counts = Scratch(docs.sparkSession, "token-lengths").put(length_counts(token_lengths(docs, tokenizer_json)), "counts")  # a row a length
+    return length_histogram(counts)
