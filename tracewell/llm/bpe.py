@@ -59,7 +59,20 @@ class Part(NamedTuple):
     last: np.ndarray
 
 
+def check_kind(spec: dict) -> None:
+    """Raises for a tokenizer that is not a plain byte-level BPE: the joins rest on its pre-token pattern, the quick library on ids that rank its merges."""
+    pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"] and not spec["post_processor"]
+    if not plain or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("not a plain byte-level BPE tokenizer")
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if any(b <= a for a, b in zip([255, *made], made, strict=False)) or len(made) + 256 < len(model["vocab"]) - len(spec["added_tokens"]):
+        raise ValueError("the ids of the tokens are not the ranks of their merges")
+
+
 class TreeEncoder:
+    """Raises ValueError for tokenizers that the method does not hold for; see check_kind()."""
+
     def __init__(self, tokenizer_json: str, leaf_chars: int = LEAF_CHARS, window: int = 64):
         import tiktoken
         from tokenizers import Tokenizer
@@ -69,6 +82,7 @@ class TreeEncoder:
         self.tk.no_padding()
         self.leaf, self.window = leaf_chars, window
         spec, byte = json.loads(tokenizer_json), _byte_of()
+        check_kind(spec)
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         vocab = spec["model"]["vocab"]
         self.width = np.zeros(max([*vocab.values(), *special.values()]) + 1, np.int64)
@@ -200,12 +214,12 @@ class TreeEncoder:
         return self.tk.decode_batch(ids, skip_special_tokens=False)
 
 
-_encoders: dict[tuple[int, int], TreeEncoder] = {}
+_encoders: dict[tuple[str, int], TreeEncoder] = {}
 
 
 def encoder(tokenizer_json: str, leaf_chars: int = LEAF_CHARS) -> TreeEncoder:
     """One a process, since its vocabulary takes a while to read."""
-    key = hash(tokenizer_json), leaf_chars
+    key = tokenizer_json, leaf_chars
     if key not in _encoders:
         _encoders[key] = TreeEncoder(tokenizer_json, leaf_chars)
     return _encoders[key]
