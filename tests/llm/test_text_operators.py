@@ -1,13 +1,16 @@
 """Licences, BPE, media, token files, lengths and pages."""
 
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from tracewell.llm import bpe, html_text, lengths, licenses, ogg, token_files
+from pyspark.sql import functions as F
+
+from tracewell.llm import bpe, html_text, lengths, licenses, ogg, queries, token_files
 from tracewell.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -63,20 +66,33 @@ def test_bpe_digests(spark, plain_bpe):
 SCHEMA_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_other_kinds_of_tokenizers_are_refused_or_go_to_the_library():
+    with pytest.raises(ValueError):
+        bpe.TreeEncoder(bpe.tokenizer_text("word_bpe_49k.json"))
+    spec = json.loads(bpe.tokenizer_text())
+    first, second = ("".join(m) for m in spec["model"]["merges"][:2])
+    vocab = spec["model"]["vocab"]
+    vocab[first], vocab[second] = vocab[second], vocab[first]
+    with pytest.raises(ValueError):
+        bpe.TreeEncoder(json.dumps(spec))
+    other = token_files.CachedWordEncoder(bpe.tokenizer_text())
+    assert other.encode(["The cat's 12"])[0].tolist() == other.tk.encode("The cat's 12", add_special_tokens=False).ids
+
+
 # -- lengths
 
 
 def test_length_histogram(spark):
     n = [0, 5, 5, 7, 3000, 3000, 1]
-    h = lengths.length_histogram(spark.createDataFrame([(x,) for x in n] + [(None,)], "n_tokens long")).orderBy("n_tokens").collect()
+    h = lengths.length_histogram(lengths.length_counts(spark.createDataFrame([(x,) for x in n] + [(None,)], "n_tokens long"))).orderBy("n_tokens").collect()
     assert [r.n_tokens for r in h] == sorted(set(n))
     for r in h:
         assert r.n_docs == n.count(r.n_tokens) and r.docs_le == sum(x <= r.n_tokens for x in n) and r.docs_gt == len(n) - r.docs_le
         assert r.truncated_tokens == sum(min(x, r.n_tokens) for x in n) and r.lost_tokens == sum(n) - r.truncated_tokens and r.tokens_gt == sum(x for x in n if x > r.n_tokens)
-    answers = {(r.kind, r["at"]): r.value for r in lengths.answers(lengths.length_histogram(spark.createDataFrame([(x,) for x in n], "n_tokens long")), [6, 4000], [0.5, 1.0]).collect()}
+    answers = {(r.kind, r["at"]): r.value for r in lengths.answers(lengths.length_histogram(lengths.length_counts(spark.createDataFrame([(x,) for x in n], "n_tokens long"))), [6, 4000], [0.5, 1.0]).collect()}
     assert answers[("kept_tokens", 6.0)] == sum(min(x, 6) for x in n) and answers[("truncated_docs", 6.0)] == 3 and answers[("kept_tokens", 4000.0)] == sum(n)
     assert answers[("quantile", 0.5)] == sorted(n)[3] and answers[("quantile", 1.0)] == 3000 and answers[("total_tokens", 0.0)] == sum(n)
-    assert lengths.length_histogram(spark.createDataFrame([], "n_tokens long")).count() == 0
+    assert lengths.length_histogram(lengths.length_counts(spark.createDataFrame([], "n_tokens long"))).count() == 0
 
 
 def test_token_length_histogram(spark, plain_bpe):
@@ -224,6 +240,28 @@ def test_license_scan(spark):
     got = sorted((str(r.doc_id), str(r.license_id), r.is_license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([("1", "MIT", True), ("2", "None", False), ("3", "None", False), ("4", "MIT", True), ("5", "None", False), ("6", "None", False), ("None", "MIT", True), ("1", "MIT", True)])
     assert licenses.scan(empty(spark)).count() == 0
+    assert licenses.canonical_text("Licence licence LICENCE; sub licence sub-licence") == "license license license sublicense sublicense"
+    same = spark.createDataFrame([("Licence licence LICENCE; sub licence sub-licence",)], "t string").select(licenses.canonical(F.col("t"))).first()[0]
+    assert same == "license license license sublicense sublicense"
+    assert {r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), []).collect()} == {None}
+
+
+def test_license_query_finds_planted_texts(spark, tmp_path):
+    """The registered query and its SQL over documents that hold every stated licence in several spellings."""
+    import duckdb
+
+    rows = []
+    for _, text in licenses.TEXTS:
+        rows += [text, "Copyright (c) 2020 Some One\n" + text.upper(), text.replace("license", "licence").replace(" ", "  "), text + " and more"]
+    rows += [None, "", "licence licence", "Some prose."]
+    spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.QUERIES["op1_license_scan"](spark, str(tmp_path)).collect()))
+    assert [r[2] for r in got[: 4 * len(licenses.TEXTS)]] == [x for k, t in licenses.TEXTS for x in (k, k, k, None)] and [r[2] for r in got[-4:]] == [None] * 4
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = duck.execute(queries.ORACLES["op1_license_scan"])
+    names = [d[0] for d in want.description]
+    assert got == sorted(tuple(r[names.index(c)] for c in ("doc_id", "canonical_sha256", "license_id", "is_license")) for r in want.fetchall())
 
 
 # -- pages

@@ -11,6 +11,7 @@ under a name of its own and then renamed, so a task that is run again leaves the
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -33,6 +34,17 @@ BATCH_CHARS = 2_000_000
 KEPT_WORDS = 2_000_000
 
 
+#: Fixed value: the pre-token pattern of the vocabularies that the shortcut serves.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_words(spec: dict) -> bool:
+    """Whether a tokenizer normalises and splits as the shortcut takes it to."""
+    steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    return steps == ["NFC", "Replace", "Lowercase"] and split[0].get("pattern") == {"Regex": WORDS} and [x.get("use_regex") for x in split[1:]] == [False] and not spec["post_processor"]
+
+
 class CachedWordEncoder:
     """The ids of a lower-casing tokenizer that encodes each word by itself, with its words' ids kept.
 
@@ -52,6 +64,7 @@ class CachedWordEncoder:
         self.tk = Tokenizer.from_str(tokenizer_json)
         self.tk.no_truncation()
         self.tk.no_padding()
+        self.known_kind = _splits_words(json.loads(tokenizer_json))
         self.kind = np.array([1 if chr(b).isalpha() or b > 127 else 2 if 48 <= b <= 57 else 0 if b in b"\t\n\r " else 3 for b in range(256)], np.uint8)
         self.clear()
 
@@ -139,20 +152,19 @@ class CachedWordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        slow = [k for k, t in enumerate(texts) if self.OTHER.search(t)]
+        slow = [k for k, t in enumerate(texts) if not self.known_kind or self.OTHER.search(t)]
         own = dict(zip(slow, (np.array(e.ids, np.uint32) for e in self.tk.encode_batch([texts[k] for k in slow], add_special_tokens=False)), strict=True))
         fast = iter(self._fast([t for k, t in enumerate(texts) if k not in own]) if len(own) < len(texts) else [])
         return [own[k] if k in own else next(fast) for k in range(len(texts))]
 
 
-_encoders: dict[int, CachedWordEncoder] = {}
+_encoders: dict[str, CachedWordEncoder] = {}
 
 
 def word_encoder(tokenizer_json: str) -> CachedWordEncoder:
-    key = hash(tokenizer_json)
-    if key not in _encoders:
-        _encoders[key] = CachedWordEncoder(tokenizer_json)
-    return _encoders[key]
+    if tokenizer_json not in _encoders:
+        _encoders[tokenizer_json] = CachedWordEncoder(tokenizer_json)
+    return _encoders[tokenizer_json]
 
 
 def _schema(seq_len: int, wide: bool) -> pa.Schema:
