@@ -2,7 +2,12 @@
 
 Toxic documents go, then documents in no language that was learned, then all but one document of each group
 of near copies, then documents that hold an item of `benchmark`; what is left is encoded. All stages but the
-last return the columns of documents; each result is written as a table that the next stage reads.
+last return the columns of documents; each result is written as a table that the next stage reads, and a stage's input is
+deleted once its result is written.
+
+Defined results: a null text counts as empty. It is not toxic, but in no language, so it goes at the second stage, as does a text
+without a letter or one whose likeliest language has a posterior under `LEAST_SCORE`. Rows with a null id stay; of rows of one
+id one is left. Empty tables give no rows; columns other than those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -54,4 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.put(docs, f"{k}-{name}")
+            if k:
+                scratch.drop(f"{k - 1}-*")
     return docs
