@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What the cluster names in spark.checkpoint.dir; a folder of our own only where it names none (tests)."""
+    """What the cluster names in spark.checkpoint.dir; a folder of our own only where it names none and all runs in one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and not now.isDefined() and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not now.isDefined():
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tracewell-"))
     return (named or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
