@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRUNCATED = "«truncated»"
@@ -20,19 +19,28 @@ def marker(rule: str) -> str:
     return f"«redacted:{rule}»"
 
 
-# The patterns of the built-in rules, in their order. A word border is one of ASCII word characters.
-_L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+# The patterns of the built-in rules, in their order. A word border is between an ASCII word character and anything else, in Python as in Java.
+_W = "[A-Za-z0-9_]"
+_B = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 PATTERNS = [
-    ("aws-key", _L + r"(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}" + _R),
-    ("github-token", _L + r"(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})" + _R),
-    ("gitlab-token", _L + r"glpat-[A-Za-z0-9_-]{20,}" + _R),
+    ("aws-key", _B + r"(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}" + _B),
+    ("github-token", _B + r"(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})" + _B),
+    ("gitlab-token", _B + r"glpat-[A-Za-z0-9_-]{20,}" + _B),
     ("private-key-block", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"),
-    ("jwt", _L + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}" + _R),
-    ("connection-string", _L + r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@"'`]+:[^\s@"'`]+@[^\s"'`]+"""),
+    ("jwt", _B + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}" + _B),
+    ("connection-string", _B + r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@"'`]+:[^\s@"'`]+@[^\s"'`]+"""),
 ]
 ASSIGNED = r"""([A-Za-z0-9_.-]*(?:key|token|secret|password|passwd|pwd|credential|bearer|auth)[A-Za-z0-9_.-]*\s*[=:]\s*["']?)([A-Za-z0-9+/=_.-]{16,})(["']?)"""
 
 
+#: A match can only begin where a run of its first characters does; said so, a search takes linear time in long runs.
+_RUN = r"(?<![A-Za-z0-9_.-])"
+#: What every text holds that the gated rule can touch: each is found in linear time.
+TRIGGERS = ["(?i)key|token|secret|password|passwd|pwd|credential|bearer|auth", r"""[=:]\s*["']?[A-Za-z0-9+/=_.-]{16}"""]
+#: Fixed value: the body of a span on a file that is never captured.
+NEVER_BODY = {"omitted": "content excluded by never_capture glob"}
+
+
 class Rule(NamedTuple):
     """An id and a function from a text to (text, replacements)."""
 
@@ -60,7 +68,7 @@ def _assigned(text: str) -> tuple[str, int]:
         hits += 1
         return m[1] + marker("generic-token") + m[3]
 
-    return re.sub(ASSIGNED, put, text, flags=re.I | re.A), hits
+    return re.sub(_RUN + ASSIGNED, put, text, flags=re.I | re.A), hits
 
 
 def built_in(extra: list[str] = ()) -> list[Rule]:
@@ -108,7 +116,7 @@ def redact_spans(spans: list[dict], rules: list[Rule], never: list[str] = NEVER_
         attributes = s.get("attributes") or {}
         file = attributes.get("file")
         if isinstance(file, str) and any(g.search(x) for g in globs for x in (file, re.split(r"[/\\]", file)[-1])):
-            out.append({**s, "attributes": {"file": file}, "body": {"omitted": "never_capture"}})
+            out.append({**s, "attributes": {"file": file}, "body": dict(NEVER_BODY)})
             continue
         new = dict(s)
         for part, limit in (("attributes", None), ("body", most)):
@@ -119,19 +127,34 @@ def redact_spans(spans: list[dict], rules: list[Rule], never: list[str] = NEVER_
     return out, {"rules": sorted(tally), "redacted_count": sum(tally.values()), "truncated_count": cut}
 
 
-def redact_column(text: Column, extra: list[str] = ()) -> Column:
-    """struct of text and rules (id and count of those that fired), by Arrow batches."""
-    rules = built_in(list(extra))
+def redact_rows(rows: DataFrame, text: str = "text", name: str = "redacted", extra: list[str] = ()) -> DataFrame:
+    """The rows with a struct more: text, rules (id and count of those that fired, as JSON) and redacted_count, their sum. A null text stays null.
 
-    @F.pandas_udf("struct<text:string,rules:string,redacted_count:int>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            out, fired = (None, {}) if t is None else redact_text(t, rules)
-            rows.append((out, json.dumps(fired, sort_keys=True, separators=(",", ":")), sum(fired.values())))
-        return pd.DataFrame(rows, columns=["text", "rules", "redacted_count"])
+    The whole-match rules are Spark expressions, each counted on what the one before left. Only texts that hold a trigger of the
+    gated rule go to Python, in Arrow batches; extra patterns come last.
+    """
 
-    return run(text)
+    @F.pandas_udf("struct<text:string,n:int>")
+    def gated(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, 0) if t is None else _assigned(t) for t in texts], columns=["text", "n"])
+
+    counts: list[tuple[str, str]] = []
+    out = rows.withColumn("_t", F.col(text))
+
+    def whole(out: DataFrame, rule: str, pattern: str) -> DataFrame:
+        counts.append((rule, f"_n{len(counts)}"))
+        return out.withColumns({counts[-1][1]: F.regexp_count("_t", F.lit(pattern)), "_t": F.regexp_replace("_t", pattern, marker(rule))})
+
+    for rule, pattern in PATTERNS:
+        out = whole(out, rule, pattern)
+    out = out.withColumn("_hit", gated(F.when(F.col("_t").rlike(TRIGGERS[0]) & F.col("_t").rlike(TRIGGERS[1]), F.col("_t")))).withColumns({"_t": F.coalesce("_hit.text", "_t"), "_gated": F.coalesce("_hit.n", F.lit(0))})
+    counts.append(("generic-token", "_gated"))
+    for k, pattern in enumerate(extra):
+        out = whole(out, f"extra-{k + 1}", pattern)
+    fired = F.concat_ws(",", *[F.when(F.col(n) > 0, F.concat(F.lit(f'"{rule}":'), F.col(n).cast("string"))) for rule, n in sorted(counts)])
+    total = sum((F.coalesce(n, F.lit(0)) for _, n in counts), F.lit(0))
+    found = F.struct(F.col("_t").alias("text"), F.concat(F.lit("{"), fired, F.lit("}")).alias("rules"), total.cast("int").alias("redacted_count"))
+    return out.select(*rows.columns, found.alias(name))
 
 
 def redact_native(text: Column) -> Column:
@@ -143,15 +166,21 @@ def redact_native(text: Column) -> Column:
 
 def secret_count(text: Column) -> Column:
     """Values that the gated rule takes, counted by Spark expressions alone."""
-    values = F.regexp_extract_all(text, F.lit("(?i)" + ASSIGNED), F.lit(2))
+    values = F.regexp_extract_all(text, F.lit("(?i)" + _RUN + ASSIGNED), F.lit(2))
     shaped = F.filter(values, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.filter(F.split(v, ""), lambda c: c != ""))) >= 8))
     return F.size(shaped)
 
 
 def cap_column(text: Column, most: int) -> Column:
     """cap_bytes() as a column: the longest beginning of whole characters."""
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else cap_bytes(t, most)[0])
+    data = F.encode(text, "UTF-8")
+
+    def goes_on(at: int) -> Column:
+        """Whether the byte at a place continues a character."""
+        return F.hex(F.substring(data, at, 1)).between("80", "BF")
 
-    return run(text)
+    cut = F.lit(max(0, most - 3))
+    for back in (2, 1, 0):
+        cut = F.when(~goes_on(most - back + 1), most - back).otherwise(cut) if most >= back else cut
+    whole = F.substring(data, F.lit(1), cut).cast("string")
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(whole, F.lit(TRUNCATED)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,35 +22,37 @@ def commit_to_change(change_map: DataFrame, last: bool = False) -> DataFrame:
     return members(change_map).groupBy("sha").agg(pick("change_id", "tree_pos").alias("change_id"))
 
 
+def _followed(step: DataFrame, rounds: int) -> DataFrame:
+    """k and at: where `rounds` doublings of a step (k, at) lead; what ends stays at its end, which is a row (k, k)."""
+    at = step
+    for _ in range(rounds):
+        far = at.select(F.col("k").alias("at"), F.col("at").alias("far"))
+        new = cut(at.join(far, "at").select("k", F.col("far").alias("at"), (F.col("far") != F.col("at")).alias("moved")))
+        at = new.select("k", "at")
+        if not new.where("moved").head(1):
+            break
+    return at
+
+
 def fold_closure(edges: DataFrame, key: str = "change_id", parent: str = "folded_into") -> DataFrame:
     """change_id and survivor: where following `folded_into` ends. It stops before a change that is missing or was met before, so cycles end too.
 
-    A pointer doubles its reach in each round, so chains of n folds take about log2(n) joins. What still has
-    somewhere to go after that leads into a cycle; only these few rows are walked step by step.
+    A pointer doubles its reach in each round, so chains and cycles of n folds take about log2(n) joins. What can still
+    go on after n steps is on a cycle. Whoever enters a cycle walks once around it, so the end is the change before the entry.
     """
     e = edges.select(F.col(key).alias("k"), F.col(parent).alias("p"))
     known = cut(e.join(e.select(F.col("k").alias("p")).distinct(), "p", "left_semi").where(F.col("p") != F.col("k")).select("k", "p"))
-    at = cut(e.select("k").distinct().join(known, "k", "left").select("k", F.coalesce("p", "k").alias("at")))
-    for _ in range(max(1, known.count()).bit_length() + 1):
-        far = at.select(F.col("k").alias("at"), F.col("at").alias("far"))
-        new = cut(at.join(far, "at").select("k", F.col("far").alias("at"), (F.col("far") != F.col("at")).alias("moved")))
-        moved = new.where("moved").head(1)
-        at = new.select("k", "at")
-        if not moved:
-            break
-    open_ = at.join(known.select(F.col("k").alias("at")), "at", "left_semi").select("k")
-    done = at.join(open_, "k", "left_anti")
+    rounds = max(1, known.count()).bit_length() + 1
+    step = cut(e.select("k").distinct().join(known, "k", "left").select("k", F.coalesce("p", "k").alias("at")))
+    at = _followed(step, rounds)
+    open_ = at.join(known.select(F.col("k").alias("at")), "at", "left_semi")
+    done = at.join(open_.select("k"), "k", "left_anti")
     if open_.head(1):
-        view = f"folds_{uuid.uuid4().hex}"
-        open_.createOrReplaceTempView(f"{view}_nodes")
-        known.createOrReplaceTempView(f"{view}_edges")
-        walked = edges.sparkSession.sql(f"""
-            WITH RECURSIVE walk(k, at, seen, depth) AS (
-                SELECT k, k, array(k), 0 FROM {view}_nodes
-                UNION ALL
-                SELECT w.k, e.p, array_append(w.seen, e.p), w.depth + 1 FROM walk w JOIN {view}_edges e ON e.k = w.at WHERE NOT array_contains(w.seen, e.p)
-            ) SELECT k, max_by(at, depth) AS at FROM walk GROUP BY k""")
-        done = done.unionByName(walked)
+        cycle = cut(open_.select(F.col("at").alias("k")).distinct())  # the places that n steps lead to
+        # steps that stop at the first place on a cycle
+        enter = step.join(open_.select("k"), "k", "left_semi").join(cycle.select("k", F.lit(True).alias("on")), "k", "left").select("k", F.when(F.col("on"), F.col("k")).otherwise(F.col("at")).alias("at"))
+        before = known.join(cycle, "k", "left_semi").select(F.col("p").alias("at"), F.col("k").alias("end"))
+        done = done.unionByName(_followed(cut(enter), rounds).join(before, "at").select("k", F.col("end").alias("at")))
     return done.select(F.col("k").alias(key), F.col("at").alias("survivor"))
 
 
@@ -67,8 +67,18 @@ def best_siblings(commits: DataFrame, heads: DataFrame, least: float = INFER_OVE
 
     commits: sha, parent, paths; heads: change_id, head, parent, paths, tree_pos.
     """
-    h = heads.select("change_id", "head", "parent", F.col("paths").alias("head_paths"), "tree_pos")
-    pairs = commits.join(h, "parent").where(F.col("sha") != F.col("head")).withColumn("overlap", path_overlap(F.col("paths"), F.col("head_paths"))).where(F.col("overlap") >= least)
+    c = commits.select("sha", "parent", F.array_distinct(F.coalesce("paths", F.array().cast(heads.schema["paths"].dataType))).alias("paths"))
+    h = heads.select("change_id", "head", "parent", F.array_distinct(F.coalesce("paths", F.array().cast(heads.schema["paths"].dataType))).alias("paths"), "tree_pos")
+    # siblings meet on a path that they share, so those of one parent are not all paired
+    ours = c.select("sha", "parent", F.size("paths").alias("n"), F.explode("paths").alias("path"))
+    theirs = h.select("change_id", "head", "parent", "tree_pos", F.size("paths").alias("m"), F.explode("paths").alias("path"))
+    both = ours.join(theirs, ["parent", "path"]).where(F.col("sha") != F.col("head")).groupBy("sha", "change_id", "tree_pos", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = both.select("sha", "change_id", "tree_pos", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("overlap"))
+    # two sets without paths are alike; of each parent the first two such heads are enough, as one may be the commit itself
+    first = Window.partitionBy("parent").orderBy("tree_pos")
+    empty = h.where(F.size("paths") == 0).withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2).select("parent", "change_id", "head", "tree_pos")
+    alike = c.where(F.size("paths") == 0).join(empty, "parent").where(F.col("sha") != F.col("head")).select("sha", "change_id", "tree_pos", F.lit(1.0).alias("overlap"))
+    pairs = pairs.unionByName(alike).where(F.col("overlap") >= least)
     return pairs.groupBy("sha").agg(F.max_by(F.struct("change_id", "overlap"), F.struct("overlap", -F.col("tree_pos"))).alias("b")).select("sha", "b.*")
 
 
@@ -79,7 +89,7 @@ def append_member(history: Column, sha: Column) -> Column:
 def resolve(commits: DataFrame, change_map: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
     """sha, change_id, rule, origin: known to the map (R1), a trailer of a known change (R2) or of a new one (R3), a sibling's (R4), or an id made here (R5). Reads only; `adopt` writes.
 
-    commits: sha, message.
+    commits: sha, message. siblings: of best_siblings().
     """
     folded = fold_closure(change_map)
     known = commit_to_change(change_map).join(folded, "change_id").select("sha", F.col("survivor").alias("mapped"))
@@ -94,17 +104,27 @@ def resolve(commits: DataFrame, change_map: DataFrame, siblings: DataFrame | Non
     return c.select("sha", F.coalesce("mapped", "by_trailer", "trailer", "sibling", F.concat(F.substring(F.sha2(F.concat(F.lit("orphan"), F.col("sha")), 256), 1, 32))).alias("change_id"), rule.alias("rule"), origin.alias("origin"))
 
 
-def adopt(change_map: DataFrame, resolved: DataFrame, now: str) -> DataFrame:
-    """The change map with resolved commits: appended to their change's history; the head moves for a sibling's commit only; new changes get a row."""
-    fresh = resolved.where(F.col("rule") != "R1")
-    add = fresh.groupBy("change_id").agg(F.array_sort(F.collect_set("sha")).alias("shas"), F.max(F.when(F.col("rule") == "R4", F.col("sha"))).alias("new_head"), F.min("origin").alias("new_origin"), F.bool_or(F.col("rule").isin("R2", "R3")).alias("by_trailer"))
+def adopt(change_map: DataFrame, resolved: DataFrame, now: str, order: str | None = None) -> DataFrame:
+    """The change map with resolved commits: appended to their change's history; new changes get a row; all other columns stay.
+
+    order: a column of resolved that says when each commit was read, as from the newest on. A new change's head is the first
+    that was read; a sibling's commit moves the head, so the last one read holds. Without an order, ties fall by text.
+    """
+    at = F.col(order) if order else F.lit(0)
+    fresh = resolved.where(F.col("rule") != "R1").withColumn("_at", at)
+    sibling = F.col("rule") == "R4"
+    add = fresh.groupBy("change_id").agg(
+        F.transform(F.array_sort(F.collect_set(F.struct("_at", "sha"))), lambda x: x["sha"]).alias("shas"), F.max_by(F.when(sibling, F.col("sha")), F.when(sibling, F.struct("_at", "sha"))).alias("new_head"),
+        F.min_by("origin", F.struct("_at", "sha")).alias("new_origin"), F.bool_or(F.col("rule").isin("R2", "R3")).alias("by_trailer"),
+    )
     m = change_map.join(add, "change_id", "full_outer")
     empty = F.array().cast("array<string>")
-    return m.select(
-        "change_id", F.coalesce("new_head", "head", F.element_at("shas", 1)).alias("head"), F.array_union(F.coalesce("history", empty), F.coalesce("shas", empty)).alias("history"),
-        (F.coalesce("trailer_seen", F.lit(False)) | F.coalesce("by_trailer", F.lit(False))).alias("trailer_seen"), F.when(F.col("new_head").isNotNull(), "inferred").otherwise(F.coalesce("origin", "new_origin")).alias("origin"),
-        "folded_into", F.when(F.col("shas").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"), "tree_pos",
-    )
+    new = {
+        "head": F.coalesce("new_head", "head", F.element_at("shas", 1)), "history": F.array_union(F.coalesce("history", empty), F.coalesce("shas", empty)), "trailer_seen": F.coalesce("trailer_seen", F.lit(False)) | F.coalesce("by_trailer", F.lit(False)),
+        "origin": F.when(F.col("new_head").isNotNull(), "inferred").otherwise(F.coalesce("origin", "new_origin")), "updated_at": F.when(F.col("shas").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")),
+        **{c: F.coalesce(c, empty) for c in ("absorbed", "divergent_heads") if c in change_map.columns},
+    }
+    return m.select(*[new[c].alias(c) if c in new else F.col(c) for c in change_map.columns])
 
 
 def rewrite_groups(pairs: DataFrame) -> DataFrame:

@@ -23,35 +23,36 @@ def redact_generic_count(x: Tables) -> DataFrame:
     return x.documents.select("doc_id", red.secret_count(F.col("text")).cast("long").alias("n"))
 
 
-@query(f"""SELECT doc_id, sha256(regexp_replace(text, '{_ASSIGNED}', '\\1«redacted:generic-token»\\3', 'gi')) AS digest FROM documents
-WHERE len(list_filter(regexp_extract_all(text, '{_ASSIGNED}', 2, 'i'), lambda v: NOT (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8))) = 0
-  AND NOT regexp_matches(text, '(AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{{16}}|gh[pousr]_|github_pat_|glpat-|PRIVATE KEY|eyJ|://[^\\s/:@]+:')""")
+@query()
 def redact_documents(x: Tables) -> DataFrame:
-    """Rows whose candidates all pass the entropy gate and that no other rule can touch, which SQL can say; `redaction_counts` covers the others."""
-    d = x.documents
-    values = F.regexp_extract_all("text", F.lit("(?i)" + red.ASSIGNED), F.lit(2))
-    plain = ~F.col("text").rlike(r"(AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}|gh[pousr]_|github_pat_|glpat-|PRIVATE KEY|eyJ|://[^\s/:@]+:")
-    kept = d.where((F.size(values) == red.secret_count(F.col("text"))) & plain)
-    return kept.select("doc_id", F.sha2(red.redact_column(F.col("text"))["text"], 256).alias("digest"))
+    """A digest of every row's text by all rules; a null text gives none. SQL can't say the gated rule's replacements."""
+    return red.redact_rows(x.documents.select("doc_id", "text")).select("doc_id", F.sha2("redacted.text", 256).alias("digest"))
 
 
 @query()
 def redacted_texts(x: Tables) -> DataFrame:
     """Every row's text by all rules, by the whole-match rules alone, and what fired; a null text stays null. SQL can't say the gated rule's replacements."""
-    d = x.documents.select("doc_id", "text", red.redact_column(F.col("text")).alias("r"))
-    return d.select("doc_id", F.col("r.text").alias("text"), red.redact_native(F.col("text")).alias("keys_text"), F.col("r.rules").alias("rules"))
+    d = red.redact_rows(x.documents.select("doc_id", "text"))
+    return d.select("doc_id", F.col("redacted.text").alias("text"), red.redact_native(F.col("text")).alias("keys_text"), "redacted.rules")
 
 
 @query()
 def redaction_counts(x: Tables) -> DataFrame:
-    r = x.documents.select("doc_id", red.redact_column(F.col("text")).alias("r"))
-    return r.select("doc_id", F.col("r.rules").alias("rules"), F.col("r.redacted_count").alias("redacted_count"))
+    return red.redact_rows(x.documents.select("doc_id", "text")).select("doc_id", "redacted.rules", "redacted.redacted_count")
+
+
+def _keys_sql() -> str:
+    """The whole-match rules one inside the other. Word borders are ASCII ones in DuckDB's expressions."""
+    text = "text"
+    for rule, pattern in red.PATTERNS:
+        quoted = pattern.replace(red._B, r"\b").replace("'", "''")
+        text = f"regexp_replace({text}, '{quoted}', '{red.marker(rule)}', 'g')"
+    return f"SELECT doc_id, sha256({text}) AS digest FROM documents"
 
 
-@query("SELECT doc_id, sha256(regexp_replace(text, '(AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}\\b', '«redacted:aws-key»', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[\\p{L}\\p{N}_](AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}|gh[pousr]_|github_pat_|glpat-|PRIVATE KEY|eyJ|://')")
+@query(_keys_sql())
 def redact_keys(x: Tables) -> DataFrame:
-    other = F.col("text").rlike(r"[\p{L}\p{N}_](AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}|gh[pousr]_|github_pat_|glpat-|PRIVATE KEY|eyJ|://")
-    return x.documents.where(~other).select("doc_id", F.sha2(red.redact_native(F.col("text")), 256).alias("digest"))
+    return x.documents.select("doc_id", F.sha2(red.redact_native(F.col("text")), 256).alias("digest"))
 
 
 @query("WITH c AS (SELECT doc_id, text, unnest(range(1, least(len(text), 401) + 1)) AS k FROM documents), f AS (SELECT doc_id, max(k) FILTER (strlen(left(text, k)) <= 400) AS k FROM c GROUP BY doc_id) SELECT d.doc_id, sha256(CASE WHEN strlen(text) <= 400 THEN text ELSE left(text, f.k) || '«truncated»' END) AS digest FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id")
