@@ -6,7 +6,9 @@ import subprocess
 import pytest
 
 from tracewell.__main__ import main
-from tracewell.plans.workspace import TargetError, Workspace
+from tracewell.operators.index import FingerprintError
+from tracewell.operators.retrieval import bm25
+from tracewell.plans.workspace import STATE, TargetError, Workspace
 
 A, B = "a" * 32, "b" * 32
 
@@ -77,18 +79,90 @@ def test_blame(work):
 
 
 def test_index_and_questions(work):
+    assert [r.problem for r in work.verify_index().collect()] == ["absent"]
     first = {r.kind: (r.indexed, r.embedded) for r in work.reindex().collect()}
-    assert first == {"code": (3, 3), "ledger": (2, 2)}
-    assert {r.kind: r.reused for r in work.reindex().collect()} == {"code": 3, "ledger": 2}
+    assert first == {"code": (3, 3), "ledger": (2, 2)} and work.index_state()["mode"] == "initial" and work.verify_index().count() == 0
+    assert {r.kind: r.reused for r in work.reindex().collect()} == {"code": 3, "ledger": 2} and work.index_state()["mode"] == "incremental"
     top = work.ask("why not redis for cookies").first()
     assert top.kind == "ledger" and top.intent == "Signed cookies, not redis"
     assert work.ask("config", path="config.md", line=1).first().path == "config.md"
+    assert {r.change_id for r in work.ask("nothing alike", since="2024-01-03T00:00:00Z").collect()} <= {B} and work.confidence(work.ask("why not redis for cookies")).first().level == "high"
+    why = work.explain_line("session.py", 2)
+    assert why["line"].first().change_id == A and [r.change_id for r in why["later"].collect()] == [B] and why["sources"].count() > 0
+
+
+def test_incremental_index(spark, tmp_path):
+    """Only changed blobs are read; chunks of blobs that are gone go, from the keyword index too; a lost base or another model is noticed."""
+    d = tmp_path / "repo"
+    d.mkdir()
+
+    def run(*args):
+        return subprocess.run(["git", "-C", d, "-c", "user.name=Ann", "-c", "user.email=a@x", *args], check=True, capture_output=True, text=True).stdout.strip()
+
+    run("init", "-q", "-b", "main")
+    for name, text in (("a.md", "apples and pears"), ("b.md", "bread"), ("c.md", "bread")):
+        (d / name).write_text(text)
+    run("add", ".")
+    run("commit", "-qm", "one")
+    w = Workspace(spark, str(d), f"file://{tmp_path}/store")
+    assert {r.kind: (r.indexed, r.embedded) for r in w.reindex().collect()} == {"code": (2, 2)}  # b and c are one blob
+    (d / "a.md").write_text("plums only")
+    (d / "d.md").write_text("dates")
+    run("rm", "-q", "b.md")
+    run("add", ".")
+    run("commit", "-qm", "two")
+    assert [r.problem for r in w.verify_index().collect()] == ["stale"]
+    assert {r.kind: (r.indexed, r.embedded) for r in w.reindex().collect()} == {"code": (3, 2)} and w.index_state()["mode"] == "incremental"
+    assert sorted(r.text for r in w.index_table.read().collect()) == ["bread", "dates", "plums only"]
+    assert w.keywords.search("apples pears", 5).count() == 0 and w.keywords.search("plums", 5).count() == 1
+    want = {r.key: round(r.score, 9) for r in bm25(w.index_table.read(), "bread plums dates", None).collect()}
+    assert {r.key: round(r.score, 9) for r in w.keywords.search("bread plums dates", None).collect()} == want
+    w.state_table.write(spark.createDataFrame([("index-state@1", "x", "f" * 40, "bag-of-words/64", 3, "t")], STATE), w.state_table.version())
+    w.reindex()
+    assert w.index_state()["mode"] == "initial" and w.verify_index().count() == 0
+    w.state_table.write(spark.createDataFrame([("index-state@1", "x", "f" * 40, "other/8", 3, "t")], STATE), w.state_table.version())
+    for call in (w.reindex, lambda: w.ask("bread")):
+        with pytest.raises(FingerprintError):
+            call()
+    assert w.reindex(full=True).first().embedded == 3
+
+
+def test_detaching_and_inferring(spark, tmp_path):
+    d = tmp_path / "repo"
+    d.mkdir()
+
+    def run(*args):
+        return subprocess.run(["git", "-C", d, "-c", "user.name=Ann", "-c", "user.email=a@x", *args], check=True, capture_output=True, text=True).stdout.strip()
+
+    run("init", "-q", "-b", "main")
+    run("config", "user.name", "Ann")
+    run("config", "user.email", "a@x")
+    run("commit", "-q", "--allow-empty", "-m", "root")
+    run("checkout", "-qb", "side")
+    (d / "f.txt").write_text("one")
+    run("add", ".")
+    run("commit", "-qm", f"known\n\nChange-Id: I{A}")
+    side = run("rev-parse", "HEAD")
+    run("checkout", "-q", "main")
+    (d / "f.txt").write_text("two")
+    run("add", ".")
+    run("commit", "-qm", "the same again")
+    again = run("rev-parse", "HEAD")
+    w = Workspace(spark, str(d), f"file://{tmp_path}/store")
+    w.adopt()
+    assert {r.sha: r.rule for r in w.adopt(infer=True).where("rule = 'R4'").collect()} == {again: "R4"}
+    row = w.change_map().first()
+    assert (row.head, set(row.history), row.origin) == (again, {side, again}, "inferred")
+    w.annotate(again, {"author": {"type": "human"}, "summary": "its own"})
+    own = w.detach(again)
+    rows = {r.change_id: r for r in w.change_map().collect()}
+    assert rows[A].head == side and rows[own].history == [again] and w.notes()[0].first().change_id == own
 
 
 def test_export_doctor_and_sync(work, spark, place, tmp_path):
     records = [json.loads(r.record) for r in work.export().collect()]
     assert [r["metadata"]["ledger"]["change_id"] for r in records] == [A, B] and records[0]["files"][0]["conversations"][0]["ranges"][0]["end_line"] == 2
-    assert {(r.name, r.message) for r in work.doctor().collect()} == {("unreadable notes", "1")}
+    assert {(r.name, r.message) for r in work.doctor().collect()} == {("unreadable notes", "1")} | {(f"index {r.problem}", r.detail) for r in work.verify_index().collect()}
     other = Workspace(spark, str(place[0]), f"file://{tmp_path}/other")
     assert other.sync(work).count() == 1 and {r.change_id for r in other.change_map().collect()} == {A, B}
 

@@ -14,6 +14,10 @@ class FingerprintError(RuntimeError):
     pass
 
 
+class StateError(RuntimeError):
+    pass
+
+
 def ledger_chunks(effective: DataFrame, change_map: DataFrame) -> DataFrame:
     """A chunk for each unfolded change with an entry."""
     live = change_map.where(F.col("folded_into").isNull()).select("change_id")

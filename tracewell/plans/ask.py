@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.text import citations
 from ..operators import retrieval as r
 from ..operators.embedding import bag_of_words_query
+from ..operators.keyword import KeywordIndex
 
 TOOL_ROUNDS, TOOL_CHARS = 6, 20_000
 
 
-def retrieve(chunks: DataFrame, question: str, k: int = r.TOP_K, kinds: list[str] | None = None, embed: Callable[[str], list[float]] = bag_of_words_query, factor: int = r.CANDIDATE_FACTOR, boosts: DataFrame | None = None) -> DataFrame:
-    """key, score, matched_by, rank: both halves take k times factor candidates; the kinds filter comes after that, so fewer than k may be left."""
+def retrieve(chunks: DataFrame, question: str, k: int = r.TOP_K, kinds: list[str] | None = None, embed: Callable[[str], list[float]] = bag_of_words_query, factor: int = r.CANDIDATE_FACTOR, boosts: DataFrame | None = None, keywords: KeywordIndex | None = None) -> DataFrame:
+    """key, score, matched_by, rank: both halves take k times factor candidates; the kinds filter comes after that, so fewer than k may be left. keywords: a stored index of the chunks, so that no text is read."""
     if k < 1:
         raise ValueError("k is at least 1")
     pool = None if kinds is None else chunks.where(F.col("kind").isin(kinds)).select("key")
     v = r.ranked(r.nearest(chunks, embed(question), k * factor), "distance", pool)
-    w = r.ranked(r.bm25(chunks, question, k * factor), "score", pool)
+    w = r.ranked(keywords.search(question, k * factor) if keywords else r.bm25(chunks, question, k * factor), "score", pool)
     return r.fuse(v, w, k, boosts=boosts)
 
 
@@ -94,10 +95,10 @@ def prompt_of(sources: list[dict], question: str, most_paths: int = 40) -> str:
     return f"Question: {question}\n\n" + "\n\n".join(parts)
 
 
-def ask(chunks: DataFrame, effective: DataFrame, question: str, k: int = r.TOP_K, kinds: list[str] | None = None, since: str | None = None, until: str | None = None, recent: DataFrame | None = None) -> DataFrame:
+def ask(chunks: DataFrame, effective: DataFrame, question: str, k: int = r.TOP_K, kinds: list[str] | None = None, since: str | None = None, until: str | None = None, recent: DataFrame | None = None, **how) -> DataFrame:
     """The sources of an answer, enriched. With dates: four times as many, those in the span, cut to k, without the recency floor; else recent changes are added, unless the kinds leave ledger entries out."""
     dated = since is not None or until is not None
-    found = retrieve(chunks, question, k * 4 if dated else k, kinds)
+    found = retrieve(chunks, question, k * 4 if dated else k, kinds, **how)
     if not dated and recent is not None and (kinds is None or "ledger" in kinds):
         found = r.with_recent(found, recent)
     rich = r.enrich(found, chunks.drop("embedding"), effective)

@@ -244,6 +244,22 @@ def resolve_commits(x: Tables) -> DataFrame:
     return i.resolve(_messages(x), _hex_map(x)).select("sha", "rule", "change_id")
 
 
+@query("""WITH h AS (SELECT l_orderkey AS sha, l_orderkey // 4 AS parent, list(DISTINCT l_partkey % 20) AS paths FROM lineitem GROUP BY l_orderkey), f AS (SELECT * FROM h WHERE sha IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')),
+p AS (SELECT a.sha, b.sha AS other, len(list_intersect(a.paths, b.paths))::DOUBLE / len(list_distinct(list_concat(a.paths, b.paths))) AS overlap FROM h a JOIN f b ON a.parent = b.parent AND a.sha <> b.sha),
+s AS (SELECT sha, other FROM p WHERE overlap >= 0.2 QUALIFY row_number() OVER (PARTITION BY sha ORDER BY overlap DESC, other) = 1)
+SELECT o_orderkey::VARCHAR AS sha, CASE WHEN o_orderstatus = 'F' THEN 'R1' WHEN s.sha IS NOT NULL THEN 'R4' ELSE 'R5' END AS rule, CASE WHEN o_orderstatus = 'F' THEN printf('%032x', o_orderkey) WHEN s.sha IS NOT NULL THEN printf('%032x', s.other) ELSE left(sha256('orphan' || o_orderkey), 32) END AS change_id
+FROM orders LEFT JOIN s ON s.sha = o_orderkey""")
+def resolve_siblings(x: Tables) -> DataFrame:
+    """Commits without trailers: by the map, by a sibling's paths, or left alone. Finished orders are the map, four neighbours have one parent."""
+    sha = F.col("o_orderkey").cast("string")
+    h = x.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_partkey") % 20).alias("paths")).select("o_orderkey", sha.alias("sha"), F.floor(F.col("o_orderkey") / 4).alias("parent"), "paths")
+    known = x.orders.where(F.col("o_orderstatus") == "F")
+    own = F.lpad(F.lower(F.hex("o_orderkey")), 32, "0")
+    m = known.select(own.alias("change_id"), sha.alias("head"), F.array(sha).alias("history"), F.col("o_orderkey").alias("tree_pos"), F.lit(None).cast("string").alias("folded_into"))
+    heads = h.join(known.select("o_orderkey"), "o_orderkey", "left_semi").select(own.alias("change_id"), F.col("sha").alias("head"), "parent", "paths", F.col("o_orderkey").alias("tree_pos"))
+    return i.resolve(x.orders.select(sha.alias("sha"), F.col("o_orderpriority").alias("message")), m, i.best_siblings(h, heads, 0.2)).select("sha", "rule", "change_id")
+
+
 @query(f"SELECT count(*) AS scanned, count(*) FILTER ({_RULE} IN ('R2', 'R3')) AS healed, count(*) FILTER ({_RULE} = 'R5') AS unlinked FROM orders")
 def reconcile_counts(x: Tables) -> DataFrame:
     return i.reconcile(_messages(x), _hex_map(x))

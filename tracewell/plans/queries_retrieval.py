@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import text as t
 from ..operators import retrieval as r
 from ..operators.embedding import bag_of_words, split_by_cache
 from ..operators.index import run_counts
+from ..operators.keyword import KeywordIndex
+from ..workspace import shared_dir
 from .catalogue import Tables, query
 
 QUESTION = "the license of nicht under que"
@@ -61,6 +65,14 @@ def _fuse(x: Tables, k: int = r.TOP_K, kinds: list[str] | None = None, boosts: D
     return r.fuse(v, w, k, boosts=boosts)
 
 
+@query(f"WITH {_BM25.format(k=20)} SELECT key, round(score, 6) AS score FROM bm")
+def keyword_index_topk(x: Tables) -> DataFrame:
+    """The same as bm25_topk from a stored index, which only its building reads texts for."""
+    index = KeywordIndex(x.spark, f"{shared_dir(x.spark)}/tracewell/keywords-{uuid.uuid4().hex}")
+    index.build(chunks(x))
+    return index.search(QUESTION, 20).withColumn("score", F.round("score", 6))
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.select("key", F.round("score", 9).alias("score"), F.array_join("matched_by", ",").alias("matched_by"), F.col("rank").cast("long").alias("rank"))
 

@@ -18,6 +18,7 @@ from ..functions.text import change_id as normal_id
 from ..functions.text import instant_ms
 from ..operators import audit, embedding, identity, index, ledger, sets
 from ..operators.chunking import CHUNK_SCHEMA, INDEX_CHARS, chunk_files
+from ..operators.keyword import KeywordIndex
 from ..operators.retrieval import position_boost
 from ..sources import git
 from ..sources.versioned import VersionedTable
@@ -27,6 +28,8 @@ from . import export, report
 ENTRY = f"change_id string, revision string, created_at string, author {schemas.AUTHOR}, scope array<struct<path:string,range:array<int>,blob:string>>, summary string, reasoning {schemas.REASONING}, session_ref string, session_refs array<string>, provenance string, folded_into string, redaction_note string"
 INDEX = CHUNK_SCHEMA + ", change_id string, session_ref string, embedding array<double>"
 DIM = 64
+FINGERPRINT, STATE_SCHEMA = f"bag-of-words/{DIM}", "index-state@1"
+STATE = "schema string, mode string, last_indexed_commit string, model_fingerprint string, chunk_count bigint, updated_at string"
 
 
 def now() -> str:
@@ -40,7 +43,8 @@ class TargetError(ValueError):
 class Workspace:
     def __init__(self, spark: SparkSession, repo: str, store: str):
         self.spark, self.repo = spark, repo
-        self.map_table, self.session_table, self.index_table = (VersionedTable(spark, f"{store.rstrip('/')}/{n}") for n in ("change_map", "sessions", "index"))
+        self.map_table, self.session_table, self.index_table, self.state_table = (VersionedTable(spark, f"{store.rstrip('/')}/{n}") for n in ("change_map", "sessions", "index", "index_state"))
+        self.keywords = KeywordIndex(spark, f"{store.rstrip('/')}/keywords")
 
     def git(self, table: str, **options: str) -> DataFrame:
         return git.read(self.spark, self.repo, table, **options)
@@ -126,13 +130,38 @@ class Workspace:
         e = self.effective().join(folded, "change_id", "left").withColumn("folded_into", F.coalesce("folded_into", "into"))
         return asking.later_touches(e, path, after, change_id)
 
-    def ask(self, question: str, path: str | None = None, line: int | None = None, **how) -> DataFrame:
+    def ask(self, question: str, path: str | None = None, line: int | None = None, k: int = 8, kinds: list[str] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+        """Sources of an answer by rank. With dates those of the span alone; else the most recent changes are among them. Only an index of the model in use is read."""
+        index.check_fingerprint(self.index_state(), FINGERPRINT)
         chunks = self._stored(self.index_table, INDEX)
         boosts = chunks.select("key", position_boost(path, line, F.col("path"), F.col("start_line"), F.col("end_line")).alias("boost")) if path else None
-        e = self.effective().select("change_id", F.col("summary").alias("intent"), "created_at", F.col("session_ref").alias("entry_session_ref"))
-        embed = lambda q: embedding.bag_of_words_query(q, DIM)
-        found = asking.retrieve(chunks, question, how.get("k", 8), how.get("kinds"), embed, boosts=boosts)
-        return asking.r.enrich(found, chunks.drop("embedding"), e).orderBy("rank")
+        e = self.effective().select("change_id", F.col("summary").alias("intent"), "created_at", F.to_timestamp("created_at").alias("at"), F.col("session_ref").alias("entry_session_ref"))
+        newest = e.join(self.change_map().where(F.col("folded_into").isNotNull()).select("change_id"), "change_id", "left_anti").orderBy(F.desc("at"), "change_id").limit(asking.r.RECENT)
+        recent = newest.select(F.concat(F.lit("ledger:"), F.col("change_id")).alias("key"), (-F.col("at").cast("double")).alias("order"))
+        how = {"embed": lambda q: embedding.bag_of_words_query(q, DIM), "boosts": boosts, "keywords": self.keywords if self.keywords.rows.version() else None}
+        return asking.ask(chunks, e, question, k, kinds, since, until, recent, **how).orderBy("rank")
+
+    def confidence(self, sources: DataFrame, cited: list[int] | None = None, tool_ok: bool = False) -> DataFrame:
+        """level and reason for an answer from these sources."""
+        return asking.r.confidence(sources, cited, tool_ok)
+
+    def explain_line(self, path: str, line: int, question: str | None = None) -> dict[str, DataFrame]:
+        """Why a line is as it is: its commit, change and entry; the entry's session; what touched the file later; and sources found near it."""
+        why = self.blame(path, line)
+        found = why.select("change_id", "created_at", "summary", "session_ref").limit(1).collect()
+        first = found[0] if found else None
+        known = first is not None and first.change_id is not None
+        later = self.later_touches(path, first.created_at, first.change_id) if known and first.created_at else self.effective().where(F.lit(False))
+        asked = question or (first.summary if known and first.summary else f"why {path}")
+        return {"line": why, "session": self.sessions().join(why.select("session_ref"), "session_ref", "left_semi"), "later": later, "sources": self.ask(asked, path, line)}
+
+    def index_state(self) -> dict | None:
+        """What the last index run recorded; nothing before the first. An unknown schema is an error."""
+        got = self.state_table.read()
+        state = got.first().asDict() if got is not None else None
+        if state and state["schema"] != STATE_SCHEMA:
+            raise index.StateError(f"the index state has schema {state['schema']}")
+        return state
 
     def export(self) -> DataFrame:
         return export.trace_records(self.effective()).orderBy("change_id")
@@ -148,18 +177,47 @@ class Workspace:
         def counted(name: str, df: DataFrame) -> DataFrame:
             return df.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(name).alias("name"), F.lit("warn").alias("status"), F.col("n").cast("string").alias("message"))
 
-        return rows.unionByName(counted("unreadable notes", bad)).unionByName(counted("missing sessions", audit.dangling(refs, self.sessions(), "session_ref")))
+        rows = rows.unionByName(counted("unreadable notes", bad)).unionByName(counted("missing sessions", audit.dangling(refs, self.sessions(), "session_ref")))
+        rows = rows.unionByName(counted("skipped captures", e.where(F.col("redaction_note").isNotNull())))
+        legacy = ledger.parse_notes(self.git("notes"))[0].where(F.col("format") == "legacy-envelope").select("sha").distinct()
+        return rows.unionByName(counted("legacy notes", legacy)).unionByName(self.verify_index().select(F.concat(F.lit("index "), F.col("problem")).alias("name"), F.lit("warn").alias("status"), F.col("detail").alias("message")))
 
     # -- writing
 
-    def adopt(self) -> DataFrame:
-        """Writes what trailers and notes say about commits that the map lacks; returns what was resolved."""
-        r = identity.resolve(self.commits(rev="--all").select("sha", "message"), self.change_map()).where(F.col("rule").isin("R1", "R2", "R3"))
+    def siblings(self) -> DataFrame:
+        """For commits with one parent the unfolded change whose head has the same parent and most of the same paths."""
+        c = self.commits(rev="--all").where(F.size("parents") == 1).select("sha", F.col("parents")[0].alias("parent"))
+        paths = self.git("paths", rev="--all").groupBy("sha").agg(F.collect_set("path").alias("paths"))
+        c = c.join(paths, "sha", "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+        live = self.change_map().where(F.col("folded_into").isNull()).select("change_id", "tree_pos", F.col("head").alias("sha"))
+        heads = live.join(c, "sha").withColumnRenamed("sha", "head")
+        return identity.best_siblings(c, heads)
+
+    def adopt(self, infer: bool = False) -> DataFrame:
+        """Writes what trailers and notes say about commits that the map lacks (infer: and what siblings tell); returns what was resolved."""
+        commits = self.commits(rev="--all").select("sha", "message", "walk_pos")
+        r = identity.resolve(commits, self.change_map(), self.siblings() if infer else None).where(F.col("rule").isin("R1", "R2", "R3", *(["R4"] if infer else [])))
         v = self.map_table.version()
-        out = identity.adopt(self.change_map(), r, now()).withColumns({"absorbed": F.array().cast("array<string>"), "divergent_heads": F.array().cast("array<string>")})
+        out = identity.adopt(self.change_map(), r.join(commits.select("sha", "walk_pos"), "sha"), now(), "walk_pos")
         self.map_table.write(out.withColumn("tree_pos", F.coalesce("tree_pos", F.xxhash64("change_id"))), v)
         return r
 
+    def detach(self, sha: str) -> str:
+        """Takes a commit from its change; its note, if it has one, gets a change of its own. Returns that change."""
+        v = self.map_table.version()
+        self.map_table.write(identity.detach(self.change_map(), sha, now()), v)
+        own = self.spark.range(1).select(identity.minted()).first()[0]
+        rows = [r.entry for r in ledger.parse_notes(self.git("notes"))[0].where(F.col("sha") == sha).orderBy("position").collect()]  # one note's entries
+        if rows:
+            lines = [json.dumps({"entry": {**json.loads(x), "change_id": own}, "schema": ledger.LINE_SCHEMA}, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in rows]
+            done = subprocess.run(["git", "-C", self.repo, "notes", "--ref=intent", "add", "-f", "-m", "\n".join(lines), sha], capture_output=True)
+            if done.returncode:
+                raise git.GitError(done.stderr.decode())
+        m = self.change_map()
+        row = self.spark.createDataFrame([(own, sha, [sha], False, "orphan-recovery", None, [], [], now(), 0)], schemas.CHANGE_MAP)
+        self.map_table.write(m.unionByName(row.select(*m.columns)), self.map_table.version())
+        return own
+
     def annotate(self, target: str, entry: dict) -> str:
         """Adds an entry to a commit's note; the change is the commit's, or a new one. Refuses a note that can't be read and an entry of another change."""
         sha = git.git(self.repo, "rev-parse", "--verify", "--end-of-options", f"{target}^{{commit}}").decode().strip()
@@ -180,18 +238,45 @@ class Workspace:
         v = self.map_table.version()
         self.map_table.write(identity.relink(self.change_map(), self.spark.range(1).select(normal_id(F.lit(change))).first()[0], sha, now()), v)
 
-    def reindex(self) -> DataFrame:
-        """Brings the index to the head: code chunks of what changed, ledger and session chunks anew; kept vectors are those of rows that stay. Returns counts by kind."""
+    def reindex(self, full: bool = False, since: str | None = None) -> DataFrame:
+        """Brings the index to the head and records it; returns counts by kind.
+
+        With a recorded commit (or `since`) that is still there only blobs that changed from it are read and cut, and chunks of
+        blobs that no path holds any more go; without one, or with `full`, all are. Ledger and session chunks are always
+        swept. Kept vectors are those of rows whose text stays. An index of another model is refused unless it is built in full.
+        """
+        state = None if full else self.index_state()
+        index.check_fingerprint(state, FINGERPRINT)
+        head = git.git(self.repo, "rev-parse", "--verify", "HEAD^{commit}").decode().strip()
+        wanted = since or (state or {}).get("last_indexed_commit")
+        base = git.git(self.repo, "rev-parse", "--verify", "-q", f"{wanted}^{{commit}}", allow=True).decode().strip() if wanted and not full else ""
         old = self._stored(self.index_table, INDEX)
-        tree, blobs = self.git("tree"), self.git("blobs")
-        code = chunk_files(blobs, INDEX_CHARS).dropDuplicates(["key"])
+        tree = self.git("tree").select("path", "blob_sha")
+        if base:
+            before = self.git("tree", rev=base).select("path", "blob_sha")
+            code = index.refresh_code(old.where(F.col("kind") == "code").drop("embedding"), before, tree, self.git("blobs", base=base).select("blob_sha", "content").dropDuplicates(["blob_sha"]))
+        else:
+            code = chunk_files(self.git("blobs"), INDEX_CHARS).dropDuplicates(["key"])
         live = index.ledger_chunks(self.effective(), self.change_map().unionByName(self.effective().select("change_id").join(self.change_map(), "change_id", "left_anti"), allowMissingColumns=True))
         rows = code.unionByName(live, allowMissingColumns=True).unionByName(index.session_chunks(self.sessions(), self._session_owners()), allowMissingColumns=True)
         kept = old.select("key", F.col("text").alias("was"), F.col("embedding").alias("had"))
-        rows = rows.join(kept, "key", "left").withColumn("reused", F.col("was").eqNullSafe(F.col("text")))
+        rows = rows.drop("reused").join(kept, "key", "left").withColumn("reused", F.col("was").eqNullSafe(F.col("text")) & F.lit(not full))
         rows = rows.withColumn("embedding", F.when(F.col("reused"), F.col("had")).otherwise(embedding.bag_of_words(F.col("text"), DIM))).drop("was", "had")
-        self.index_table.write(rows.join(tree.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").drop("there"), self.index_table.version())
-        return index.run_counts(self.index_table.read())
+        self.index_table.write(rows, self.index_table.version())
+        new = self.index_table.read()
+        changed, gone = new.where(~F.col("reused")).select("key", "text"), old.select("key").join(new.select("key"), "key", "left_anti")
+        self.keywords.update(changed, gone) if base else self.keywords.build(new.select("key", "text"))
+        mode = "full" if full else "incremental" if base else "initial"
+        self.state_table.write(self.spark.createDataFrame([(STATE_SCHEMA, mode, head, FINGERPRINT, new.count(), now())], STATE), self.state_table.version())
+        return index.run_counts(new)
+
+    def verify_index(self) -> DataFrame:
+        """problem and detail of an index against its record: another model, another count, or behind the head. Rebuilds nothing."""
+        state = self.index_state()
+        if state is None:
+            return self.spark.createDataFrame([("absent", "no index was built")], "problem string, detail string")
+        head = git.git(self.repo, "rev-parse", "--verify", "HEAD^{commit}").decode().strip()
+        return audit.index_findings(self.state_table.read(), self._stored(self.index_table, INDEX), FINGERPRINT, head)
 
     def _session_owners(self) -> DataFrame:
         e = self.notes()[0].where(F.col("session_ref").isNotNull())

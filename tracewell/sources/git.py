@@ -111,7 +111,11 @@ def _notes(repo: str, o: dict) -> Iterator[tuple]:
 
 
 def _blobs(repo: str, o: dict) -> Iterator[tuple]:
+    """Contents of the files of a tree; of those alone that another tree (`base`) has not, if it is given."""
     rows = list(_tree(repo, o))
+    if "base" in o:
+        had = {r[3] for r in _tree(repo, {"rev": o["base"]})}
+        rows = [r for r in rows if r[3] not in had]
     for r, body in zip(rows, many_objects(repo, [r[3] for r in rows]), strict=True):
         yield r[3], r[4], _text(body or b"")
 

@@ -43,10 +43,10 @@ class VersionedTable:
         version = self.version() if version is None else version
         return self.spark.read.parquet(f"{self.path}/{self._folder(version)}") if version else None
 
-    def write(self, df: DataFrame, expected: int) -> int:
+    def write(self, df: DataFrame, expected: int, partition_by: list[str] | None = None) -> int:
         """Writes version expected + 1. The pointer is made by an exclusive create, which only one writer can win."""
         folder = f"data-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{folder}")
+        df.write.partitionBy(*(partition_by or [])).parquet(f"{self.path}/{folder}")
         if self.version() != expected:
             raise Conflict(f"version {expected} was read, {self.version()} holds")
         try:
