@@ -43,3 +43,43 @@ def span_headline(attributes: Column, body: Column, longest: int = 120) -> Colum
 
 def source_tag(kind: Column, rank: Column) -> Column:
     return F.concat(F.lit("["), rank.cast("string"), F.lit("] "), kind)
+
+
+def split_citations(answer: Column, sources: Column) -> Column:
+    """An answer's segments in order: texts, and citations `[n]` of the sources from 1 to `sources`. A number beyond them stays text."""
+    pieces = F.split(answer, r"\[[0-9]+\]", -1)
+    marks = F.concat(F.regexp_extract_all(answer, F.lit(r"(\[[0-9]+\])"), F.lit(1)), F.array(F.lit("")))
+    digits = lambda m: F.regexp_replace(m, r"^\[0*|\]$", "")
+    number = lambda m: F.when(F.length(digits(m)) < 10, digits(m).try_cast("int"))
+    cited = F.transform(marks, lambda m: F.when(number(m).between(1, sources), number(m)))
+    segment = "struct<kind:string,text:string,n:int>"
+    said = lambda t: F.struct(F.lit("text").alias("kind"), t.alias("text"), F.lit(None).cast("int").alias("n"))
+    cite = lambda n: F.struct(F.lit("citation").alias("kind"), F.lit(None).cast("string").alias("text"), n.alias("n"))
+    none = F.array().cast(f"array<{segment}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        text = F.concat(acc["open"], x["piece"])
+        closed = F.when(text != "", F.array(said(text))).otherwise(none)
+        goes_on = F.struct(acc["done"].alias("done"), F.concat(text, x["mark"]).alias("open"))
+        ends = F.struct(F.concat(acc["done"], closed, F.array(cite(x["n"]))).alias("done"), F.lit("").alias("open"))
+        return F.when(x["n"].isNull(), goes_on).otherwise(ends)
+
+    start = F.struct(none.alias("done"), F.lit("").alias("open"))
+    rest = lambda acc: F.concat(acc["done"], F.when(acc["open"] != "", F.array(said(acc["open"]))).otherwise(none))
+    parts = F.arrays_zip(pieces.alias("piece"), marks.alias("mark"), cited.alias("n"))
+    return F.aggregate(parts, start, step, rest)
+
+
+def wrap_text(text: Column, first: str = "", indent: str = "", width: int = 98) -> Column:
+    """Lines of at most `width` UTF-16 units, broken between words; a longer word has a line of its own. One line, `first`, if there is no word."""
+    words = F.filter(F.split(text, "[\\s\\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+", -1), lambda w: w != "")
+    units = lambda c: F.octet_length(F.encode(c, "UTF-16BE")) / 2
+
+    def step(acc: Column, w: Column) -> Column:
+        full = ~acc["bare"] & (units(acc["line"]) + 1 + units(w) > width)
+        on = F.struct(acc["lines"].alias("lines"), F.concat(acc["line"], F.when(acc["bare"], "").otherwise(" "), w).alias("line"), F.lit(False).alias("bare"))
+        new = F.struct(F.concat(acc["lines"], F.array(acc["line"])).alias("lines"), F.concat(F.lit(indent), w).alias("line"), F.lit(False).alias("bare"))
+        return F.when(full, new).otherwise(on)
+
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(first).alias("line"), F.lit(True).alias("bare"))
+    return F.aggregate(words, start, step, lambda acc: F.concat(acc["lines"], F.array(acc["line"])))

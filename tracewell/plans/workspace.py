@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import change_id as normal_id
 from ..functions.text import instant_ms
-from ..operators import audit, embedding, identity, index, ledger, sets
+from ..operators import audit, details, embedding, identity, index, ledger, sets
 from ..operators.chunking import CHUNK_SCHEMA, INDEX_CHARS, chunk_files
 from ..operators.keyword import KeywordIndex
 from ..operators.retrieval import position_boost
@@ -115,10 +115,10 @@ class Workspace:
         return row[0].change_id
 
     def show(self, target: str) -> DataFrame:
-        """All entries of a change in order, numbered, the one that holds marked."""
+        """All entries of a change in order, numbered, the one that holds marked, each with its session as far as there is one."""
         e = self.notes()[0].where(F.col("change_id") == self.resolve_target(target)).dropDuplicates(["change_id", "digest"])
         strength = ledger.strength(F.col("created_at"), F.col("author.human"), F.col("revision"), F.col("digest"))
-        return ledger.numbered(e, "change_id", [instant_ms(F.col("created_at")), F.col("digest")], strength)
+        return details.session_info(ledger.numbered(e, "change_id", [instant_ms(F.col("created_at")), F.col("digest")], strength), self.sessions())
 
     def blame(self, path: str, line: int) -> DataFrame:
         if line < 1:
