@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_text, langid, lengths, licenses, neardup, ogg, token_files, toxicity
+from . import bpe, decontam, filter_audit, html_text, langid, lengths, licenses, neardup, ogg, token_files, toxicity
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe_tree": op2_bpe_tree,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_token_lengths": op9_token_lengths,
     "op10_html_text": op10_html_text,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.scan_sql()}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op11_filter_audit": filter_audit.audit_sql()}
