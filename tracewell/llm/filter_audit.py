@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from itertools import permutations
@@ -118,9 +119,8 @@ def interactions(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
         F.array(*[passing(s) for s in range(sets)]).alias("left"), F.array(*[passing(s, F.col("good")) for s in range(sets)]).alias("left_good"), F.array(*[passing(s, F.col("toxic")) for s in range(sets)]).alias("left_toxic"),
         F.array(*fails).alias("fails"), F.array(*alone).alias("alone"), F.array(*shapley).alias("shapley"),
     )
-    plan = [(o, k + 1, filters.index(f), sum(1 << filters.index(x) for x in o[:k])) for o in orders for k, f in enumerate(o)]
-    steps = part.select("*", F.explode(F.arrays_zip(*[F.lit(list(c)).alias(name) for name, c in zip(("filter_order", "step", "k", "before"), zip(*plan, strict=True), strict=True)])).alias("s"))
-    steps = steps.select(*part.columns, "s.*", (F.col("s.before") + F.element_at(F.lit([1 << k for k in range(len(filters))]), F.col("s.k") + 1)).alias("after"))
+    plan = [{"filter_order": o, "step": k + 1, "k": filters.index(f), "before": (before := sum(1 << filters.index(x) for x in o[:k])), "after": before + (1 << filters.index(f))} for o in orders for k, f in enumerate(o)]
+    steps = part.select("*", F.explode(F.from_json(F.lit(json.dumps(plan)), "array<struct<filter_order:string,step:int,k:int,before:int,after:int>>")).alias("s")).select(*part.columns, "s.*")
 
     def lost(c: str):
         return F.get(c, "before") - F.get(c, "after")
