@@ -1,11 +1,15 @@
 """The audit of filters, the join of vectors and the trie of conversations, against brute force."""
 
+import hashlib
 import random
+import zlib
 from itertools import permutations
 
+import numpy as np
 import pytest
 
-from tracewell.llm import filter_audit
+from tracewell.llm import filter_audit, prefix_trie
+from tracewell.llm.common import Scratch
 
 DOCS, LABELS = "doc_id long, text string, lang string, note string", "doc_id long, quality int, toxic int"
 
@@ -95,3 +99,98 @@ def test_audit_of_odd_tables(spark):
 def test_a_long_text_is_judged_as_a_short_one(size):
     text = (b"ab cd " * (size // 6 + 1))[:size]
     assert filter_audit.text_mask(text) == (1 | 2 if size < 100 else 2)
+
+
+# -- prefix trie
+
+TURNS = "conv_id long, turn long, role string, text string, depth int"
+
+
+def rebuilt(rows):
+    own = {}
+    for c, turn, role, text, *_ in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v)] for c, v in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - (abs(c) % 5) * (1 if c > 0 else -1)
+        out[c] = own.get(base, [])[:h] + turns[h:]
+    return out
+
+
+def brute_trie(rows):
+    convs = rebuilt(rows)
+    members = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    out = {}
+    for p, who in members.items():
+        below = [q for q in members if q[: len(p)] == p]
+        leaf = [q for q in below if not any(len(x) == len(q) + 1 and x[: len(q)] == q for x in members)]
+        ends = ",".join(str(c) for c in sorted(who) if len(convs[c]) == len(p))
+        out[min(who), len(p)] = (min(members[p[:-1]]) if p else None, len(who), sum(len(q) == len(p) + 1 for q in below), len(leaf), sum((len(members[q]) - 1) * len(q[-1][1].encode()) for q in below if q), hashlib.sha256(ends.encode()).hexdigest())
+    return out
+
+
+def tried(spark, rows, shard_rows):
+    got = prefix_trie.prefix_trie(spark, spark.createDataFrame(rows, TURNS), shard_rows).collect()
+    out = {(r.conv_id, r.depth): (r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in got}
+    assert len(out) == len(got)
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [1, 12, 1000])
+def test_trie_equals_brute_force(spark, shard_rows):
+    rng = random.Random(13)
+    rows = []
+    for c in range(-6, 60):
+        if rng.random() < 0.8:
+            rows += [(c * (1 if c < 50 else 10**15), rng.choice([k, k, k, None, 3]), rng.choice(["user", "user", None, "é"]), rng.choice(["a", "", None, "bé", "c" * 70 + rng.choice("xy")]), 0) for k in range(rng.randint(1, 12))]
+    # one conversation that many share, a long one, one at the end of the range
+    for c in range(1000, 1100):
+        rows += [(c, k, "user", f"same {k}", 0) for k in range(6)]
+    rows += [(2005, k, "user", "more", 0) for k in range(40)] + [(None, 1, "user", "x", 0), (2**63 - 3, 0, "user", "end", 0)]
+    rows += rows[:3]
+    rng.shuffle(rows)
+    got, want = tried(spark, rows, shard_rows), brute_trie(rows)
+    assert got == want
+
+
+def test_trie_of_odd_tables(spark):
+    assert tried(spark, [], 10) == {}
+    assert tried(spark, [(None, 1, "a", "b", 1)], 10) == {}
+    one = [(7, None, None, None, 1)]  # the first five turns are those of conversation 5, which isn't there
+    assert zlib.crc32(b"7") % 9 > 0 and tried(spark, one, 10) == brute_trie(one) and len(brute_trie(one)) == 1
+
+
+def test_louds_knows_its_parents():
+    rng = random.Random(5)
+    sums = {}
+    rows = []
+    for c in range(200):
+        path = ()
+        for level in range(rng.randint(1, 7)):
+            parent, path = path, (*path, rng.randint(0, 2))
+            key = sums.setdefault(path, rng.getrandbits(60) | 1)
+            rows.append((level, key, key ^ 5, sums.get(parent, 0), sums.get(parent, 0) ^ 5, path))
+    t, of = prefix_trie.build(*(np.array([r[k] for r in rows], np.int64) for k in range(5)))
+    node = {r[5]: int(n) for r, n in zip(rows, of, strict=True)}
+    assert len(node) == t.levels[-1] == len(set(node.values())) and t.bits.sum() == len(node)
+    parents, degrees = t.parents, t.degrees
+    for path, n in node.items():
+        assert parents[n] == node.get(path[:-1], -1) and degrees[n] == sum(q[:-1] == path for q in node)
+    assert [t.up(np.ones(len(node), np.int64))[n] for n in node.values()] == [sum(q[: len(p)] == p for q in node) for p in node]
+
+
+def test_running_sums_go_over_borders(spark):
+    rows = [(k % 3 * 10 if k % 2 else 10, k, (1 << 61) + k) for k in range(500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = prefix_trie.running(Scratch(spark, "test"), "sums", spark.createDataFrame(rows, "k long, at long, v long"), "k", ["at"], ["v"])
+        got = {(r.k, r.at): r.run_v for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(k, at): sum(v for x, y, v in rows if x == k and y <= at) % (1 << 62) for k, at, _ in rows}
