@@ -8,7 +8,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from tracewell.llm import filter_audit, prefix_trie
+from tracewell.llm import filter_audit, prefix_trie, vector_join
 from tracewell.llm.common import Scratch
 
 DOCS, LABELS = "doc_id long, text string, lang string, note string", "doc_id long, quality int, toxic int"
@@ -194,3 +194,86 @@ def test_running_sums_go_over_borders(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {(k, at): sum(v for x, y, v in rows if x == k and y <= at) % (1 << 62) for k, at, _ in rows}
+
+
+# -- vectors
+
+
+def brute_links(rows):
+    def unit(e):
+        if not e or any(x is None or not np.isfinite(x) for x in e) or not any(e):
+            return None
+        x = np.array(e, np.float64) / max(abs(v) for v in e)
+        return x / np.sqrt((x * x).sum())
+
+    x = [unit(e) for _, e, *_ in rows]
+    linked = [[j for j in range(len(rows)) if j != i and x[i] is not None and x[j] is not None and len(x[i]) == len(x[j]) and x[i] @ x[j] >= 0.9] for i in range(len(rows))]
+    out = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = [j for j in linked[todo.pop()] if j not in seen]
+            seen.update(new)
+            todo += new
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        least = min(ids) if ids else None
+        out.append((rows[i][0], len(linked[i]), least, least is not None and least == rows[i][0]))
+    return sorted(out, key=repr)
+
+
+def linked(spark, rows, kind="float", **more):
+    got = vector_join.vector_links(spark, spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int"), **more).collect()
+    return sorted((tuple(r) for r in got), key=repr)
+
+
+def clustered(rng, n, width, spread):
+    centres = rng.normal(size=(5, width))
+    x = centres[rng.integers(0, 5, n)] + rng.normal(size=(n, width)) * spread
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("width,spread,interval_rows", [(3, 0.3, 16), (8, 0.25, 64), (20, 0.001, 16), (12, 0.32, 4096)])
+def test_links_equal_brute_force(spark, width, spread, interval_rows):
+    rng = np.random.default_rng(width)
+    rows = [(int(k), [float(v) for v in x], 0) for k, x in zip(rng.permutation(700), clustered(rng, 700, width, spread), strict=True)]
+    one = [float(v) for v in np.float32(rng.normal(size=width))]
+    rows += [(1000 + k, one, 1) for k in range(60)] + [(3, [2 * v for v in one], 1), (3, [2 * v for v in one], 1), (None, one, 0), (None, [float("nan")] * width, 0)]
+    rows += [(2000, None, 0), (2001, [], 0), (2002, [0.0] * width, 0), (2003, [1.0, None], 0), (2004, [float("inf")] + one[1:], 0), (2005, [*one, 1e-30], 0), (2006, one[:-1], 0), (2000, None, 0)]
+    assert linked(spark, rows, interval_rows=interval_rows) == brute_links(rows)
+
+
+def test_whole_clusters_are_linked_without_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vector_join, "FANOUT", 2)
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(v) for v in x], 0) for k, x in enumerate(clustered(rng, 400, 16, 0.005))]
+    assert linked(spark, rows, interval_rows=16) == brute_links(rows)
+
+
+def test_cosines_on_the_border_and_large_components(spark):
+    # the cosine of (1, 0) and (9, sqrt(19)) is 0.9
+    rows = [(1, [1.0, 0.0], 0), (2, [9.0, -(19.0**0.5) + 1e-10], 0), (3, [9.0, 19.0**0.5 + 1e-10], 0), (4, [1e300, 1e299], 0), (5, [-1e-300, 0.0], 0)]
+    got = linked(spark, rows, "double")
+    assert got == brute_links(rows) and got[0][1:3] == (2, 1) and got[1][1] == 1
+
+
+def test_links_of_odd_tables(spark):
+    assert linked(spark, []) == []
+    assert linked(spark, [(5, None, 0), (None, [0.0], 0)]) == sorted([(5, 0, 5, True), (None, 0, None, False)], key=repr)
+    assert linked(spark, [(5, [1.0], 0)]) == [(5, 0, 5, True)]
+
+
+def test_halves_of_two_intervals_meet():
+    rng = np.random.default_rng(9)
+    x, y = (vector_join.unit_rows(clustered(rng, n, 6, 0.3).astype(float)) for n in (150, 90))
+    counts = [rng.integers(1, 4, len(v)) for v in (x, y)]
+    sides = [(v, np.full(len(v), 6, np.int32), c) for v, c in zip((x, y), counts, strict=True)]
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :4]
+    a, b, kept = vector_join.compare(*sides, axes, 0.2**0.5, 0.9, block=16)
+    hit = x @ y.T >= 0.9
+    assert (a == hit @ counts[1]).all() and (b == counts[0] @ hit).all()
+    whole, own = vector_join.Unions(240), vector_join.Unions(240)
+    for i, j in np.argwhere(hit):
+        whole.join(int(i), int(j) + 150)
+    for i, j in kept:
+        own.join(i, j)
+    assert [whole.top(k) for k in range(240)] == [own.top(k) for k in range(240)] and len(kept) < 240

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, filter_audit, html_text, langid, lengths, licenses, neardup, ogg, prefix_trie, token_files, toxicity
+from . import bpe, decontam, filter_audit, html_text, langid, lengths, licenses, neardup, ogg, prefix_trie, token_files, toxicity, vector_join
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.vector_links(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark, table(spark, sf_dir, "conversations"))
 
@@ -70,7 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_lengths": op9_token_lengths,
     "op10_html_text": op10_html_text,
     "op11_filter_audit": op11_filter_audit,
+    "op12_vector_links": op12_vector_links,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op11_filter_audit": filter_audit.audit_sql(), "op13_prefix_trie": prefix_trie.trie_sql()}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op11_filter_audit": filter_audit.audit_sql(), "op12_vector_links": vector_join.links_sql(), "op13_prefix_trie": prefix_trie.trie_sql()}
