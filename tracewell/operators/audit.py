@@ -60,7 +60,7 @@ def identity_findings(change_map: DataFrame, unreachable: DataFrame) -> DataFram
 
     m = change_map
     return reduce(DataFrame.unionByName, [
-        kind("inferred", m.where((F.col("origin") == "inferred") & F.col("folded_into").isNull())), kind("orphan", m.where(F.col("origin") == "orphan-recovery")), kind("trailer-recovery", m.where((F.col("origin") == "trailer") & ~F.coalesce("trailer_seen", F.lit(False)))),
+        kind("inferred", m.where((F.col("origin") == "inferred") & F.col("folded_into").isNull())), kind("orphan", m.where(F.col("origin") == "orphan-recovery")), kind("trailer-recovery", m.where(F.col("origin") == "trailer-recovery")),
         kind("divergent", m.where(F.coalesce(F.size("divergent_heads"), F.lit(0)) > 0)), kind("unreachable", unreachable),
     ])
 

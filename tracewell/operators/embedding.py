@@ -47,7 +47,7 @@ def bag_of_words_query(text: str, dim: int = 32) -> list[float]:
 def split_by_cache(chunks: DataFrame, cache: DataFrame, fingerprint: str, dim: int) -> tuple[DataFrame, DataFrame]:
     """(chunks with a cached vector, chunks without). A cached vector of another length counts as none."""
     keyed = chunks.withColumn("cache_key", cache_key(F.lit(fingerprint), F.col("blob_sha"), F.col("node_path")))
-    known = cache.where(F.size("vector") == dim).select("cache_key", F.col("vector").alias("embedding"))
+    known = cache.where(F.size("vector") == dim).select("cache_key", F.col("vector").alias("embedding")).dropDuplicates(["cache_key"])
     return keyed.drop("embedding").join(known, "cache_key"), keyed.join(known, "cache_key", "left_anti")
 
 

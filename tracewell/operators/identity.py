@@ -100,7 +100,7 @@ def resolve(commits: DataFrame, change_map: DataFrame, siblings: DataFrame | Non
     else:
         c = c.join(siblings.select("sha", F.col("change_id").alias("sibling")), "sha", "left")
     rule = F.when(F.col("mapped").isNotNull(), "R1").when(F.col("by_trailer").isNotNull(), "R2").when(F.col("trailer").isNotNull(), "R3").when(F.col("sibling").isNotNull(), "R4").otherwise("R5")
-    origin = F.when(rule.isin("R2", "R3"), "trailer").when(rule == "R4", "inferred").when(rule == "R5", "orphan-recovery")
+    origin = F.when(rule.isin("R2", "R3"), "trailer-recovery").when(rule == "R4", "inferred").when(rule == "R5", "orphan-recovery")
     return c.select("sha", F.coalesce("mapped", "by_trailer", "trailer", "sibling", F.concat(F.substring(F.sha2(F.concat(F.lit("orphan"), F.col("sha")), 256), 1, 32))).alias("change_id"), rule.alias("rule"), origin.alias("origin"))
 
 

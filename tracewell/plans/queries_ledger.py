@@ -155,10 +155,10 @@ def log_rows(x: Tables) -> DataFrame:
 def change_map(x: Tables) -> DataFrame:
     """A change for each customer with orders: all orders by day as history, the last as head; every third folded into another."""
     c = x.orders.groupBy(F.col("o_custkey").alias("change_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda o: o["o_orderkey"]).alias("history"))
-    return c.select("change_id", F.element_at("history", -1).alias("head"), "history", F.col("change_id").alias("tree_pos"), F.when(F.col("change_id") % 3 == 0, F.floor(F.col("change_id") / 2)).cast("long").alias("folded_into"), F.when(F.col("change_id") % 5 == 0, "inferred").when(F.col("change_id") % 7 == 0, "orphan-recovery").otherwise("trailer").alias("origin"), (F.col("change_id") % 2 == 0).alias("trailer_seen"), F.array().cast("array<string>").alias("divergent_heads"))
+    return c.select("change_id", F.element_at("history", -1).alias("head"), "history", F.col("change_id").alias("tree_pos"), F.when(F.col("change_id") % 3 == 0, F.floor(F.col("change_id") / 2)).cast("long").alias("folded_into"), F.when(F.col("change_id") % 5 == 0, "inferred").when(F.col("change_id") % 7 == 0, "orphan-recovery").when(F.col("change_id") % 2 == 1, "trailer-recovery").otherwise("post-commit").alias("origin"), (F.col("change_id") % 2 == 0).alias("trailer_seen"), F.array().cast("array<string>").alias("divergent_heads"))
 
 
-_MAP = """cm AS (SELECT o_custkey AS change_id, arg_max(o_orderkey, (epoch_us(o_orderdate)::HUGEINT * 100000000000 + o_orderkey)) AS head, CASE WHEN o_custkey % 3 = 0 THEN o_custkey // 2 END AS folded_into, CASE WHEN o_custkey % 5 = 0 THEN 'inferred' WHEN o_custkey % 7 = 0 THEN 'orphan-recovery' ELSE 'trailer' END AS origin, o_custkey % 2 = 0 AS trailer_seen FROM orders GROUP BY o_custkey)"""
+_MAP = """cm AS (SELECT o_custkey AS change_id, arg_max(o_orderkey, (epoch_us(o_orderdate)::HUGEINT * 100000000000 + o_orderkey)) AS head, CASE WHEN o_custkey % 3 = 0 THEN o_custkey // 2 END AS folded_into, CASE WHEN o_custkey % 5 = 0 THEN 'inferred' WHEN o_custkey % 7 = 0 THEN 'orphan-recovery' WHEN o_custkey % 2 = 1 THEN 'trailer-recovery' ELSE 'post-commit' END AS origin, o_custkey % 2 = 0 AS trailer_seen FROM orders GROUP BY o_custkey)"""
 
 
 def _shared(x: Tables) -> DataFrame:
@@ -233,7 +233,7 @@ def _messages(x: Tables) -> DataFrame:
 def _hex_map(x: Tables) -> DataFrame:
     """A map that knows finished orders and their customers."""
     h = x.orders.where(F.col("o_orderstatus") == "F").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.col("o_orderkey").cast("string"))).alias("history"))
-    return h.select(F.lpad(F.lower(F.hex("o_custkey")), 32, "0").alias("change_id"), F.lit("-").alias("head"), "history", F.col("o_custkey").alias("tree_pos"), F.lit(None).cast("string").alias("folded_into"), F.lit(False).alias("trailer_seen"), F.lit("trailer").alias("origin"), F.lit("2024-01-01T00:00:00Z").alias("updated_at"))
+    return h.select(F.lpad(F.lower(F.hex("o_custkey")), 32, "0").alias("change_id"), F.lit("-").alias("head"), "history", F.col("o_custkey").alias("tree_pos"), F.lit(None).cast("string").alias("folded_into"), F.lit(False).alias("trailer_seen"), F.lit("post-commit").alias("origin"), F.lit("2024-01-01T00:00:00Z").alias("updated_at"))
 
 
 _RULE = "CASE WHEN o_orderstatus = 'F' THEN 'R1' WHEN o_orderstatus = 'O' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'R2' WHEN o_orderstatus = 'O' THEN 'R3' ELSE 'R5' END"
@@ -287,7 +287,7 @@ def unreachable_heads(x: Tables) -> DataFrame:
 
 
 _FINDINGS = f"""{_MAP}, u AS (SELECT change_id FROM cm WHERE folded_into IS NULL AND head NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N')),
-f AS (SELECT 'inferred' AS finding, change_id FROM cm WHERE origin = 'inferred' AND folded_into IS NULL UNION ALL SELECT 'orphan', change_id FROM cm WHERE origin = 'orphan-recovery' UNION ALL SELECT 'trailer-recovery', change_id FROM cm WHERE origin = 'trailer' AND NOT trailer_seen UNION ALL SELECT 'unreachable', change_id FROM u)"""
+f AS (SELECT 'inferred' AS finding, change_id FROM cm WHERE origin = 'inferred' AND folded_into IS NULL UNION ALL SELECT 'orphan', change_id FROM cm WHERE origin = 'orphan-recovery' UNION ALL SELECT 'trailer-recovery', change_id FROM cm WHERE origin = 'trailer-recovery' UNION ALL SELECT 'unreachable', change_id FROM u)"""
 
 
 @query(f"WITH {_FINDINGS} SELECT * FROM f")

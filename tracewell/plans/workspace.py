@@ -169,7 +169,7 @@ class Workspace:
     def doctor(self) -> DataFrame:
         """name, status, message: what is odd about identities, notes, sessions and the index."""
         m = self.change_map()
-        tips = self.git("refs", pattern="refs").select("sha")
+        tips = self.git("refs", pattern="refs/heads refs/tags refs/remotes").select(F.col("target").alias("sha"))  # the library's own refs keep no commit alive
         found = audit.identity_findings(m, audit.unreachable_heads(m, audit.reachable(self.commits(rev="--all"), tips)))
         rows = audit.check_rows(found).select("name", "status", "message")
         e, bad = self.notes()

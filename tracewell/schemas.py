@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The record types' enumerations and versions.
-ORIGINS = ["trailer", "post-rewrite", "squash", "inferred", "orphan-recovery", "rebuild-map"]
+ORIGINS = ["post-commit", "post-rewrite", "trailer-recovery", "inferred", "orphan-recovery", "rebuild-map"]
 AUTHOR_TYPES = ["agent", "human", "mixed"]
-SCOPE_RISKS = ["local", "module", "cross-cutting"]
-REVERSIBILITY = ["trivial", "moderate", "hard"]
+SCOPE_RISKS = ["low", "medium", "high"]
+REVERSIBILITY = ["easy", "moderate", "hard"]
 PROVENANCE = ["agent-captured", "human-authored", "inferred"]
 SPAN_KINDS = ["gen_ai.completion", "gen_ai.tool.execution", "agent.plan", "agent.step"]
 CHUNK_KINDS = ["code", "ledger", "session"]

@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TABLES = {
     "commits": "sha string, short_sha string, author_name string, author_email string, author_date string, subject string, message string, parents array<string>, walk_pos bigint",
-    "refs": "ref string, sha string, subject string, date string, upstream string, track string, current boolean",
+    "refs": "ref string, sha string, subject string, date string, upstream string, track string, current boolean, target string",
     "tree": "rev string, mode string, type string, blob_sha string, path string",
     "paths": "sha string, base_sha string, path string, status string, old_blob string, new_blob string",
     "notes": "commit_sha string, body string",
@@ -71,10 +71,10 @@ def _commits(repo: str, o: dict) -> Iterator[tuple]:
 
 
 def _refs(repo: str, o: dict) -> Iterator[tuple]:
-    form = "%00".join(["%(refname)", "%(objectname)", "%(subject)", "%(committerdate:iso-strict)", "%(upstream:short)", "%(upstream:track)", "%(HEAD)"])
-    for line in _text(git(repo, "for-each-ref", f"--format={form}", "--sort=-committerdate", o.get("pattern", "refs/heads"))).splitlines():
+    form = "%00".join(["%(refname)", "%(objectname)", "%(subject)", "%(committerdate:iso-strict)", "%(upstream:short)", "%(upstream:track)", "%(HEAD)", "%(if)%(*objectname)%(then)%(*objectname)%(else)%(objectname)%(end)"])
+    for line in _text(git(repo, "for-each-ref", f"--format={form}", "--sort=-committerdate", *o.get("pattern", "refs/heads").split())).splitlines():
         f = line.split("\0")
-        yield (*f[:6], f[6] == "*")
+        yield (*f[:6], f[6] == "*", f[7])
 
 
 def _tree(repo: str, o: dict) -> Iterator[tuple]:
