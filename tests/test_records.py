@@ -149,7 +149,7 @@ def test_notes(spark):
 
 
 def test_validation(spark):
-    ok = (ID, SHA, [SHA], "trailer", None, "2024-01-01T00:00:00Z")
+    ok = (ID, SHA, [SHA], "trailer-recovery", None, "2024-01-01T00:00:00Z")
     rows = [ok, ("x", *ok[1:]), (*ok[:3], "guess", *ok[4:]), (*ok[:5], "2024-01-01T00:00:00+01:00")]
     good, bad = schemas.split_valid(spark.createDataFrame(rows, "change_id string, head string, history array<string>, origin string, folded_into string, updated_at string"), schemas.change_map_reasons())
     assert good.count() == 1 and sorted(r.reasons for r in bad.collect()) == [["change_id"], ["origin"], ["updated_at"]]
@@ -159,7 +159,7 @@ def test_validation(spark):
 
 
 def change_map(spark, rows):
-    return spark.createDataFrame([(c, h, hist, k, f, True, "trailer", "2024-01-01T00:00:00Z") for k, (c, h, hist, f) in enumerate(rows)], "change_id string, head string, history array<string>, tree_pos long, folded_into string, trailer_seen boolean, origin string, updated_at string")
+    return spark.createDataFrame([(c, h, hist, k, f, True, "post-commit", "2024-01-01T00:00:00Z") for k, (c, h, hist, f) in enumerate(rows)], "change_id string, head string, history array<string>, tree_pos long, folded_into string, trailer_seen boolean, origin string, updated_at string")
 
 
 def test_folds(spark):
@@ -513,9 +513,96 @@ def test_siblings_equal_brute_force(spark):
 def test_adopting_keeps_what_the_map_says(spark):
     from tracewell import schemas
 
-    m = spark.createDataFrame([("A", "h", ["h"], False, "trailer", None, ["X"], ["h", "z"], "t0", 3)], schemas.CHANGE_MAP)
-    found = spark.createDataFrame([("n2", "A", "R4", "inferred", 1), ("n1", "A", "R4", "inferred", 2), ("b1", "B", "R3", "trailer", 9), ("b0", "B", "R3", "trailer", 4), ("h", "A", "R1", None, 0)], "sha string, change_id string, rule string, origin string, walk_pos int")
+    m = spark.createDataFrame([("A", "h", ["h"], False, "post-commit", None, ["X"], ["h", "z"], "t0", 3)], schemas.CHANGE_MAP)
+    found = spark.createDataFrame([("n2", "A", "R4", "inferred", 1), ("n1", "A", "R4", "inferred", 2), ("b1", "B", "R3", "trailer-recovery", 9), ("b0", "B", "R3", "trailer-recovery", 4), ("h", "A", "R1", None, 0)], "sha string, change_id string, rule string, origin string, walk_pos int")
     out = {r.change_id: r for r in identity.adopt(m, found, "t1", "walk_pos").collect()}
     a, b = out["A"], out["B"]
     assert (a.head, a.history, a.origin, a.absorbed, a.divergent_heads, a.tree_pos) == ("n1", ["h", "n2", "n1"], "inferred", ["X"], ["h", "z"], 3)
     assert (b.head, b.history, b.trailer_seen, b.absorbed, b.divergent_heads) == ("b0", ["b0", "b1"], True, [], [])
+
+
+# -- ancestry
+
+
+def test_ancestry_equals_a_walk(spark):
+    from tracewell.operators import ancestry
+
+    rng = random.Random(12)
+    parents = {}
+    for k in range(300):  # older commits have lower numbers
+        some = [str(x) for x in rng.sample(range(max(0, k - 12), k), min(k, rng.choice([1, 1, 1, 2, 3, 0])))] if k else []
+        parents[str(k)] = some + (["unknown"] if k % 50 == 1 else [])
+    commits = spark.createDataFrame([(s, p, 1000 - int(s)) for s, p in parents.items()] + [("7", parents["7"], 993)], "sha string, parents array<string>, at long")
+    above = {s: {s}.union(*([]), *[{p} for p in ps if p in parents]) for s, ps in parents.items()}
+    for s in sorted(above, key=int):
+        above[s] = above[s].union(*[above[p] for p in above[s] if p != s])
+    pairs = [(str(rng.randrange(300)), str(rng.randrange(300))) for _ in range(900)] + [("unknown", "5"), ("unknown", "unknown"), ("5", "nothing"), ("5", "5")]
+    places, joints = ancestry.lines(commits)
+    got = ancestry.leads_to(spark.createDataFrame(pairs, "descendant string, ancestor string"), places, joints).collect()
+    assert {(r.descendant, r.ancestor): r.leads for r in got} == {(d, a): d == a or a in above.get(d, ()) for d, a in pairs} and len(got) == len(set(pairs))
+    assert places.count() == 300 and places.agg({"place": "max"}).first()[0] > 5
+    none = spark.createDataFrame([], commits.schema)
+    assert [r.leads for r in ancestry.leads_to(spark.createDataFrame([("a", "b")], "descendant string, ancestor string"), *ancestry.lines(none)).collect()] == [False]
+
+
+def test_long_lines_are_looked_up_by_segments(spark, monkeypatch):
+    from tracewell.operators import ancestry
+
+    monkeypatch.setattr(ancestry, "SEGMENT", 4)
+    rows = [(f"m{k}", [f"m{k - 1}"] + ([f"s{k // 10}"] if k % 10 == 9 else []) if k else [], 2000 - 2 * k) for k in range(100)] + [(f"s{k}", [f"m{10 * k + 2}"], 2000 - 2 * (10 * k + 2) - 1) for k in range(10)]
+    index = ancestry.lines(spark.createDataFrame(rows, "sha string, parents array<string>, at long"))
+    pairs = [("m99", "s0"), ("m99", "s9"), ("m8", "s0"), ("m9", "s0"), ("s5", "s4"), ("s5", "s5"), ("s4", "s5"), ("m95", "m94"), ("m94", "m95")]
+    got = {(r.descendant, r.ancestor): r.leads for r in ancestry.leads_to(spark.createDataFrame(pairs, "descendant string, ancestor string"), *index).collect()}
+    assert [got[p] for p in pairs] == [True, True, False, True, True, True, False, True, False]
+
+
+# -- maps made anew
+
+
+def test_a_rebuilt_map_equals_a_replay(spark):
+    from tracewell.operators import rebuild
+
+    rng = random.Random(6)
+    ids = [f"{k:032x}" for k in range(12)]
+    claimed = {f"{k:040x}": rng.choice(ids) for k in range(60)}
+    pairs, made = [], list(claimed)
+    for k in range(100, 160):
+        pairs += [(o, f"{k:040x}") for o in rng.sample(made + ["lost1", "lost2"], rng.choice([1, 1, 2, 3]))]
+        made.append(f"{k:040x}")
+    pairs.insert(30, ("lost3", "lost4"))
+    commits = spark.createDataFrame([(s, f"m\n\nChange-Id: I{c}", 1000 - k) for k, (s, c) in enumerate(claimed.items())], "sha string, message string, walk_pos long")
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)] + [(3, *pairs[3])], rebuild.REWRITES)
+    got = {r.change_id: r for r in rebuild.rebuilt(commits, "now", rewrites=rows).collect()}
+    start = {}
+    for s, c in claimed.items():
+        start.setdefault(c, []).append(s)
+    replayed, _ = identity.rewrite_in_order([{"change_id": c, "head": h[-1], "history": h, "folded_into": None, "absorbed": []} for c, h in start.items()], pairs, "now")
+    want = {r["change_id"]: r for r in replayed}
+    assert set(got) == set(start) and len(want) > 8
+    for c, r in got.items():
+        w = want.get(c, {"head": start[c][-1], "history": start[c], "folded_into": None, "absorbed": []})
+        assert (r.head, r.history, r.folded_into, r.absorbed) == (w["head"], w["history"], w["folded_into"], w["absorbed"]) and r.trailer_seen
+
+
+def test_what_a_rebuilt_map_is_made_of(spark):
+    from tracewell.operators import rebuild
+
+    a, b, c = (x * 32 for x in "abc")
+    commits = spark.createDataFrame([("s1", f"x\n\nChange-Id: I{a}", 2), ("s2", f"y\n\nChange-Id: I{a}", 1), ("s3", "plain", 0)], "sha string, message string, walk_pos long")
+    notes = spark.createDataFrame([("s1", b), ("s3", b), ("gone", c), (None, c), ("n", None)], "sha string, change_id string")
+    folds = spark.createDataFrame([(c, b), (b, None), (a, a)], "change_id string, folded_into string")
+    m = {r.change_id: r for r in rebuild.rebuilt(commits, "t", notes, folds=folds).collect()}
+    assert (m[a].head, m[a].history, m[a].trailer_seen, m[a].origin, m[a].folded_into) == ("s2", ["s1", "s2"], True, "trailer-recovery", None)
+    assert (m[b].history, m[b].origin, m[b].absorbed, m[b].trailer_seen) == (["s3"], "rebuild-map", [c], False) and (m[c].history, m[c].folded_into, m[c].updated_at) == (["gone"], b, "t")
+    assert rebuild.rebuilt(commits.limit(0), "t").count() == 0 and set(schemas.split_valid(spark.createDataFrame([(ID, SHA, [SHA], k, None, "2024-01-01T00:00:00Z") for k in schemas.ORIGINS], "change_id string, head string, history array<string>, origin string, folded_into string, updated_at string"), schemas.change_map_reasons())[0].toPandas().origin) == {"post-commit", "post-rewrite", "trailer-recovery", "inferred", "orphan-recovery", "rebuild-map"}
+
+
+def test_entries_by_their_enumerations(spark):
+    def rows(*of):
+        base = {"note_commit": "n", "change_id": ID, "revision": SHA, "created_at": "2024-01-01T00:00:00Z", "author": {"type": "agent"}, "scope": [], "summary": "s", "provenance": "inferred"}
+        return spark.createDataFrame([{**base, "reasoning": {"scope_risk": risk, "reversibility": back}} for risk, back in of], schemas.LEDGER_ENTRIES)
+
+    good, bad = schemas.split_valid(rows(("low", "easy"), ("medium", "moderate"), ("high", "hard"), (None, None)), schemas.entry_reasons())
+    assert good.count() == 4 and bad.count() == 0
+    _, bad = schemas.split_valid(rows(("local", "hard"), ("low", "trivial"), ("Low", "easy")), schemas.entry_reasons())
+    assert sorted(r.reasons for r in bad.collect()) == [["reasoning.reversibility"], ["reasoning.scope_risk"], ["reasoning.scope_risk"]]
