@@ -606,3 +606,24 @@ def test_entries_by_their_enumerations(spark):
     assert good.count() == 4 and bad.count() == 0
     _, bad = schemas.split_valid(rows(("local", "hard"), ("low", "trivial"), ("Low", "easy")), schemas.entry_reasons())
     assert sorted(r.reasons for r in bad.collect()) == [["reasoning.reversibility"], ["reasoning.scope_risk"], ["reasoning.scope_risk"]]
+
+
+def test_merging_whole_maps(spark):
+    def row(c, head, history, updated="t1", **more):
+        d = {"change_id": c, "head": head, "history": history, "trailer_seen": False, "origin": "post-commit", "folded_into": None, "absorbed": [], "divergent_heads": [], "updated_at": updated, "tree_pos": 1} | more
+        return tuple(d[k.split()[0]] for k in schemas.CHANGE_MAP.split(", "))
+
+    local = [row("amended", "a", ["a"]), row("here", "x", ["x"], folded_into="y"), row("fold-here", "f", ["f"], "t3", folded_into="h"), row("both", "b", ["b"], "t1", folded_into="p"), row("apart", "1", ["0", "1"]), row("down", "d1", ["d1"]), row("each", "e1", ["e2", "e1"], "t1"), row("mine", "m2", ["m1", "m2"], absorbed=["z"])]
+    remote = [row("amended", "b", ["a", "b"], "t2", origin="post-rewrite", trailer_seen=True), row("there", "w", ["w"]), row("fold-here", "f", ["f"], "t2", absorbed=["q"]), row("both", "b", ["b"], "t2", folded_into="o"), row("apart", "2", ["0", "2"], origin="inferred"), row("down", "d2", ["d2"]), row("each", "e2", ["e1", "e2"], "t2"), row("mine", "m1", ["m1"], absorbed=["k"])]
+    a, b = (spark.createDataFrame(r, schemas.CHANGE_MAP) for r in (local, remote))
+    known = spark.createDataFrame([("d2", "d1")], "head string, ancestor string")
+    for x, y, first, other in ((a, b, "1", "2"), (b, a, "2", "1")):  # a fold or an amend on either side
+        merged = sets.merge_whole_maps(x, y, known)
+        m = {r.change_id: r for r in merged.collect()}
+        assert merged.columns == a.columns and (m["amended"].head, m["amended"].history, m["amended"].origin, m["amended"].updated_at, m["amended"].trailer_seen, m["amended"].divergent_heads) == ("b", ["a", "b"], "post-rewrite", "t2", True, [])
+        assert m["here"].folded_into == "y" and m["there"].head == "w" and m["fold-here"].folded_into == "h" and m["fold-here"].absorbed == ["q"] and m["both"].folded_into == "o"
+        assert (m["apart"].head, set(m["apart"].history), m["apart"].history[-1], m["apart"].divergent_heads) == (first, {"0", "1", "2"}, first, ["1", "2"])
+        assert m["down"].head == "d2" and m["each"].head == "e2" and m["mine"].head == "m2" and set(m["mine"].absorbed) == {"z", "k"}
+        assert [r.change_id for r in sets.new_divergence(merged, x).collect()] == ["apart"]
+    again = sets.merge_whole_maps(merged, merged)
+    assert again.exceptAll(merged).count() == 0 == merged.exceptAll(again).count()

@@ -4,11 +4,14 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.__main__ import main
 from tracewell.operators.index import FingerprintError
 from tracewell.operators.retrieval import bm25
+from tracewell.plans import sync as syncing
 from tracewell.plans.workspace import STATE, TargetError, Workspace
+from tracewell.sources.git import push_status
 
 A, B = "a" * 32, "b" * 32
 
@@ -162,9 +165,9 @@ def test_detaching_and_inferring(spark, tmp_path):
 def test_export_doctor_and_sync(work, spark, place, tmp_path):
     records = [json.loads(r.record) for r in work.export().collect()]
     assert [r["metadata"]["ledger"]["change_id"] for r in records] == [A, B] and records[0]["files"][0]["conversations"][0]["ranges"][0]["end_line"] == 2
-    assert {(r.name, r.message) for r in work.doctor().collect()} == {("unreadable notes", "1")} | {(f"index {r.problem}", r.detail) for r in work.verify_index().collect()}
+    assert {(r.name, r.message) for r in work.doctor().collect()} == {("unreadable notes", "1"), ("trailer-recovery", f"2 change(s): {A}, {B}")} | {(f"index {r.problem}", r.detail) for r in work.verify_index().collect()}
     other = Workspace(spark, str(place[0]), f"file://{tmp_path}/other")
-    assert other.sync(work).count() == 1 and {r.change_id for r in other.change_map().collect()} == {A, B}
+    assert {(r.kind, r.action) for r in other.sync(work).collect()} == {("sessions", "up-to-date"), ("notes", "up-to-date"), ("change-map", "adopted")} and {r.change_id for r in other.change_map().collect()} == {A, B}
 
 
 def test_commands(work, place, capsys):
@@ -172,3 +175,95 @@ def test_commands(work, place, capsys):
     assert main([*base, "log"]) == 0 and "Config by hand" in capsys.readouterr().out
     assert main([*base, "report"]) == 0 and "| " in capsys.readouterr().out
     assert main([*base, "show", "c/ffff"]) == 1 and main([*base, "blame", "session.py:1"]) == 0
+
+
+@pytest.fixture
+def pair(spark, tmp_path):
+    """Two clones with a workspace each, and git in them."""
+    def run(d, *args):
+        return subprocess.run(["git", "-C", d, "-c", "user.name=Ann", "-c", "user.email=a@x", *args], check=True, capture_output=True, text=True).stdout.strip()
+
+    one, two = tmp_path / "one", tmp_path / "two"
+    one.mkdir()
+    run(one, "init", "-q", "-b", "main")
+    for k, c in enumerate((A, B, "c" * 32)):
+        (one / f"f{k}").write_text(str(k))
+        run(one, "add", ".")
+        run(one, "commit", "-qm", f"commit {k}\n\nChange-Id: I{c}")
+    run(tmp_path, "clone", "-q", str(one), str(two))
+    for d in (one, two):
+        run(d, "config", "user.name", "Ann")
+        run(d, "config", "user.email", "a@x")
+    return *(Workspace(spark, str(d), f"file://{d}-store") for d in (one, two)), run
+
+
+def test_sync_keeps_folds_amends_and_notes_of_either_side(pair):
+    one, two, run = pair
+    one.adopt()
+    shas = run(one.repo, "log", "--format=%H").split()
+    said = lambda df: {(r.phase, r.kind): r.action for r in df.collect()}
+    assert said(two.sync(one)) == {("fetch", "sessions"): "up-to-date", ("fetch", "notes"): "up-to-date", ("fetch", "change-map"): "adopted"}
+    # an amend and a note there, a fold and another note here
+    run(two.repo, "commit", "-q", "--amend", "-m", f"better\n\nChange-Id: I{'c' * 32}")
+    new = run(two.repo, "rev-parse", "HEAD")
+    two.relink("c" * 32, new)
+    two.annotate(shas[2], {"author": {"type": "human"}, "summary": "there"})
+    one.annotate(shas[2], {"author": {"type": "human"}, "summary": "here"})
+    m = one.change_map().withColumn("folded_into", F.when(F.col("change_id") == B, A))
+    one.map_table.write(m, one.map_table.version())
+    before = one.map_table.version()
+    assert said(one.sync(two, dry=True)) == {("fetch", "sessions"): "up-to-date", ("fetch", "notes"): "would-fetch", ("fetch", "change-map"): "would-fetch"} and one.map_table.version() == before
+    result = one.sync(two)
+    assert said(result) == {("fetch", "sessions"): "up-to-date", ("fetch", "notes"): "merged", ("fetch", "change-map"): "merged"} and syncing.clean(result)
+    rows = {r.change_id: r for r in one.change_map().collect()}
+    assert rows[B].folded_into == A and rows["c" * 32].head == new and rows["c" * 32].history == [shas[0], new] and not rows["c" * 32].divergent_heads
+    assert {r.summary for r in one.notes()[0].collect()} == {"here", "there"}
+    # nothing is pushed without a word, and what would be is told
+    with pytest.raises(syncing.Unconfirmed, match="2 entries on 1 commit"):
+        one.sync(two, fetch=False, push=True)
+    asked = []
+    assert set(said(one.sync(two, fetch=False, push=True, confirm=lambda text: asked.append(text))).values()) == {"skipped"} and "3 changes" in asked[0]
+    assert two.notes()[0].count() == 1
+    assert said(one.sync(two, fetch=False, push=True, yes=True)) == {("push", "sessions"): "up-to-date", ("push", "notes"): "pushed", ("push", "change-map"): "pushed"}
+    assert {r.summary for r in two.notes()[0].collect()} == {"here", "there"} and {r.change_id: r.folded_into for r in two.change_map().collect()}[B] == A
+    assert set(said(one.sync(two, push=True, yes=True)).values()) == {"up-to-date"}
+
+
+def test_heads_that_diverge_are_told_and_not_pushed(pair):
+    one, two, run = pair
+    one.adopt()
+    two.sync(one)
+    for w, text in ((one, "mine"), (two, "theirs")):
+        run(w.repo, "commit", "-q", "--amend", "-m", f"{text}\n\nChange-Id: I{'c' * 32}")
+        w.relink("c" * 32, run(w.repo, "rev-parse", "HEAD"))
+    heads = [run(w.repo, "rev-parse", "HEAD") for w in (one, two)]
+    result = one.sync(two)
+    row = {r.change_id: r for r in one.change_map().collect()}["c" * 32]
+    assert not syncing.clean(result) and row.head == heads[0] and row.divergent_heads == sorted(heads) and {r.name for r in one.doctor().collect()} >= {"divergent"}
+    assert syncing.descends(one, two, one.spark.createDataFrame([(heads[0], run(one.repo, "rev-parse", "HEAD~1")), (heads[1], run(two.repo, "rev-parse", "HEAD~2")), tuple(heads)], "descendant string, ancestor string")).count() == 2
+
+
+def test_a_lost_map_is_rebuilt(pair):
+    one, _, run = pair
+    shas = run(one.repo, "log", "--format=%H").split()
+    one.adopt()
+    had = {(r.change_id, r.head) for r in one.change_map().collect()}
+    one.map_table.write(one.change_map().limit(0), one.map_table.version())
+    assert {(r.change_id, r.head) for r in one.rebuild_map().collect()} == had and {r.sha: r.rule for r in one.adopt().collect()} == dict.fromkeys(shas, "R1")
+
+
+def test_tags_keep_heads_alive_and_other_refs_do_not(pair):
+    one, _, run = pair
+    one.adopt()
+    gone = run(one.repo, "rev-parse", "HEAD")
+    run(one.repo, "reset", "-q", "--hard", "HEAD~1")
+    run(one.repo, "update-ref", "refs/other/kept", gone)
+    assert "unreachable" in {r.name for r in one.doctor().collect()}
+    run(one.repo, "tag", "-a", "v1", "-m", "kept", gone)
+    assert "unreachable" not in {r.name for r in one.doctor().collect()}
+
+
+@pytest.mark.parametrize("line, want", [("=\trefs/notes/intent:refs/notes/intent\t[up to date]", "up-to-date"), ("!\tr:r\t[rejected] (fetch first)", "rejected"), ("*\tr:r\t[new reference]", "pushed"), ("To /tmp/x", None), ("Done", None), ("", None)])
+def test_lines_of_a_push(line, want):
+    got = push_status(line)
+    assert (got[1] if got else None) == want

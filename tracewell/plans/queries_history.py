@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import ancestry, rebuild
+from ..operators import ancestry, rebuild, touches
 from .catalogue import Tables, query
 from .queries_ledger import _COMMITS, commits
 
@@ -50,3 +50,18 @@ def rebuild_map(x: Tables) -> DataFrame:
     r = x.lineitem.where((F.col("l_linenumber") <= 2) & (F.col("l_returnflag") != "R")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_orderkey").cast("string").alias("old_sha"), (F.col("l_orderkey") + 1 + F.col("l_partkey") % 40).cast("string").alias("new_sha"))
     m = rebuild.rebuilt(o, "2024-01-01T00:00:00Z", notes, r)
     return m.select("change_id", F.array_join("history", ",").alias("history"), "trailer_seen", "origin", "folded_into", F.size("absorbed").cast("long").alias("n_absorbed"))
+
+
+@query("""WITH e AS (SELECT o_orderkey AS change_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderkey % 5 <> 0 AS live FROM orders),
+r AS (SELECT DISTINCT e.*, CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_partkey % 300 END AS path FROM e JOIN lineitem ON l_orderkey = change_id),
+n AS (SELECT *, sum(live::INT) OVER (PARTITION BY path) - sum(live::INT) OVER (PARTITION BY path ORDER BY created_at RANGE UNBOUNDED PRECEDING) AS n_later FROM r),
+t AS (SELECT path, created_at, change_id, row_number() OVER (PARTITION BY path ORDER BY created_at, change_id) AS k FROM r WHERE live),
+f AS (SELECT n.change_id, n.path, string_agg(t.created_at || ' ' || t.change_id, ',' ORDER BY t.k) AS later FROM n JOIN t ON t.path = n.path AND t.k > (SELECT sum(live::INT) FROM r q WHERE q.path = n.path) - n.n_later AND t.k <= (SELECT sum(live::INT) FROM r q WHERE q.path = n.path) - n.n_later + 3 GROUP BY ALL)
+SELECT n.change_id, n.path, n.n_later::BIGINT AS n_later, coalesce(f.later, '') AS later, greatest(n.n_later - 3, 0)::BIGINT AS more FROM n LEFT JOIN f ON f.change_id = n.change_id AND f.path = n.path""")
+def later_touches_all(x: Tables) -> DataFrame:
+    """Orders as changes, a third of all parts as one path; every fifth change is folded."""
+    path = F.when(F.col("l_partkey") % 3 == 0, 0).otherwise(F.col("l_partkey") % 300)
+    o = x.orders.join(x.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(path).alias("paths")), "o_orderkey")
+    e = o.select(F.col("o_orderkey").alias("change_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.lit("").alias("summary"), F.when(F.col("o_orderkey") % 5 == 0, 1).alias("folded_into"), "paths")
+    told = F.transform("later", lambda t: F.concat(t["created_at"], F.lit(" "), t["change_id"].cast("string")))
+    return touches.later_touches(e, 3).select("change_id", "path", "n_later", F.array_join(told, ",").alias("later"), F.col("more").cast("long").alias("more"))

@@ -7,7 +7,6 @@ tables under a folder of the workspace. Reads write nothing; `adopt`, `annotate`
 from __future__ import annotations
 
 import json
-import subprocess
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +15,16 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import change_id as normal_id
 from ..functions.text import instant_ms
-from ..operators import audit, details, embedding, identity, index, ledger, sets
+from ..operators import audit, details, embedding, identity, index, ledger, rebuild
 from ..operators.chunking import CHUNK_SCHEMA, INDEX_CHARS, chunk_files
 from ..operators.keyword import KeywordIndex
 from ..operators.retrieval import position_boost
 from ..sources import git
 from ..sources.versioned import VersionedTable
+from ..workspace import cut
 from . import ask as asking
 from . import export, report
+from . import sync as syncing
 
 ENTRY = f"change_id string, revision string, created_at string, author {schemas.AUTHOR}, scope array<struct<path:string,range:array<int>,blob:string>>, summary string, reasoning {schemas.REASONING}, session_ref string, session_refs array<string>, provenance string, folded_into string, redaction_note string"
 INDEX = CHUNK_SCHEMA + ", change_id string, session_ref string, embedding array<double>"
@@ -203,19 +204,23 @@ class Workspace:
         return r
 
     def detach(self, sha: str) -> str:
-        """Takes a commit from its change; its note, if it has one, gets a change of its own. Returns that change."""
-        v = self.map_table.version()
-        self.map_table.write(identity.detach(self.change_map(), sha, now()), v)
-        own = self.spark.range(1).select(identity.minted()).first()[0]
+        """Takes a commit from its change; its note, if it has one, gets a change of its own. Returns that change.
+
+        The map is written once, with the commit gone from the one change and in the other; then the note. If a run breaks off between the two, the
+        next one finds the commit alone in its change and only mends the note.
+        """
+        v, m = self.map_table.version(), self.change_map()
+        done = m.where((F.col("head") == sha) & (F.size("history") == 1) & (F.col("origin") == "orphan-recovery")).select("change_id").head(1)
+        if done:
+            own = done[0].change_id
+        else:
+            own = self.spark.range(1).select(identity.minted()).first()[0]
+            row = self.spark.createDataFrame([(own, sha, [sha], False, "orphan-recovery", None, [], [], now(), 0)], schemas.CHANGE_MAP)
+            self.map_table.write(identity.detach(m, sha, now()).unionByName(row.select(*m.columns)), v)
         rows = [r.entry for r in ledger.parse_notes(self.git("notes"))[0].where(F.col("sha") == sha).orderBy("position").collect()]  # one note's entries
         if rows:
             lines = [json.dumps({"entry": {**json.loads(x), "change_id": own}, "schema": ledger.LINE_SCHEMA}, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in rows]
-            done = subprocess.run(["git", "-C", self.repo, "notes", "--ref=intent", "add", "-f", "-m", "\n".join(lines), sha], capture_output=True)
-            if done.returncode:
-                raise git.GitError(done.stderr.decode())
-        m = self.change_map()
-        row = self.spark.createDataFrame([(own, sha, [sha], False, "orphan-recovery", None, [], [], now(), 0)], schemas.CHANGE_MAP)
-        self.map_table.write(m.unionByName(row.select(*m.columns)), self.map_table.version())
+            git.git(self.repo, "notes", "--ref=intent", "add", "-f", "-m", "\n".join(lines), sha)
         return own
 
     def annotate(self, target: str, entry: dict) -> str:
@@ -229,9 +234,7 @@ class Workspace:
             raise TargetError("the entry is of another change")
         full = {"created_at": now(), "scope": [], "provenance": "human-authored", **entry, "change_id": own, "revision": sha}
         line = json.dumps({"entry": full, "schema": ledger.LINE_SCHEMA}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        done = subprocess.run(["git", "-C", self.repo, "notes", "--ref=intent", "append", "-m", line, sha], capture_output=True)
-        if done.returncode:
-            raise git.GitError(done.stderr.decode())
+        git.git(self.repo, "notes", "--ref=intent", "append", "-m", line, sha)
         return own
 
     def relink(self, change: str, sha: str) -> None:
@@ -262,10 +265,11 @@ class Workspace:
         kept = old.select("key", F.col("text").alias("was"), F.col("embedding").alias("had"))
         rows = rows.drop("reused").join(kept, "key", "left").withColumn("reused", F.col("was").eqNullSafe(F.col("text")) & F.lit(not full))
         rows = rows.withColumn("embedding", F.when(F.col("reused"), F.col("had")).otherwise(embedding.bag_of_words(F.col("text"), DIM))).drop("was", "had")
-        self.index_table.write(rows, self.index_table.version())
-        new = self.index_table.read()
+        # postings go first: if a run breaks off, the next one finds the old index and makes the same changes again
+        new, v = cut(rows), self.index_table.version()
         changed, gone = new.where(~F.col("reused")).select("key", "text"), old.select("key").join(new.select("key"), "key", "left_anti")
         self.keywords.update(changed, gone) if base else self.keywords.build(new.select("key", "text"))
+        self.index_table.write(new, v)
         mode = "full" if full else "incremental" if base else "initial"
         self.state_table.write(self.spark.createDataFrame([(STATE_SCHEMA, mode, head, FINGERPRINT, new.count(), now())], STATE), self.state_table.version())
         return index.run_counts(new)
@@ -282,11 +286,14 @@ class Workspace:
         e = self.notes()[0].where(F.col("session_ref").isNotNull())
         return e.select("session_ref", "change_id", instant_ms(F.col("created_at")).alias("change_pos"), F.col("position").alias("entry_pos"))
 
-    def sync(self, other: Workspace) -> DataFrame:
-        """Takes in another workspace's sessions and change map; one row of outcome each."""
-        rows, outcome = sets.merge_addressed(self.sessions(), other.sessions(), "session_ref")
-        self.session_table.write(rows, self.session_table.version())
-        m = sets.merge_change_maps(self.change_map(), other.change_map())
-        both = self.change_map().unionByName(other.change_map(), allowMissingColumns=True).dropDuplicates(["change_id"]).drop("head", "history", "trailer_seen", "divergent_heads")
-        self.map_table.write(m.join(both, "change_id"), self.map_table.version())
-        return outcome
+    def sync(self, other: Workspace, **how) -> DataFrame:
+        """Takes in another workspace's sessions, notes and change map, and gives it ours if asked to: see plans.sync."""
+        return syncing.sync(self, other, **how)
+
+    def rebuild_map(self, rewrites: DataFrame | None = None) -> DataFrame:
+        """Makes the change map anew from trailers, notes and (if they are kept) rewrites, in place of what is stored; returns it."""
+        v = self.map_table.version()
+        e = self.notes()[0]
+        folds = e.where(F.col("folded_into").isNotNull()).select("change_id", "folded_into")
+        self.map_table.write(rebuild.rebuilt(self.commits(rev="--all").select("sha", "message", "walk_pos"), now(), e.select("sha", "change_id"), rewrites, folds), v)
+        return self.change_map()

@@ -31,12 +31,27 @@ class GitError(RuntimeError):
     pass
 
 
-def git(repo: str, *args: str, data: bytes | None = None, allow: bool = False) -> bytes:
-    """A git command's output. allow: what fails gives nothing instead of an error."""
-    done = subprocess.run(["git", "-c", "core.quotepath=off", "-C", repo, *args], input=data, capture_output=True)
+def _run(repo: str, *args: str, data: bytes | None = None) -> subprocess.CompletedProcess:
+    return subprocess.run(["git", "-c", "core.quotepath=off", "-C", repo, *args], input=data, capture_output=True)
+
+
+def git(repo: str, *args: str, data: bytes | None = None, allow: bool = False, output: bool = False) -> bytes:
+    """A git command's output. allow: what fails gives nothing instead of an error; output: or what it said before it failed."""
+    done = _run(repo, *args, data=data)
     if done.returncode and not allow:
         raise GitError(done.stderr.decode(errors="replace").strip() or f"git {args[0]} failed")
-    return b"" if done.returncode else done.stdout
+    return b"" if done.returncode and not output else done.stdout
+
+
+def succeeds(repo: str, *args: str) -> bool:
+    return not _run(repo, *args).returncode
+
+
+def push_status(line: str) -> tuple[str, str, str] | None:
+    """(ref, action, detail) of a line of `git push --porcelain`; None for a line about no ref."""
+    flag, *rest = line.split("\t")
+    action = {"=": "up-to-date", "!": "rejected", " ": "pushed", "+": "pushed", "*": "pushed", "-": "pushed"}.get(flag)
+    return (rest[0].partition(":")[0].removeprefix("+"), action, " ".join(rest[1:])) if action and rest else None
 
 
 def many_objects(repo: str, names: list[str]) -> Iterator[bytes | None]:
@@ -64,6 +79,7 @@ def _commits(repo: str, o: dict) -> Iterator[tuple]:
         return  # no commit yet
     args = ["log", f"--format=%H{_UNIT}%h{_UNIT}%an{_UNIT}%ae{_UNIT}%aI{_UNIT}%s{_UNIT}%B{_UNIT}%P{_RECORD}"]
     args += [f"--{k}={o[k]}" for k in ("since", "until") if k in o] + (["-n", o["limit"]] if "limit" in o else [])
+    args += ["--topo-order"] if o.get("order") == "topo" else []
     args += ["--all"] if rev == "--all" else ["--end-of-options", rev]
     for k, record in enumerate(_text(git(repo, *args, *(["--", o["file"]] if "file" in o else ["--"]))).split(_RECORD)[:-1]):
         f = record.lstrip("\n").split(_UNIT)
