@@ -294,6 +294,8 @@ HELD_OUT = [
     (65, 0.0, 6, 0.0, 35, 0.0, 0, 0, 1), (35, 0.1, 50, 0.0, 3, 1.0, 0, 0, 1), (7, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1), (5, 0.0, 2, 1.0, 85, 0.0, 0, 0, 1),
     (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (5, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0), (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0), (25, 0.8, 3, 1.0, 30, 0.9, 0, 0, 0),
 ]
+#: The same as blocks by no paragraph of their element, and some by one.
+HELD_OUT = [(*r[:-1], 0, r[-1]) for r in HELD_OUT] + [(5, 0.0, 80, 0.0, 0, 0.0, 0, 0, 1, 1), (15, 0.1, 30, 0.0, 3, 1.0, 0, 0, 1, 1), (4, 1.0, 5, 1.0, 6, 0.9, 0, 0, 1, 0), (9, 0.0, 33, 0.0, 21, 0.0, 1, 0, 1, 1), (22, 0.0, 18, 0.0, 9, 0.0, 0, 2, 1, 0)]
 
 
 def used(tree):
@@ -306,7 +308,7 @@ def test_the_tree_on_blocks_it_has_not_seen():
     assert {"words", "links", "marked", "article"} <= used(tree) and used(tree) & {"links_before", "links_after"} and used(tree) & {"words_before", "words_after"}
     # by chance a tree that forgets the neighbours, or the words and links, does worse on the table
     for drop in ((2, 3, 4, 5), (0, 1)):
-        keep = [k for k in range(8) if k not in drop]
+        keep = [k for k in range(len(html_text.FEATURES)) if k not in drop]
         x, y = html_text.LABELLED[:, keep], html_text.LABELLED[:, -1]
         less = html_text.grow(x, y)
         assert np.mean([html_text.says(less, r) == bool(v) for r, v in zip(x, y, strict=True)]) < 1
@@ -337,6 +339,32 @@ def test_words_and_links_decide(page, want):
     assert html_text.main_text(page, html_text.trained_tree()) == want
 
 
+FRAME = "<header><h1>Site</h1></header><nav>" + LINKS + '</nav>{}<div class="cookie-notice"><p>We use cookies for many things here.</p></div><div id="comments"><p>' + paragraph(40, "me") + "</p></div><footer>(c) X</footer>"
+ARTICLE = f"<h1>Title of it</h1><p>{paragraph(60)}</p><p>{paragraph(70, 'x')}</p><p>It ended there.</p>"
+WANTED = f"Title of it {paragraph(60)} {paragraph(70, 'x')} It ended there."
+
+
+@pytest.mark.parametrize("name", ["content", "ad-free content", "content modal-open", "promo-page", "page sidebar-left", "layout with-sidebar", "no-sidebar main-col", "comment-free", "site has-footer no-comments", "page-with-newsletter"])
+@pytest.mark.parametrize("frame, inner", [("{}", ""), (FRAME, ""), ("<div class='layout-with-sidebar'>" + FRAME + "</div>", ""), ("{}", f'<div class="promo-box-1">{paragraph(20, "buy")}</div>'), (FRAME, f'<div class="ad slot-3">{paragraph(20, "buy")}</div><div class="comments-area">{paragraph(90, "me")}</div>')])
+def test_wrappers_are_not_parts(name, frame, inner):
+    page = frame.format(f'<div class="{name}">{ARTICLE}{inner}</div>')
+    assert html_text.main_text(page, html_text.trained_tree()) == WANTED
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (FRAME.format(f"<div>{ARTICLE}<div style='color:red; display: none'>{paragraph(60, 'no')}</div></div>"), WANTED),
+        (FRAME.format(f"<main><article>{ARTICLE}</article></main>").replace(paragraph(40, "me"), paragraph(2000, "me")), WANTED),
+        (FRAME.format(f"<div>{ARTICLE}</div><div class='sidebar right'><p>{paragraph(50, 'side')}</p></div>"), WANTED),
+        (f"<div class='newsletter-signup'><p>{paragraph(60, 'mail')}</p></div><div class=x>{ARTICLE}</div>", WANTED),
+        (f"<div class='content'>{ARTICLE}</div><div id='comments' class='comments-area'><ol><li><p>{paragraph(300, 'me')}</p></li></ol></div>", WANTED),
+    ],
+)
+def test_parts_stay_parts(page, want):
+    assert html_text.main_text(page, html_text.trained_tree()) == want
+
+
 def test_nesting_takes_linear_time():
     import time
 

@@ -1,10 +1,11 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into blocks at block-level tags. A block's features are its words, the share of them in links, the
-same of the blocks before and after it, whether it stands in an article, and how it is marked: 0 not at all, 1
+same of the blocks before and after it, whether it stands in an article, whether it is a paragraph next to another in one element, and how it is marked: 0 not at all, 1
 by a name that parts with links or few words mostly have, 2 by the name of a part that is never article text (advert,
 notice, comments), 3 by a tag or role of that kind. A decision tree says which blocks are main text. It is
-trained here on `LABELLED`, a small table of blocks labelled by hand. Names alone decide only at mark 2 and above.
+trained here on `LABELLED`, a small table of blocks labelled by hand. Names mark at 2 only what is a part of a page: an element
+whose name has other words too and that has most of the text of what it stands in (`WRAPPER_SHARE`) is a wrapper called after its layout, as with-sidebar or ad-free, and isn't marked.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ PART_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*
 COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
 SOFT_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|aside|rail|widgets?|nav\w*|menus?|breadcrumbs?|topbar|toolbar|header|foot|legal|alert|share|sharing|social|related|recommended|recommendations|trending|reviews?|pagination|pager|search|tags|skip)(?:$|[\s_-])", re.I)
 
+#: Of the free words (in no link, menu, footer or form, nor in a part with no other name) of what a named element stands in, the share from which it is a wrapper; more is asked where readers' comments may be longer than the article.
+WRAPPER_SHARE = {"part and more": 0.75, "comments and more": 0.95}
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|$)", re.S)
 #: Name and value of each attribute from left to right, so that nothing within a value is taken for a name.
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
@@ -43,28 +48,34 @@ class Block(NamedTuple):
     links: float
     article: int
     marked: int
+    paragraph: int
+    named: int
+    sure: bool
 
 
 class _Open(NamedTuple):
-    """An open element, and what holds within it: article, mark, whether an article lifts the mark, and skipped; block tags up to it."""
+    """An open element, and what holds within it: article, mark, whether an article lifts the mark, skipped, the number of the innermost element that may be a wrapper with a part's name (-1: none), and whether one is a part for sure; block tags up to it, and its own number."""
 
     tag: str
     article: int
     marked: int
     liftable: bool
     skipped: bool
+    named: int
+    sure: bool
     blocks: int
+    number: int
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """skipped, comments, part, tagged, soft, article or nothing."""
+    """skipped, comments, part (either "and more", if the name has other words), tagged, soft, article or nothing."""
     if tag in SKIPPED_TAGS:
         return "skipped"
     names = ""
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             value, name = a or b or c, name.lower()
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDING.search(value):
                 return "skipped"
             if name == "role" and value.lower() in ASIDE_ROLES:
                 return "tagged"
@@ -75,44 +86,81 @@ def _kind(tag: str, attributes: str) -> str:
     if tag in ("article", "main"):  # it says what it is, whatever it is called
         return "article"
     if names and tag not in ("html", "body"):
-        return "comments" if COMMENT_NAMES.search(names) else "part" if PART_NAMES.search(names) else "soft" if SOFT_NAMES.search(names) else ""
+        hard = "comments" if COMMENT_NAMES.search(names) else "part" if PART_NAMES.search(names) else ""
+        if hard and not all(COMMENT_NAMES.search(n) or PART_NAMES.search(n) for n in _NAME.findall(names)):
+            return f"{hard} and more"
+        return hard or ("soft" if SOFT_NAMES.search(names) else "")
     return ""
 
 
-_MARKS = {"comments": 2, "part": 2, "tagged": 3, "soft": 1}
+_NAME = re.compile(r"[^\s_-]+")
+_MARKS = {"comments": 2, "part": 2, "comments and more": 2, "part and more": 2, "tagged": 3, "soft": 1}
 
 
-def _opened(tag: str, kind: str, outer: _Open) -> _Open:
+def _opened(tag: str, kind: str, outer: _Open, number: int) -> _Open:
     blocks = outer.blocks + (tag in BLOCK_TAGS)
+    new = outer._replace(tag=tag, blocks=blocks, number=number)
     if kind == "article":
         lifted = outer.liftable or not outer.marked  # an article in an unclosed aside counts; one among comments doesn't
-        return _Open(tag, 1, 0 if lifted else outer.marked, lifted, outer.skipped, blocks)
+        return new._replace(article=1, marked=0 if lifted else outer.marked, liftable=lifted)
     if kind in _MARKS:
-        return _Open(tag, outer.article, max(outer.marked, _MARKS[kind]), kind != "comments" and (outer.liftable or not outer.marked), outer.skipped, blocks)
-    return outer._replace(tag=tag, skipped=outer.skipped or kind == "skipped", blocks=blocks)
+        return new._replace(marked=max(outer.marked, _MARKS[kind]), liftable=not kind.startswith("comments") and (outer.liftable or not outer.marked), sure=outer.sure or kind in ("part", "comments"))
+    return new._replace(skipped=outer.skipped or kind == "skipped")
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, each with its text (references decoded, white space single) and what is said about it above. Time is linear in the page, however deep it nests."""
+    """The blocks of a page in order, each with its text (references decoded, white space single) and what is said about it above. Time is linear in the page, however deep it nests; a page with wrappers of a part's name is read twice."""
+    out, above, kinds = _blocks(page, frozenset())
+    wrappers = _wrappers(out, above, kinds)
+    return _blocks(page, wrappers)[0] if wrappers else out
+
+
+def _wrappers(blocks: list[Block], above: list[int], kinds: list[str]) -> frozenset[int]:
+    """Numbers of the elements with a part's name that have most of the text of what they stand in, and so all the way up to the page. above: the named element that each stands in."""
+    inside = [0.0] * len(above)
+    page = 0.0
+    for b in blocks:
+        free = b.words * (1 - b.links) if b.marked < 3 and not b.sure else 0.0
+        page += free
+        if b.named >= 0:
+            inside[b.named] += free
+    for k in range(len(above) - 1, -1, -1):  # an element has a greater number than what it stands in
+        if above[k] >= 0:
+            inside[above[k]] += inside[k]
+    found: set[int] = set()
+    for k, outer in enumerate(above):
+        whole = page if outer < 0 else inside[outer]
+        if (outer < 0 or outer in found) and whole and inside[k] >= WRAPPER_SHARE[kinds[k]] * whole:
+            found.add(k)
+    return frozenset(found)
+
+
+def _blocks(page: str, wrappers: frozenset[int]) -> tuple[list[Block], list[int], list[str]]:
+    """(blocks, of each element with a part's name the one that it stands in, its kind). wrappers: those whose names say nothing."""
     out: list[Block] = []
-    stack: list[_Open] = [_Open("", 0, 0, True, False, 0)]
+    above: list[int] = []
+    kinds: list[str] = []
+    stack: list[_Open] = [_Open("", 0, 0, True, False, -1, False, 0, 0)]
     places: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
     parts: list[str] = []
-    link_words, links_open = 0, 0
+    link_words, links_open, number, last_parent = 0, 0, 0, -1
 
     def flush() -> None:
-        nonlocal link_words
+        nonlocal link_words, last_parent
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 n = len(text.split())
-                out.append(Block(text, n, min(1.0, link_words / n), stack[-1].article, stack[-1].marked))
+                top, k = stack[-1], places["p"][-1] if places.get("p") else 0
+                parent = stack[k - 1].number if k and top.blocks == stack[k].blocks else -1
+                out.append(Block(text, n, min(1.0, link_words / n), top.article, top.marked, int(parent >= 0 and parent == last_parent), top.named, top.sure))
+                last_parent = parent
             parts.clear()
         link_words = 0
 
     def close(k: int) -> None:
         """Closes all from the k-th open element on. What has another mark than what follows is a block of its own."""
-        if stack[-1][1:5] != stack[k - 1][1:5]:
+        if stack[-1][1:7] != stack[k - 1][1:7]:
             flush()
         while len(stack) > k:
             places[stack.pop().tag].pop()
@@ -151,8 +199,15 @@ def blocks_of(page: str) -> list[Block]:
                 k = places["p"][-1]
                 if stack[-1].blocks == stack[k].blocks:
                     close(k)
-            new = _opened(tag, _kind(tag, m[2]), stack[-1])
-            if new[1:5] != stack[-1][1:5]:
+            number += 1
+            kind, own = _kind(tag, m[2]), stack[-1].named
+            if kind in WRAPPER_SHARE and tag not in ASIDE_TAGS:
+                own = len(above)
+                above.append(stack[-1].named)
+                kinds.append(kind)
+                kind = "" if own in wrappers else kind
+            new = _opened(tag, kind, stack[-1], number)._replace(named=own)
+            if new[1:7] != stack[-1][1:7]:
                 flush()
             places.setdefault(tag, []).append(len(stack))
             stack.append(new)
@@ -166,12 +221,12 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in BLOCK_TAGS or stack[-1].blocks == stack[k].blocks:
                     close(k)
     flush()
-    return out
+    return out, above, kinds
 
 
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "marked"]
-#: Blocks labelled by hand: the features in their order, and 1 for main text.
-LABELLED = np.array(
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "marked", "paragraph"]
+#: Blocks labelled by hand: the features in their order, and 1 for main text; the first ones stand by no paragraph of their element.
+_ALONE = np.array(
     [
         # paragraphs, titles and single words within an article, by menus, adverts and each other
         (45, 0.0, 12, 0.0, 60, 0.0, 1, 0, 1), (80, 0.02, 45, 0.0, 30, 0.0, 1, 0, 1), (1, 0.0, 50, 0.0, 70, 0.0, 1, 0, 1), (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 1),
@@ -199,6 +254,17 @@ LABELLED = np.array(
         (9, 0.0, 55, 0.0, 0, 0.0, 0, 0, 0), (2, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0), (5, 1.0, 70, 0.0, 60, 0.0, 0, 0, 0), (30, 0.7, 50, 0.0, 4, 1.0, 0, 0, 0), (8, 0.4, 4, 1.0, 9, 0.0, 0, 0, 0), (3, 1.0, 50, 0.0, 2, 1.0, 0, 0, 0), (12, 0.0, 80, 0.0, 3, 1.0, 0, 0, 0), (4, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0),
     ]
 )
+_BESIDE = np.array(
+    [
+        # paragraphs after a paragraph of the same element: text, however short, and rows of links
+        (3, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 1), (12, 0.0, 45, 0.1, 0, 0.0, 0, 0, 1, 1), (2, 0.0, 20, 0.0, 3, 1.0, 0, 0, 1, 1), (7, 0.0, 8, 0.0, 4, 0.9, 0, 0, 1, 1), (70, 0.0, 60, 0.0, 5, 0.0, 0, 0, 1, 1), (30, 0.2, 25, 0.0, 2, 1.0, 0, 0, 1, 1),
+        (4, 0.0, 30, 0.0, 0, 0.0, 0, 0, 1, 1), (9, 0.0, 55, 0.0, 0, 0.0, 0, 0, 1, 1), (12, 0.0, 80, 0.0, 3, 1.0, 0, 0, 1, 1), (1, 0.0, 90, 0.0, 12, 0.5, 0, 0, 1, 1),
+        (3, 1.0, 4, 1.0, 5, 1.0, 0, 0, 1, 0), (6, 0.9, 60, 0.0, 3, 1.0, 0, 0, 1, 0), (25, 0.8, 20, 0.9, 18, 1.0, 0, 0, 1, 0), (8, 1.0, 40, 0.0, 0, 0.0, 0, 0, 1, 0),
+        (9, 0.0, 14, 0.0, 0, 0.0, 0, 1, 1, 0), (12, 0.0, 9, 0.0, 11, 0.0, 0, 1, 1, 0), (40, 0.0, 60, 0.0, 30, 0.0, 0, 2, 1, 0), (6, 0.0, 9, 0.0, 0, 0.0, 0, 3, 1, 0), (35, 0.0, 20, 0.0, 0, 0.0, 1, 2, 1, 0), (60, 0.0, 70, 0.0, 50, 0.0, 0, 1, 1, 1),
+        (3, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 1), (25, 0.1, 40, 0.0, 30, 0.0, 1, 0, 1, 1), (4, 1.0, 40, 0.0, 40, 0.0, 1, 0, 1, 1), (5, 1.0, 6, 1.0, 4, 1.0, 1, 0, 1, 0),
+    ]
+)
+LABELLED = np.concatenate([np.insert(_ALONE, len(FEATURES) - 1, 0, axis=1), _BESIDE])
 
 
 def grow(x: np.ndarray, y: np.ndarray, least: int = 1) -> tuple:
@@ -231,11 +297,11 @@ def says(tree: tuple, x: tuple) -> bool:
 
 def main_text(page: str, tree: tuple) -> str:
     blocks = blocks_of(page)
-    frame = Block("", 0, 0.0, 0, 0)
+    frame = Block("", 0, 0.0, 0, 0, 0, -1, False)
     kept = []
     for k, b in enumerate(blocks):
         p, n = blocks[k - 1] if k else frame, blocks[k + 1] if k + 1 < len(blocks) else frame
-        if says(tree, (b.words, b.links, p.words, p.links, n.words, n.links, b.article, b.marked)):
+        if says(tree, (b.words, b.links, p.words, p.links, n.words, n.links, b.article, b.marked, b.paragraph)):
             kept.append(b.text)
     return " ".join(kept)
 
