@@ -1,6 +1,7 @@
 """Later touches, streams of payloads, logs and evictions."""
 
 import json
+import os
 import random
 import time
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import touches
 from tracewell.sources import git_sink, outcomes, payloads
 from tracewell.sources.git import GitSource, git
-from tracewell.streaming import capture
+from tracewell.streaming import capture, newest
 
 
 @pytest.fixture
@@ -191,3 +192,51 @@ def test_notes_are_appended_in_one_commit(spark, repo):
         git_sink.append_notes(spark, repo, lines)
         show = lambda s: git(repo, "notes", "--ref=intent", "show", s).decode().split()
         assert [show(s) for s in shas] == [["old", "n1", "n2"], ["n3"], ["stays"]]
+
+
+# -- the newest sessions
+
+
+def hook(repo, session, at, kind, seq=1):
+    e = {"repo": repo, "session_id": session, "seq": seq, "event": kind, "at": f"2024-01-01T00:00:{at:03}Z", "tool_name": "Bash", "command": "git commit -m x" if kind == "maybe-commit" else None, "plan": f"plan of {session} at {at}" if kind == "plan" else None, "head": f"h{at}", "transcript": ""}
+    return e
+
+
+COLUMNS = "repo string, session_id string, seq long, event string, at string, tool_name string, command string, plan string, head string, transcript string"
+
+
+def test_forgotten_sessions_start_anew():
+    events = [hook("r", f"s{k}", k, "plan") for k in range(4)] + [hook("r", "s0", 5, "maybe-commit"), hook("r", "s3", 6, "maybe-commit"), hook("r", "s9", 7, "other")]
+    left, out = newest.replay({}, events, 3)
+    assert [r["forgotten"] for r in out] == [None, None, None, "s0", "s1", None, None] and set(left) == {"s0", "s2", "s3"}
+    assert "agent.plan" not in out[4]["record"] and "plan of s3" in out[5]["record"] and out[6]["status"] == "skipped"
+
+
+def test_the_stream_forgets_as_the_batch_does(spark, tmp_path):
+    rng = random.Random(20)
+    events = [hook(rng.choice(["r1", "r2"]), f"s{rng.randrange(12)}", k, rng.choice(["plan", "maybe-commit", "other"])) for k in range(120)]
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(0, 120, 40):
+        (source / f"{k:03}.json").write_text("".join(json.dumps(e) + "\n" for e in events[k : k + 40]))
+        os.utime(source / f"{k:03}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    for name, value in newest.STORE.items():
+        spark.conf.set(name, value)
+    try:
+        stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).json(str(source))
+        df = newest.capture_newest(stream, n=4, idle_ms=None)
+        q = df.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(200)
+        assert q.exception() is None and len([p for p in q.recentProgress if p["numInputRows"]]) == 3
+        timed = newest.capture_newest(stream, n=4, idle_ms=5000).select("repo", "session_id", "status").writeStream.format("memory").queryName("timed").trigger(processingTime="500 milliseconds").start()
+        waits(timed, lambda: spark.table("timed").count() == 120)
+        batches = len(timed.recentProgress)
+        (source / "later.json").write_text("".join(json.dumps(hook(r, f"s{k}", 200, "maybe-commit")) + "\n" for r in ("r1", "r2") for k in range(12)))
+        waits(timed, lambda: spark.table("timed").count() == 144 and len(timed.recentProgress) > batches)
+        timed.stop()
+        streamed = {(r.repo, r.session_id, r.seq, r.head): (r.status, r.forgotten, r.record) for r in spark.read.schema(newest.RESULT).parquet(str(tmp_path / "out")).collect()}
+    finally:
+        for name in newest.STORE:
+            spark.conf.unset(name)
+    batch = {(r.repo, r.session_id, r.seq, r.head): (r.status, r.forgotten, r.record) for r in newest.capture_newest(spark.createDataFrame([tuple(e[c.split()[0]] for c in COLUMNS.split(", ")) for e in events], COLUMNS), n=4).collect()}
+    assert streamed == batch and len(batch) == 120 and sum(f is not None for _, f, _ in batch.values()) > 5
