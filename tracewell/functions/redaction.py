@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -22,17 +23,26 @@ def marker(rule: str) -> str:
 # The patterns of the built-in rules, in their order. A word border is between an ASCII word character and anything else, in Python as in Java.
 _W = "[A-Za-z0-9_]"
 _B = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+# Before, or after, a word character a border is where no other one is.
+_FRONT, _END = f"(?<!{_W})", f"(?!{_W})"
 PATTERNS = [
-    ("aws-key", _B + r"(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}" + _B),
-    ("github-token", _B + r"(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})" + _B),
-    ("gitlab-token", _B + r"glpat-[A-Za-z0-9_-]{20,}" + _B),
+    ("aws-key", _FRONT + r"(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}" + _END),
+    ("github-token", _FRONT + r"(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})" + _B),
+    ("gitlab-token", _FRONT + r"glpat-[A-Za-z0-9_-]{20,}" + _B),
     ("private-key-block", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"),
-    ("jwt", _B + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}" + _B),
-    ("connection-string", _B + r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@"'`]+:[^\s@"'`]+@[^\s"'`]+"""),
+    ("jwt", _FRONT + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}" + _B),
+    ("connection-string", _FRONT + r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@"'`]+:[^\s@"'`]+@[^\s"'`]+"""),
 ]
 ASSIGNED = r"""([A-Za-z0-9_.-]*(?:key|token|secret|password|passwd|pwd|credential|bearer|auth)[A-Za-z0-9_.-]*\s*[=:]\s*["']?)([A-Za-z0-9+/=_.-]{16,})(["']?)"""
 
 
+#: What a text must hold, one of them, for a rule to match; looked for before the rule is tried.
+LITERALS = {
+    "aws-key": ["AKIA", "ASIA", "ABIA", "ACCA"], "github-token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"], "gitlab-token": ["glpat-"],
+    "private-key-block": ["PRIVATE KEY"], "jwt": ["eyJ"], "connection-string": ["://"],
+}
+
+
 #: A match can only begin where a run of its first characters does; said so, a search takes linear time in long runs.
 _RUN = r"(?<![A-Za-z0-9_.-])"
 #: What every text holds that the gated rule can touch: each is found in linear time.
@@ -143,7 +153,9 @@ def redact_rows(rows: DataFrame, text: str = "text", name: str = "redacted", ext
 
     def whole(out: DataFrame, rule: str, pattern: str) -> DataFrame:
         counts.append((rule, f"_n{len(counts)}"))
-        return out.withColumns({counts[-1][1]: F.regexp_count("_t", F.lit(pattern)), "_t": F.regexp_replace("_t", pattern, marker(rule))})
+        t = F.col("_t")
+        n = F.when(_may_hold(t, rule), F.regexp_count(t, F.lit(pattern))).otherwise(0)
+        return out.withColumn(counts[-1][1], n).withColumn("_t", F.when(F.col(counts[-1][1]) > 0, F.regexp_replace(t, pattern, marker(rule))).otherwise(t))
 
     for rule, pattern in PATTERNS:
         out = whole(out, rule, pattern)
@@ -157,10 +169,14 @@ def redact_rows(rows: DataFrame, text: str = "text", name: str = "redacted", ext
     return out.select(*rows.columns, found.alias(name))
 
 
+def _may_hold(text: Column, rule: str) -> Column:
+    return reduce(Column.__or__, [text.contains(x) for x in LITERALS[rule]]) if rule in LITERALS else F.lit(True)
+
+
 def redact_native(text: Column) -> Column:
     """The whole-match rules as Spark expressions alone, for columns where the gated rule isn't wanted."""
     for rule, pattern in PATTERNS:
-        text = F.regexp_replace(text, pattern, marker(rule))
+        text = F.element_at(F.transform(F.array(text), lambda t: F.when(_may_hold(t, rule), F.regexp_replace(t, pattern, marker(rule))).otherwise(t)), 1)  # noqa: B023
     return text
 
 

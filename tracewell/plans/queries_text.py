@@ -41,15 +41,39 @@ def redaction_counts(x: Tables) -> DataFrame:
     return red.redact_rows(x.documents.select("doc_id", "text")).select("doc_id", "redacted.rules", "redacted.redacted_count")
 
 
+def _quoted(pattern: str) -> str:
+    """A pattern for DuckDB, whose word borders are ASCII ones."""
+    for border in (red._B, red._FRONT, red._END):
+        pattern = pattern.replace(border, r"\b")
+    return pattern.replace("'", "''")
+
+
 def _keys_sql() -> str:
-    """The whole-match rules one inside the other. Word borders are ASCII ones in DuckDB's expressions."""
+    """The whole-match rules one inside the other."""
     text = "text"
     for rule, pattern in red.PATTERNS:
-        quoted = pattern.replace(red._B, r"\b").replace("'", "''")
-        text = f"regexp_replace({text}, '{quoted}', '{red.marker(rule)}', 'g')"
+        text = f"regexp_replace({text}, '{_quoted(pattern)}', '{red.marker(rule)}', 'g')"
     return f"SELECT doc_id, sha256({text}) AS digest FROM documents"
 
 
+def _key_counts_sql() -> str:
+    """Each whole-match rule's matches in what the rules before it left."""
+    steps, last = [], "documents"
+    for k, (rule, pattern) in enumerate(red.PATTERNS):
+        had = "".join(f"n{j}, " for j in range(k))
+        steps.append(f"t{k} AS (SELECT doc_id, {had}len(regexp_extract_all(text, '{_quoted(pattern)}')) AS n{k}, regexp_replace(text, '{_quoted(pattern)}', '{red.marker(rule)}', 'g') AS text FROM {last})")
+        last = f"t{k}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, " + ", ".join(f"coalesce(n{k}, 0)::BIGINT AS \"{rule}\"" for k, (rule, _) in enumerate(red.PATTERNS)) + f" FROM {last}"
+
+
+@query(_key_counts_sql())
+def redaction_key_counts(x: Tables) -> DataFrame:
+    """What redact_rows() counts, rule by rule; the gated rule, which SQL can't say, comes after these."""
+    fired = F.from_json("redacted.rules", "map<string,bigint>")
+    d = red.redact_rows(x.documents.select("doc_id", "text")).withColumn("fired", fired)
+    return d.select("doc_id", *[F.coalesce(F.try_element_at("fired", F.lit(rule)), F.lit(0)).cast("long").alias(rule) for rule, _ in red.PATTERNS])
+
+
 @query(_keys_sql())
 def redact_keys(x: Tables) -> DataFrame:
     return x.documents.select("doc_id", F.sha2(red.redact_native(F.col("text")), 256).alias("digest"))
