@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retrieval as r
+from ..operators.batches import by_cost
 from ..operators.embedding import bag_of_words, split_by_cache
 from ..operators.index import run_counts
 from ..operators.keyword import KeywordIndex
+from ..operators.vectors import VectorStore
 from ..workspace import shared_dir
 from .catalogue import Tables, query
 
@@ -186,3 +188,26 @@ def index_run_counts(x: Tables) -> DataFrame:
 @query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: '\"' || w || '\"'), ' OR ') AS query FROM documents")
 def keyword_query_text(x: Tables) -> DataFrame:
     return x.documents.select("doc_id", t.keyword_query(F.col("text")).alias("query"))
+
+
+@query(f"WITH {_KNN.format(k=20)} SELECT key, round(distance, 9) AS distance FROM knn")
+def vector_store_topk(x: Tables) -> DataFrame:
+    """The nearest vectors from a stored index by cells."""
+    e = x.embeddings.where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("key"), "embedding")
+    q = e.where(F.col("key") == 0).first()
+    if q is None:
+        return e.select("key", F.lit(0.0).alias("distance"))
+    store = VectorStore(x.spark, f"{shared_dir(x.spark)}/tracewell/vectors-{uuid.uuid4().hex}", len(q.embedding))
+    store.build(e)
+    return store.query(list(q.embedding), 20)[0].select("key", F.round("distance", 9).alias("distance"))
+
+
+_CLASS = "ceil(n / greatest(1, 2 ** (len(bin(n)) - 4)))::BIGINT * greatest(1, 2 ** (len(bin(n)) - 4))::BIGINT"
+
+
+@query(f"""WITH l AS (SELECT doc_id, greatest(len(text), 1) AS n FROM documents), c AS (SELECT doc_id, n, {_CLASS} AS batch_class FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY batch_class ORDER BY n, doc_id) - 1 AS rank, greatest(least(40000000 // (batch_class * batch_class), 16), 1) AS most FROM c)
+SELECT doc_id, batch_class, (rank // most)::BIGINT AS batch, (rank % most)::BIGINT AS place FROM k""")
+def embed_batches(x: Tables) -> DataFrame:
+    d = x.documents.select("doc_id", F.length("text").alias("n"))
+    return by_cost(d, "n", "doc_id").select("doc_id", "batch_class", "batch", F.col("place").cast("long").alias("place"))
