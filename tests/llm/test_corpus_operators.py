@@ -368,6 +368,34 @@ def test_long_words_and_runs_are_restored(restorer):
     assert restorer.joined(run).strip() != run
 
 
+@pytest.mark.parametrize(
+    "written, words",
+    [
+        ("you i\td\ti\to\tt here", ["idiot"]), ("you i\nd\ni\no\nt", ["idiot"]), ("what an a s s you are", ["ass"]), ("you id io t", ["idiot"]), ("i·d·i·o·t!", ["idiot"]), ("i•d•i•o•t", ["idiot"]), ("i / d / i / o / t", ["idiot"]),
+        ("i\u200bd\u200bi\u200bo\u200bt", ["idiot"]), ("id\u00adiot", ["idiot"]), ("\u0456diot", ["idiot"]), ("idi\u043et and m\u03bfr\u03bfn", ["idiot", "moron"]), ("you: m,o,r,o,n", ["moron"]), ("m_o_r_o_n", ["moron"]),
+    ],
+)
+def test_other_gaps_and_letters_are_restored(written, words):
+    text = "you are an idiot and a moron , an ass and a clown with the sea here to stay , it is as of to be or do so " * 50
+    r = toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts([text])))
+    assert set(words) <= set(r.words(written))
+
+
+@pytest.mark.parametrize("clean", ["it is as it is to be so", "a b c", "1 2 3 4 5 6", "1\n2\n3\n", "is it ok to do so", "привет, это слово", "we go to it"])
+def test_clean_text_says_what_it_said(clean):
+    text = "you are an idiot and a moron , it is as it is to be so , is it ok to do so , we go to it , a b c " * 50
+    r = toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts([text])))
+    assert not {"idiot", "moron", "ass"} & set(r.words(clean)) and set(re.findall("[^\\W\\d_]{2,}", clean)) <= set(r.words(clean))
+
+
+def test_labelled_rows_of_one_id_are_one(spark):
+    docs, labels, _ = toxic_tables(spark, 200)
+    more = docs.where("doc_id = 7").crossJoin(spark.range(300)).select(docs.columns)
+    one, many = (toxicity.train(spark, d, labels) for d in (docs, docs.unionByName(more)))
+    # the corpus counts see the copies, the classifier doesn't
+    assert set(one.weights) == set(many.weights) and one.weights
+
+
 @pytest.mark.parametrize("written, words", [("you are a m o r o n", ["a", "moron"]), ("y o u  a r e  a n  i d i o t", ["you", "are", "an", "idiot"]), ("y o u a r e a n i d i o t", ["idiot"]), ("you idio7", ["idiot"])])
 def test_spaced_words_are_cut_where_words_end(spark, written, words):
     text = "you are an idiot and a moron , you are a clown and an idiot with the sea here to stay " * 50

@@ -1,15 +1,15 @@
 """Toxicity by a noisy channel: restore obfuscated words, then score what they say.
 
-Restoring: a word that holds digits or marks among letters or repeats a letter, and a run of letters set
-apart, is read as a lattice; in such a run each gap may be a space. Each written character may stand for some letters (leetspeak), for nothing (a
+Restoring: a word that holds digits or marks among letters, repeats a letter or mixes look-alikes of other scripts with Latin letters, and a run of
+one or two letters at a time set apart by white space or marks of any kind, is read as a lattice; in such a run each gap may be a space. Each written character may stand for some letters (leetspeak, look-alikes), for nothing (a
 mark put in), or be one of several copies (repetition). The Viterbi path through the lattice is the most
-likely text under a character trigram model, whose counts are taken over all documents.
+likely text under a character trigram model, whose counts are taken over all documents. Characters without width are left out first.
 
 Scoring: words and word beginnings of restored texts that go with the label are learned from labelled rows;
 a text's evidence is the sum over its distinct words, made a probability by a logistic curve of one variable.
 
 Corpus counts cover every document. The classifier is fitted on at most `TRAIN_ROWS` labelled rows, the
-first by a hash of their id.
+first by a hash of their id, each with one text.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .common import Scratch, column, in_fold, text_groups
 from .words import hashed_words, shingle_hashes
 
 FOLD, HELD_OUT = 5, 0
-#: Labelled rows for fitting at most; beginnings of words by length; toxic documents that must hold a feature; natural logarithm by which its evidence must beat chance; evidence at which a weight is halved; features at most.
-TRAIN_ROWS, PREFIXES, LEAST_DOCS, MARGIN, SHRINK, MOST_FEATURES = 20_000, (4, 5, 6, 7), 3, 3.0, 40.0, 100_000
+#: Labelled rows for fitting at most; beginnings of words by length; toxic documents that must hold a feature; natural logarithm by which its evidence must beat chance; evidence at which a weight is halved.
+TRAIN_ROWS, PREFIXES, LEAST_DOCS, MARGIN, SHRINK = 20_000, (4, 5, 6, 7), 3, 3.0, 40.0
 #: Share of their distinct words in which two labelled texts agree that count as one.
 ALIKE = 0.8
 CHUNK_CHARS = 1_000_000
@@ -39,11 +39,15 @@ KEPT_WORDS = 200_000
 
 #: What a digit or mark is written for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
-#: Natural logarithms of the channel: a letter for itself, a letter for its sign, a mark put in, a sign of LEET put in, a copy more.
-ITSELF, SIGN, NOTHING, LOST, COPY = -0.05, -1.2, -1.0, -5.0, -0.7
+#: Letters of other scripts that look like a Latin one; characters without width.
+LOOK_ALIKE = dict(zip("аеорсухіѕјһԁɡкмтвнοαειρτυνκ", "aeopcyxisjhdgkmtbhoaeiptuvk", strict=True))
+NO_WIDTH = dict.fromkeys(map(ord, "\u00ad\u034f\u200b\u200c\u200d\u2060\ufeff"))
+#: Natural logarithms of the channel: a look-alike for its letter, a letter for itself, a letter for its sign, a mark put in, a sign of LEET put in, a copy more.
+ALIKE_LETTER, ITSELF, SIGN, NOTHING, LOST, COPY = -0.2, -0.05, -1.2, -1.0, -5.0, -0.7
 #: Natural logarithms of a gap between letters set apart, by 0 for a narrow and 1 for a wide one: within a word, and between words.
 WITHIN, BETWEEN = (-0.2, -3.0), (-1.6, -0.1)
-MARKS = set(".,-_~'`^#%&/\\:;=")
+DOTS = "·•∙‧⋅●・¤°"
+MARKS = set(".,-_~'`^#%&/\\:;=" + DOTS)
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -103,13 +107,15 @@ class Restorer:
     """Restores texts under a character model; keeps what it has restored, up to a bound."""
 
     # each alternative starts only where a run of letters or marks does, so that a search is linear in the word's length
-    ODD = re.compile(r"(?i)(?<![^\W\d_])(?>[^\W\d_]*?[a-zÀ-ɏ])[^\W\d_]*+[\d@$!|+(€£¡*.\-_~^#%&/\\:;=]+[^\W_]|[a-zÀ-ɏ][\d@$!|+(€£¡*]+$|\d[^\s\w]*+[^\W\d_]|(?<![^\s\w])(?>[^\s\w]*?[@$!|€£¡(])[^\s\w]*+[^\W\d_]|([^\W\d_])\1\1")
+    ODD = re.compile(r"(?i)(?<![^\W\d_])(?>[^\W\d_]*?[a-zÀ-ɏ])[^\W\d_]*+[\d@$!|+(€£¡*.\-_~^#%&/\\:;=·•∙‧⋅●・¤°]+[^\W_]|[a-zÀ-ɏ][\d@$!|+(€£¡*]+$|\d[^\s\w]*+[^\W\d_]|(?<![^\s\w])(?>[^\s\w]*?[@$!|€£¡(])[^\s\w]*+[^\W\d_]|([^\W\d_])\1\1")
     EDGE = re.compile(r"([^\w\s])\1{2,}$|^([^\w\s])\2{2,}")
     THRICE = re.compile(r"(.)\1\1")
-    APART = re.compile(r"(?<!\S)(?:[\w@$!|€£¡][ .\-_*]+){3,}[\w@$!|€£¡](?!\S)")
+    # what looks ahead for a piece and a gap keeps the search from trying every word
+    APART = re.compile(r"(?<![^\W_])(?=(?:[^\W_]{1,2}|[@$!|€£¡])(?:[^\w@$!|€£¡]|_))(?:(?:[^\W\d_]{2}|[^\W_]|[@$!|€£¡])(?:[^\w@$!|€£¡]|_)+){2,}(?:[^\W\d_]{2}|[^\W_]|[@$!|€£¡])(?![^\W_])")
+    GAP = re.compile(r"((?:[^\w@$!|€£¡]|_)+)")
 
     def __init__(self, logp: np.ndarray):
-        self.logp, self.kept = logp, {}
+        self.logp, self.kept, self.runs = logp, {}, {}
 
     def _cost(self, a: int, b: int, ch: str) -> tuple[float, int, int]:
         total = 0.0
@@ -119,12 +125,12 @@ class Restorer:
             a, b = b, c
         return total, a, b
 
-    def decode(self, written: str, gaps: list[int] | None = None) -> tuple[str, float]:
-        """The most likely text of a word's lattice and its log probability. Input in lower case, of any length. gaps: for each character but the first how wide the gap before it is; a gap may be a space."""
+    def decode(self, written: str, gaps: list[int | None] | None = None) -> tuple[str, float]:
+        """The most likely text of a word's lattice and its log probability. Input in lower case, of any length. gaps: for each character but the first how wide the gap before it is, if there is one; a gap may be a space."""
         # a state is the last two classes and the letter last read; the best path to each is kept, as (path before, letter)
         states: dict[tuple[int, int, str, bool], tuple[float, tuple | None]] = {(0, 0, "", False): (0.0, None)}
         for k, ch in enumerate(written):
-            if gaps and k:
+            if gaps and k and gaps[k - 1] is not None:
                 width, apart = gaps[k - 1], {}
                 for (a, b, last, used), (score, path) in states.items():
                     apart[a, b, last, used] = score + WITHIN[width], path
@@ -132,7 +138,7 @@ class Restorer:
                     if last and (key not in apart or apart[key][0] < ends):
                         apart[key] = ends, (path, " ")
                 states = apart
-            reads = [(ch, ITSELF)] if ch.isalpha() else [(x, SIGN) for x in LEET.get(ch, "")]
+            reads = [(ch, ITSELF), *((x, ALIKE_LETTER) for x in LOOK_ALIKE.get(ch, ""))] if ch.isalpha() else [(x, SIGN) for x in LEET.get(ch, "")]
             skip = not ch.isalpha() and (ch in MARKS or ch in LEET)
             new: dict[tuple[int, int, str, bool], tuple[float, tuple | None]] = {}
 
@@ -164,6 +170,9 @@ class Restorer:
         return self.kept[w]
 
     def _restored(self, w: str) -> str:
+        if not w.isascii() and not LOOK_ALIKE.keys().isdisjoint(w) and any("a" <= c <= "z" for c in w):
+            core = w.strip(".,;:!?\"'()[]")
+            return self.decode(core)[0] or core
         if w.isalpha() and not self.THRICE.search(w):
             return w
         core = self.EDGE.sub("", w).strip(".,;:!?\"'()[]")
@@ -171,12 +180,34 @@ class Restorer:
 
     def _together(self, m: re.Match) -> str:
         """Letters set apart, as the likeliest words that they make, if these are likelier than words of a letter each. A gap wider than the run's narrowest likely ends a word."""
-        written = re.split(r"([ .\-_*]+)", m[0].strip(" .-_*"))
-        parts, widths = written[::2], [len(g) for g in written[1::2]]
-        least = min(widths, default=0)
-        joined, score = self.decode("".join(parts), [int(w > least) for w in widths])
+        run = m[0]
+        if len(run) > 64:
+            return self._run(run)
+        if run not in self.runs:
+            if len(self.runs) > KEPT_WORDS:
+                self.runs.clear()
+            self.runs[run] = self._run(run)
+        return self.runs[run]
+
+    def _run(self, run: str) -> str:
+        written = self.GAP.split(run)
+        singles = sum(len(p) == 1 for p in written[::2])
+        first, last = 0, len(written)
+        if singles >= 3:  # short words about letters set apart are words
+            while len(written[first]) == 2:
+                first += 2
+            while len(written[last - 1]) == 2:
+                last -= 2
+        parts, widths = written[first:last:2], [len(g) for g in written[first + 1 : last : 2]]
+        if not any(p.isalpha() and len(p) == 1 for p in parts) or sum(map(str.isalpha, parts)) < 2:
+            return run  # short words, or figures
+        least = min(widths)
+        gaps: list[int | None] = []
+        for p, w in zip(parts, [None, *widths], strict=True):
+            gaps += ([] if w is None else [int(w > least)]) + [None] * (len(p) - 1)
+        joined, score = self.decode("".join(parts), gaps)
         alone = sum(self.decode(p)[1] for p in parts) + sum(BETWEEN[int(w > least)] for w in widths)
-        return f" {joined} " if joined and score > alone else m[0]
+        return "".join(written[:first]) + f" {joined} " + "".join(written[last:]) if joined and score > alone else run
 
     def words(self, text: str) -> list[str]:
         """Distinct words of the restored text, in order."""
@@ -184,7 +215,8 @@ class Restorer:
 
     def joined(self, text: str) -> str:
         """In lower case, with letters set apart joined where they are a word."""
-        return self.APART.sub(self._together, text.lower())
+        text = text.lower()
+        return self.APART.sub(self._together, text if text.isascii() else text.translate(NO_WIDTH))
 
     def restore(self, text: str) -> str:
         return " ".join(self.word(w) for w in self.joined(text).split())
@@ -258,12 +290,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 2
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Learns from labelled rows outside the held-out fold. A null label or id teaches nothing; a document labelled twice counts by its highest label; a text whose distinct words agree with an earlier one's in `ALIKE` (copies and near copies) counts once a label, as far as they share the least hash of their shingles."""
+    """Learns from labelled rows outside the held-out fold. A null label or id teaches nothing; a document labelled twice counts by its highest label, one with several rows by its least text; a text whose distinct words agree with an earlier one's in `ALIKE` (copies and near copies) counts once a label, as far as they share the least hash of their shingles."""
     logp = log_model(corpus_trigrams(docs))
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), FOLD, HELD_OUT))
     y = y.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     y = F.broadcast(y.orderBy(F.xxhash64("id"), "id").limit(rows))  # two numbers a row of a bounded sample
-    sample = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(y, "id")
+    # of rows of one id the least text, so that the sample has at most `rows` rows
+    sample = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(y, "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     model = spark.sparkContext.broadcast(logp)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +341,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
     weight = F.log((t + 0.5) / (bad + 1)) - F.log((n + 0.5) / (good + 1))
     c = scratch.put(c.where(t >= LEAST_DOCS).select("f", (weight * gain / (gain + SHRINK)).alias("w"), gain.alias("g"), "t").where(F.col("w") > 0), "counts")
     least = math.log(max(1, c.count())) + MARGIN  # by chance alone, some feature of so many gains as much in exp(-MARGIN) of all cases
-    chosen = c.where(F.col("g") >= least).orderBy(F.desc("g"), "f").limit(MOST_FEATURES)
+    chosen = c.where(F.col("g") >= least)  # of the words of a bounded sample
     weights = distinct_features([(r.f, r.w, r.t) for r in chosen.collect()])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
