@@ -219,10 +219,36 @@ def test_token_files(spark, shards):
         reader = token_files.ShardReader(f"{folder}/000000.arrows")
         ids, mask = reader.sequence(1)
         assert ids.tolist() == everything[128:256] and mask.all() and not ids.flags.owndata
+        again = reader.sequence(1)
+        assert np.shares_memory(ids, again[0]) and np.shares_memory(mask, again[1]) and mask.dtype == bool and not mask.flags.owndata
         ids, mask = reader.sequence((len(everything) - 1) // 128)
         assert mask.sum() == (len(everything) - 1) % 128 + 1 and ids[mask].tolist() == everything[-int(mask.sum()) :]
 
 
+def test_a_file_that_is_not_mapped_is_read_by_batches(tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from pyarrow import fs
+
+    ids = np.random.default_rng(3).integers(0, 60_000, 10 * 64 * 16 + 37).astype(np.uint16)
+    for name, some in (("a", ids), ("none", ids[:0]), ("few", ids[:5])):
+        w = token_files.ShardWriter(f"file://{tmp_path}/{name}", 16, rows=64)
+        for part in np.array_split(some, 7):
+            w.add(part)
+        w.close()
+    near = token_files.ShardReader(f"file://{tmp_path}/a")
+    elsewhere = SimpleNamespace(LocalFileSystem=fs.LocalFileSystem, FileSystem=SimpleNamespace(from_uri=lambda uri: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), uri.removeprefix("file:///"))))
+    monkeypatch.setattr(token_files, "fs", elsewhere)
+    far = token_files.ShardReader(f"file://{tmp_path}/a")
+    assert not far.mapped and far.size < 4000 and (far.seq, far.rows) == (near.seq, near.rows) == (16, 64)
+    for at, n in ((0, 5), (1000, 3000), (len(ids) - 40, 40), (0, len(ids)), (77, 0)):
+        assert (far.ids(at, n) == ids[at : at + n]).all() and (near.ids(at, n) == ids[at : at + n]).all() and len(far.held) <= far.KEPT
+    for k in (0, 63, 64, 641, 642):
+        (a, b), (c, d) = far.sequence(k), near.sequence(k)
+        assert (a == c).all() and (b == d).all()
+    assert far.sequence(642)[1].sum() == 37 - 32 and token_files.ShardReader(f"file://{tmp_path}/none").seq == 0 and token_files.ShardReader(f"file://{tmp_path}/few").ids(0, 5).tolist() == ids[:5].tolist()
+
+
 def test_token_files_of_odd_rows(spark):
     js = bpe.tokenizer_text("word_bpe_49k.json")
     rows = token_files.token_files(spark, odd_rows(spark), js, shards=2)[0].collect()

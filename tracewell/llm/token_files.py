@@ -1,7 +1,7 @@
 """Token ids as Arrow stream files of equal-length sequences.
 
 A file holds record batches of one sequence a row: `ids` (fixed-size list of uint16 or uint32) and `mask`
-(fixed-size list of bool, false on padding). All batches but the last have the same number of rows, so the
+(fixed-size list of uint8, 0 on padding). All batches but the last have the same number of rows, so the
 k-th sequence is at a known place, and a reader that maps the file sees ids and masks in place without a copy.
 
 The documents are encoded once, dealt to shards by ranges of doc_id (bounds are quantiles of that column
@@ -30,6 +30,8 @@ from .words import byte_hashes, mix
 
 SEQ_LEN, ROWS, END_ID = 2048, 64, 2
 BATCH_CHARS = 2_000_000
+#: Bytes of input that a file takes at most, about.
+SHARD_BYTES = 256 << 20
 #: Distinct words whose ids a worker keeps before it starts anew.
 KEPT_WORDS = 2_000_000
 
@@ -168,7 +170,7 @@ def word_encoder(tokenizer_json: str) -> CachedWordEncoder:
 
 
 def _schema(seq_len: int, wide: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
 
 
 class ShardWriter:
@@ -197,7 +199,7 @@ class ShardWriter:
             self.held, self.waiting = [flat[full:]], len(flat) - full
 
     def _put(self, flat: np.ndarray, real: int) -> None:
-        mask = np.arange(len(flat)) < real
+        mask = (np.arange(len(flat)) < real).astype(np.uint8)  # a byte each, so that a reader has them in place
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.seq) for v in (flat, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
@@ -211,26 +213,57 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Sequences and ids of a file by place. A local file is mapped; elsewhere its bytes are read once."""
+    """Sequences and ids of a file by place. A local file is mapped; elsewhere only the batches that are asked for are read, as all but the last have one size."""
+
+    KEPT = 4  # batches of a file that isn't mapped
 
     def __init__(self, uri: str):
         files, path = fs.FileSystem.from_uri(uri)
-        self.source = pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else pa.BufferReader(files.open_input_stream(path).read())
-        self.batches = list(ipc.open_stream(self.source))
-        self.seq = self.batches[0].schema.field("ids").type.list_size if self.batches else 0
-        self.rows = self.batches[0].num_rows if self.batches else 1
+        self.mapped = isinstance(files, fs.LocalFileSystem)
+        self.held: OrderedDict[int, pa.RecordBatch] = OrderedDict()
+        if self.mapped:
+            self.batches = list(ipc.open_stream(pa.memory_map(path)))
+            first = self.batches[0] if self.batches else None
+        else:
+            self.file = files.open_input_file(path)
+            self.schema = ipc.read_schema(ipc.read_message(self.file))
+            self.begin = self.file.tell()
+            first = self._read()
+            self.size = self.file.tell() - self.begin
+        self.seq = first.schema.field("ids").type.list_size if first is not None else 0
+        self.rows = first.num_rows if first is not None else 1
+
+    def _read(self) -> pa.RecordBatch | None:
+        try:
+            message = ipc.read_message(self.file)
+        except EOFError:
+            return None
+        return ipc.read_record_batch(message, self.schema)
+
+    def batch(self, k: int) -> pa.RecordBatch:
+        if self.mapped:
+            return self.batches[k]
+        if k not in self.held:
+            if len(self.held) >= self.KEPT:
+                self.held.popitem(last=False)
+            self.file.seek(self.begin + k * self.size)
+            got = self._read()
+            if got is None:
+                raise IndexError(f"no batch {k}")
+            self.held[k] = got
+        return self.held[k]
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the k-th sequence, the ids in place."""
-        batch, row = self.batches[k // self.rows], k % self.rows
+        """Ids and mask of the k-th sequence, both in place."""
+        batch, row = self.batch(k // self.rows), k % self.rows
         cut = slice(row * self.seq, (row + 1) * self.seq)
-        return batch.column(0).flatten().to_numpy()[cut], batch.column(1).flatten().to_numpy(zero_copy_only=False)[cut]
+        return batch.column(0).flatten().to_numpy()[cut], batch.column(1).flatten().to_numpy()[cut].view(bool)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from a place within the file; over batch borders they are put together."""
         size, out = self.rows * self.seq, []
         while n:
-            flat = self.batches[start // size].column(0).flatten().to_numpy()
+            flat = self.batch(start // size).column(0).flatten().to_numpy()
             out.append(flat[start % size : start % size + n])
             start, n = start + len(out[-1]), n - len(out[-1])
         return np.concatenate(out) if out else np.zeros(0, np.uint16)
@@ -330,7 +363,9 @@ def read_token_files(index: DataFrame, folder: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer_json: str, shards: int | None = None, **how) -> tuple[DataFrame, str]:
     """Writes the files under the shared folder; what reading them back gives, and where they are."""
     scratch = Scratch(spark, "token-files")
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if shards is None:  # as many tasks as a shuffle has, or more where files would be large
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) if docs.inputFiles() else 0
+        shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     folder = f"{scratch.root}/files"
     folder = folder if "://" in folder else f"file://{folder}"
     index = scratch.put(write_token_files(docs, tokenizer_json, folder, shards, **how), "index")
