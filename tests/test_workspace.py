@@ -10,8 +10,10 @@ from tracewell.__main__ import main
 from tracewell.operators.index import FingerprintError
 from tracewell.operators.retrieval import bm25
 from tracewell.plans import sync as syncing
+from tracewell.plans.ask import run_tool
 from tracewell.plans.workspace import STATE, TargetError, Workspace
 from tracewell.sources.git import push_status
+from tracewell.streaming import capture
 
 A, B = "a" * 32, "b" * 32
 
@@ -267,3 +269,40 @@ def test_tags_keep_heads_alive_and_other_refs_do_not(pair):
 def test_lines_of_a_push(line, want):
     got = push_status(line)
     assert (got[1] if got else None) == want
+
+
+def test_tools_of_an_answering_model(pair):
+    one, _, run = pair
+    one.adopt()
+    shas = run(one.repo, "log", "--format=%H").split()
+    one.annotate(shas[1], {"author": {"type": "agent", "tool": "t"}, "summary": "Second file", "reasoning": {"intent": "to have two", "rejected": [{"option": "none", "why": "too few"}]}, "provenance": "agent-captured", "created_at": "2024-01-01T00:00:00Z"})
+    one.annotate(shas[0], {"author": {"type": "human"}, "summary": "Touches it", "scope": [{"path": "f1", "blob": "b"}], "created_at": "2024-02-01T00:00:00Z"})
+    assert [s.path for s in one.notes()[0].where(F.col("sha") == shas[1]).first().scope] == ["f1"]  # from the commit
+    tools = {t.name: t for t in one.ask_tools()}
+    call = lambda name, **given: run_tool(tools, name, given)
+    ok, text = call("commit_diff", sha="HEAD~1")
+    assert ok and f"commit {shas[1]}" in text and "subject: commit 1" in text and "1 file(s), +1 -0" in text and "+1" in text
+    ok, text = call("show_change", target="c/" + B[:6])
+    assert ok and "Second file" in text and "intent: to have two" in text and "rejected: none: too few" in text and "session: none" in text
+    ok, text = call("log_intent", n="2")
+    assert ok and len(text.splitlines()) == 2 and text.startswith(shas[0][:8]) and call("log_intent", path="nowhere") == (True, "(no commits matched)")
+    ok, text = call("blame_why", file="f1", line=1)
+    assert ok and "Second file" in text and "Touches it" in text
+    for name, given in (("commit_diff", {}), ("log_intent", {"n": 51}), ("blame_why", {"file": "f1", "line": 0}), ("blame_why", {"file": "f1", "line": True}), ("show_change", {"target": "c/zzzz"}), ("none", {})):
+        assert not call(name, **given)[0]
+    told = {(r.change_id, r.path): (r.n_later, [t.summary for t in r.later]) for r in one.touches().collect()}
+    assert told == {(B, "f1"): (1, ["Touches it"]), ("c" * 32, "f1"): (0, [])}
+    assert [r.change_id for r in one.export("HEAD~1").collect()] == [B] and one.export("HEAD~2..HEAD").count() == 2 == one.export().count() and one.export("c/" + "c" * 32).count() == 1
+
+
+def test_captures_are_recorded_once(pair, spark):
+    one, _, run = pair
+    one.adopt()
+    head = run(one.repo, "rev-parse", "HEAD")
+    events = spark.createDataFrame([("s", 1, "plan", None, None, False, "do it", None, None, None), ("s", 2, "maybe-commit", "Bash", "git commit -m x", False, None, head, "", "2024-01-01T00:00:00Z")], capture.EVENTS + ", at string")
+    results = capture.capture(events.withColumn("change_id", F.lit("c" * 32)).withColumn("subject", F.lit("a subject")))
+    for _ in range(2):
+        one.record(results)
+        e = one.notes()[0].collect()
+        assert [(r.sha, r.summary, r.reasoning.intent) for r in e] == [(head, "a subject", "do it")] and one.sessions().count() == 1
+    assert one.show("c/" + "c" * 32).first().session.status == "available"

@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import change_id as normal_id
 from ..functions.text import instant_ms
-from ..operators import audit, details, embedding, identity, index, ledger, rebuild
+from ..operators import audit, details, embedding, identity, index, ledger, rebuild, touches
 from ..operators.chunking import CHUNK_SCHEMA, INDEX_CHARS, chunk_files
 from ..operators.keyword import KeywordIndex
 from ..operators.retrieval import position_boost
-from ..sources import git
+from ..sources import git, git_sink
 from ..sources.versioned import VersionedTable
+from ..streaming import capture
 from ..workspace import cut
 from . import ask as asking
-from . import export, report
+from . import export, report, tools
 from . import sync as syncing
 
 ENTRY = f"change_id string, revision string, created_at string, author {schemas.AUTHOR}, scope array<struct<path:string,range:array<int>,blob:string>>, summary string, reasoning {schemas.REASONING}, session_ref string, session_refs array<string>, provenance string, folded_into string, redaction_note string"
@@ -164,8 +165,20 @@ class Workspace:
             raise index.StateError(f"the index state has schema {state['schema']}")
         return state
 
-    def export(self) -> DataFrame:
-        return export.trace_records(self.effective()).orderBy("change_id")
+    def export(self, *targets: str) -> DataFrame:
+        """Trace records of all changes, or of those that targets (`c/...`, a commit, a range of commits) name."""
+        e = self.effective()
+        return export.trace_records(e.join(tools.target_changes(self, list(targets)), "change_id", "left_semi") if targets else e).orderBy("change_id")
+
+    def ask_tools(self) -> list[asking.Tool]:
+        """What an answering model may call: see plans.tools."""
+        return tools.ask_tools(self)
+
+    def touches(self, depth: int = 5) -> DataFrame:
+        """For each change's entry and path how often the path was touched later, and by what first: see operators.touches."""
+        folded = self.change_map().select("change_id", F.col("folded_into").alias("into"))
+        e = self.effective().join(folded, "change_id", "left").select("change_id", "created_at", "summary", F.coalesce("folded_into", "into").alias("folded_into"), F.transform("scope", lambda s: s["path"]).alias("paths"))
+        return touches.later_touches(e, depth)
 
     def doctor(self) -> DataFrame:
         """name, status, message: what is odd about identities, notes, sessions and the index."""
@@ -232,11 +245,21 @@ class Workspace:
         own = known[0] if known else self.spark.range(1).select(identity.minted()).first()[0]
         if entry.get("change_id", own) != own:
             raise TargetError("the entry is of another change")
-        full = {"created_at": now(), "scope": [], "provenance": "human-authored", **entry, "change_id": own, "revision": sha}
+        if "scope" not in entry:  # the files of the commit
+            paths = self.git("paths", rev=sha).where(F.col("sha") == sha)
+            entry = {**entry, "scope": [{"path": r.path, "blob": r.blob} for r in details.derived_scope(paths).orderBy("path").collect()]}
+        full = {"created_at": now(), "provenance": "human-authored", **entry, "change_id": own, "revision": sha}
         line = json.dumps({"entry": full, "schema": ledger.LINE_SCHEMA}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         git.git(self.repo, "notes", "--ref=intent", "append", "-m", line, sha)
         return own
 
+    def record(self, results: DataFrame) -> None:
+        """Stores what streaming.capture made of events: sessions first, then each entry as a line of its commit's note. Doing it again adds nothing."""
+        kept = cut(results.where(F.col("status") == "captured"))
+        self.session_table.insert_new(capture.session_records(kept), "session_ref")
+        self.git("notes")  # registers the source
+        git_sink.append_notes(self.spark, self.repo, capture.ledger_lines(kept))
+
     def relink(self, change: str, sha: str) -> None:
         v = self.map_table.version()
         self.map_table.write(identity.relink(self.change_map(), self.spark.range(1).select(normal_id(F.lit(change))).first()[0], sha, now()), v)
