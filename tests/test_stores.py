@@ -89,3 +89,32 @@ def test_no_batch_is_over_budget(spark):
     for c, own in classes.items():
         most = max(1, min(16, 5_000_000 // (c * c)))
         assert [(b, p) for *_, b, p in sorted(own)] == [divmod(k, most) for k in range(len(own))]
+
+
+def test_a_word_of_all_rows_has_several_files(spark, tmp_path, monkeypatch):
+    from tracewell.operators import keyword
+
+    monkeypatch.setattr(keyword, "FILE_ROWS", 50)
+    docs = spark.createDataFrame([(k, "the " * (k % 3 + 1) + f"word{k}") for k in range(300)] + [(1000, None), (1001, "!?")], "key long, text string")
+    index = keyword.KeywordIndex(spark, f"file://{tmp_path}/k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would go to one task
+    try:
+        index.build(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {f for (f,) in index._postings().where("term = 'the'").select(F.input_file_name()).distinct().collect()}
+    assert len(files) >= 3 and index.totals.read().first().n == 302
+
+    def same(now):
+        got = {r.key: round(r.score, 9) for r in index.search("the word7 word299", None).collect()}
+        want = {r.key: round(r.score, 9) for r in retrieval.bm25(now, "the word7 word299", None).collect()}
+        assert got == want
+
+    same(docs)
+    index.update(spark.createDataFrame([(7, "no more"), (2000, "the word7")], "key long, text string"), spark.createDataFrame([(299,)], "key long"))
+    same(docs.where("key not in (7, 299)").unionByName(spark.createDataFrame([(7, "no more"), (2000, "the word7")], "key long, text string")))
+    bare = keyword.KeywordIndex(spark, f"file://{tmp_path}/bare")
+    bare.build(docs.where("key >= 1000"))
+    assert bare.search("the", 3).count() == 0 and bare.totals.read().first().n == 2
+    bare.update(docs.where("key = 7"), docs.where("key = 1000"))
+    assert [r.key for r in bare.search("word7", 3).collect()] == [7]

@@ -1,7 +1,7 @@
 """A stored inverted index: postings by term, so that a question reads those of its own words and no text.
 
 Postings are a table partitioned by a hash of the term and sorted by term, with each row's length beside its
-count; one more row says how many rows and words there are. Each version is a folder of its own. An update
+count; lengths of all rows are a table of their own, and one more row says how many rows and words there are. Each version is a folder of its own. An update
 takes postings of rows that go out and puts those of new rows in; what stays isn't tokenised again.
 """
 
@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..sources.versioned import VersionedTable
+from ..workspace import cut
 from .retrieval import IDF_FLOOR, K1, B
 from .sets import delete
 
 BUCKETS = 256
+#: Postings of a bucket in one file, about.
+FILE_ROWS = 4_000_000
 
 
 def _bucket(term):
@@ -25,39 +28,54 @@ def _bucket(term):
 
 
 def postings(docs: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """key, term, tf, dl, bucket of each row's words; a row without words has one posting without a term, so that it is counted."""
+    """key, term, tf, dl, bucket of each row's words; a row without words has none."""
     w = docs.select(F.col(key).alias("key"), words(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("w"))
-    rows = w.select("key", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy("key", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    rows = w.select("key", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("key", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return rows.withColumn("bucket", _bucket(F.col("term")))
 
 
+def row_lengths(docs: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """key and dl, the number of words, of each row."""
+    return docs.select(F.col(key).alias("key"), F.size(words(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("dl"))
+
+
 class KeywordIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.rows, self.totals = VersionedTable(spark, f"{path.rstrip('/')}/postings"), VersionedTable(spark, f"{path.rstrip('/')}/totals")
-
-    def _write(self, rows: DataFrame) -> None:
-        v, w = self.rows.version(), self.totals.version()
-        self.rows.write(rows.repartition("bucket").sortWithinPartitions("bucket", "term"), v, partition_by=["bucket"])
-        one = self.rows.read().groupBy("key").agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
-        self.totals.write(one, w)
+        self.rows, self.lengths, self.totals = (VersionedTable(spark, f"{path.rstrip('/')}/{n}") for n in ("postings", "lengths", "totals"))
+
+    def _write(self, rows: DataFrame, lengths: DataFrame) -> None:
+        """A bucket's postings go to as many files as `FILE_ROWS` asks for, dealt by a hash of the key, so that no word's postings meet in one task."""
+        rows = cut(rows)
+        v, w, u = self.rows.version(), self.totals.version(), self.lengths.version()
+        files = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("files"))  # a row a bucket: BUCKETS at most
+        dealt = rows.join(F.broadcast(files), "bucket").withColumn("file", F.pmod(F.xxhash64("key"), F.col("files"))).drop("files")
+        self.rows.write(dealt.repartition("bucket", "file").sortWithinPartitions("bucket", "file", "term").drop("file"), v, partition_by=["bucket"])
+        self.lengths.write(lengths, u)
+        self.totals.write(self.lengths.read().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")), w)
+
+    def _postings(self) -> DataFrame | None:
+        if not self.rows.version():
+            return None
+        kind = self.lengths.read().schema["key"].dataType.simpleString()
+        return self.rows.read(schema=f"key {kind}, term string, dl int, tf bigint, bucket int")
 
     def build(self, docs: DataFrame, key: str = "key", text: str = "text") -> None:
         """Anew from all rows. Keys are distinct."""
-        self._write(postings(docs, key, text))
+        self._write(postings(docs, key, text), row_lengths(docs, key, text))
 
     def update(self, new: DataFrame, gone: DataFrame, key: str = "key", text: str = "text") -> None:
         """Rows of these keys go out (also those that come anew), new rows come in."""
-        old = self.rows.read()
+        old = self._postings()
         if old is None:
             return self.build(new, key, text)
         out = gone.select(F.col(key).alias("key")).unionByName(new.select(F.col(key).alias("key"))).distinct()
-        return self._write(delete(old, out, "key").unionByName(postings(new, key, text)))
+        return self._write(delete(old, out, "key").unionByName(postings(new, key, text)), delete(self.lengths.read(), out, "key").unionByName(row_lengths(new, key, text)))
 
     def search(self, query: str, k: int | None) -> DataFrame:
         """key and score of the k best rows (all, if k is None) for any of the query's words, by BM25; less is better. Reads the partitions of these words alone."""
         asked = sorted(set(re.findall(r"\w+", query.lower())))
-        rows = self.rows.read()
+        rows = self._postings()
         if rows is None:
             raise FileNotFoundError("no index was built")
         if not asked:

@@ -39,9 +39,11 @@ class VersionedTable:
         finally:
             stream.close()
 
-    def read(self, version: int | None = None) -> DataFrame | None:
+    def read(self, version: int | None = None, schema: str | None = None) -> DataFrame | None:
+        """A version's rows, None before the first. schema: for a table by partitions, which says nothing of its columns while it has no rows."""
         version = self.version() if version is None else version
-        return self.spark.read.parquet(f"{self.path}/{self._folder(version)}") if version else None
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(f"{self.path}/{self._folder(version)}") if version else None
 
     def write(self, df: DataFrame, expected: int, partition_by: list[str] | None = None) -> int:
         """Writes version expected + 1. The pointer is made by an exclusive create, which only one writer can win."""
