@@ -111,7 +111,10 @@ class Restorer:
     EDGE = re.compile(r"([^\w\s])\1{2,}$|^([^\w\s])\2{2,}")
     THRICE = re.compile(r"(.)\1\1")
     # what looks ahead for a piece and a gap keeps the search from trying every word
-    APART = re.compile(r"(?<![^\W_])(?=(?:[^\W_]{1,2}|[@$!|€£¡])(?:[^\w@$!|€£¡]|_))(?:(?:[^\W\d_]{2}|[^\W_]|[@$!|€£¡])(?:[^\w@$!|€£¡]|_)+){2,}(?:[^\W\d_]{2}|[^\W_]|[@$!|€£¡])(?![^\W_])")
+    APART = re.compile(
+        r"(?<![^\W_])(?=(?:[^\W_]{1,2}|[@$!|€£¡])(?:[^\w@$!|€£¡]|_))"
+        r"(?:(?:(?:[^\W_]|[@$!|€£¡])(?:[^\w@$!|€£¡]|_)++){3,}(?:[^\W_]|[@$!|€£¡])(?![^\W_])|(?:[^\W\d_]{1,2}+(?:[^\w@$!|€£¡]|_)++){2,}[^\W\d_]{1,2}+(?![^\W_]))"
+    )
     GAP = re.compile(r"((?:[^\w@$!|€£¡]|_)+)")
 
     def __init__(self, logp: np.ndarray):
