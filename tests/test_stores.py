@@ -118,3 +118,20 @@ def test_a_word_of_all_rows_has_several_files(spark, tmp_path, monkeypatch):
     assert bare.search("the", 3).count() == 0 and bare.totals.read().first().n == 2
     bare.update(docs.where("key = 7"), docs.where("key = 1000"))
     assert [r.key for r in bare.search("word7", 3).collect()] == [7]
+
+
+def test_what_runs_left_is_swept(spark):
+    import os
+    import time
+
+    from tracewell.workspace import shared_dir, sweep
+
+    root = shared_dir(spark).removeprefix("file:")
+    root = "/" + root.lstrip("/")
+    for name in ("old", "new"):
+        os.makedirs(f"{root}/tracewell/test-{name}/part", exist_ok=True)
+    past = time.time() - 7200
+    for p in ("test-old/part", "test-old"):
+        os.utime(f"{root}/tracewell/{p}", (past, past))
+    gone = sweep(spark, 1)
+    assert any(p.endswith("test-old") for p in gone) and not os.path.exists(f"{root}/tracewell/test-old") and os.path.exists(f"{root}/tracewell/test-new") and not any(p.endswith("test-new") for p in gone)

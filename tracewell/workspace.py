@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,20 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder: later steps neither repeat what led to them nor depend on an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def sweep(spark: SparkSession, hours: float) -> list[str]:
+    """Removes what runs left under `tracewell` in the shared folder and did not change for so many hours: tables that lazy results read, of jobs that broke off or are long read. Returns the paths. No result that is still to be read may be as old."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracewell")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = (time.time() - hours * 3600) * 1000
+    gone = [s.getPath() for s in files.listStatus(path) if _newest(files, s) < old] if files.exists(path) else []
+    for p in gone:
+        files.delete(p, True)
+    return [p.toString() for p in gone]
+
+
+def _newest(files, status) -> int:
+    """The last change of a folder or of the tables in it, in milliseconds."""
+    inner = files.listStatus(status.getPath()) if status.isDirectory() else []
+    return max([status.getModificationTime(), *(s.getModificationTime() for s in inner)])
