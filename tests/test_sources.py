@@ -119,3 +119,29 @@ def test_capture_of_a_stream(spark, tmp_path):
 def test_failed_redaction_lets_nothing_through():
     _, out = cap.step({"plan": None, "last_commit": None, "last_line": 0}, EVENTS[2], [Rule("bad", lambda s: 1 / 0)])
     assert out["status"] == "captured" and out["session_ref"] is None and "redaction failed" in out["note"]
+
+
+def test_contents_are_read_in_ranges_and_streams(spark, tmp_path):
+    from tracewell.sources import git_sink
+
+    repo = str(tmp_path / "r")
+    git_sink.init(repo)
+    spark.dataSource.register(git.GitSource)
+    for k in range(40):
+        (tmp_path / "r" / f"f{k}").write_text(f"{k}\n" * 50 if k % 9 else "")
+    git.git(repo, "add", ".")
+    for k in range(30):
+        git.git(repo, *git_sink.IDENTITY, "commit", "-q", "--allow-empty", "-m", f"commit {k} é\n\nbody")
+    df = spark.read.format("git").option("path", repo).option("table", "blobs").option("splitBytes", "500").load()
+    assert df.rdd.getNumPartitions() > 8 and {r.path: r.content for r in df.collect()} == {f"f{k}": f"{k}\n" * 50 if k % 9 else "" for k in range(40)}
+    ranges = git.blob_ranges(repo, {"splitbytes": "500"})
+    assert sorted(p for run in ranges for _, p in run) == sorted(f"f{k}" for k in range(40)) and git.blob_ranges(repo, {"base": "HEAD"}) == []
+    assert spark.read.format("git").option("path", repo).option("table", "blobs").option("base", "HEAD").load().count() == 0
+    whole = list(git.records(repo, "log", "--format=%s|", end="|", chunk=7))
+    assert [w.strip() for w in whole] == [f"commit {k} é" for k in range(29, -1, -1)] and spark.read.format("git").option("path", repo).option("table", "commits").load().count() == 30
+    with pytest.raises(git.GitError):
+        list(git.records(repo, "log", "nothing", end="|"))
+    with pytest.raises(git.GitError):
+        list(git.many_objects(repo, ["HEAD:f1\nHEAD:f2"]))
+    one = git.many_objects(repo, (f"HEAD:f{k}" for k in (1, 0, 99)))
+    assert [next(one), next(one), next(one)] == [b"1\n" * 50, b"", None]

@@ -1,13 +1,13 @@
 """Git repositories as a Spark data source: `spark.read.format("git").option("path", repo).option("table", ...)`.
 
 Tables: commits, refs, tree, paths, notes, blobs, blame, patch, remote. Rows come from one git process a table (two
-for notes and blobs), never one an object; names are never put through a shell.
+for notes, one a task for contents of files), never one an object; names are never put through a shell. Commits and contents are streamed.
 """
 
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +24,8 @@ TABLES = {
     "remote": "ref string, sha string",
 }
 ZERO = "0" * 40
+#: Bytes of files that a task reads, about.
+SPLIT_BYTES = 64 << 20
 _UNIT, _RECORD = "\x1f", "\x1e"
 
 
@@ -54,19 +56,44 @@ def push_status(line: str) -> tuple[str, str, str] | None:
     return (rest[0].partition(":")[0].removeprefix("+"), action, " ".join(rest[1:])) if action and rest else None
 
 
-def many_objects(repo: str, names: list[str]) -> Iterator[bytes | None]:
-    """The contents of many objects by one process; None for one that isn't there."""
-    out = git(repo, "cat-file", "--batch", data="".join(f"{n}\n" for n in names).encode()) if names else b""
-    at = 0
-    for _ in names:
-        head = out[at : (end := out.index(b"\n", at))]
-        at = end + 1
-        if head.endswith(b"missing"):
-            yield None
-        else:
-            size = int(head.rpartition(b" ")[2])
-            yield out[at : at + size]
-            at += size + 1
+def many_objects(repo: str, names: Iterable[str]) -> Iterator[bytes | None]:
+    """The contents of many objects by one process, one in memory at a time; None for one that isn't there."""
+    p = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+    try:
+        for n in names:
+            if "\n" in n:
+                raise GitError(f"{n!r} is no name of an object")
+            p.stdin.write(f"{n}\n".encode())
+            p.stdin.flush()
+            head = p.stdout.readline()
+            if not head:
+                raise GitError(f"git cat-file ended at {n}")
+            if head.rstrip().endswith((b" missing", b" ambiguous")):
+                yield None
+                continue
+            yield p.stdout.read(int(head.rpartition(b" ")[2]))
+            p.stdout.read(1)
+    finally:
+        p.stdin.close()
+        p.stdout.close()
+        p.wait()
+
+
+def records(repo: str, *args: str, end: str, chunk: int = 1 << 20) -> Iterator[str]:
+    """A git command's output cut at a mark, a chunk in memory at a time; what follows the last mark is left out."""
+    p = subprocess.Popen(["git", "-c", "core.quotepath=off", "-C", repo, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE)
+    mark, held = end.encode(), b""
+    try:
+        while data := p.stdout.read(chunk):
+            *whole, held = (held + data).split(mark)
+            yield from map(_text, whole)
+    finally:
+        p.stdout.close()
+        said = p.stderr.read()
+        p.stderr.close()
+        failed = p.wait()
+    if failed:
+        raise GitError(_text(said).strip() or f"git {args[0]} failed")
 
 
 def _text(data: bytes) -> str:
@@ -81,7 +108,7 @@ def _commits(repo: str, o: dict) -> Iterator[tuple]:
     args += [f"--{k}={o[k]}" for k in ("since", "until") if k in o] + (["-n", o["limit"]] if "limit" in o else [])
     args += ["--topo-order"] if o.get("order") == "topo" else []
     args += ["--all"] if rev == "--all" else ["--end-of-options", rev]
-    for k, record in enumerate(_text(git(repo, *args, *(["--", o["file"]] if "file" in o else ["--"]))).split(_RECORD)[:-1]):
+    for k, record in enumerate(records(repo, *args, *(["--", o["file"]] if "file" in o else ["--"]), end=_RECORD)):
         f = record.lstrip("\n").split(_UNIT)
         yield (*f[:6], f[6].rstrip("\n"), f[7].split(), k)
 
@@ -126,14 +153,25 @@ def _notes(repo: str, o: dict) -> Iterator[tuple]:
         yield sha, _text(body or b"")
 
 
-def _blobs(repo: str, o: dict) -> Iterator[tuple]:
-    """Contents of the files of a tree; of those alone that another tree (`base`) has not, if it is given."""
-    rows = list(_tree(repo, o))
-    if "base" in o:
-        had = {r[3] for r in _tree(repo, {"rev": o["base"]})}
-        rows = [r for r in rows if r[3] not in had]
-    for r, body in zip(rows, many_objects(repo, [r[3] for r in rows]), strict=True):
-        yield r[3], r[4], _text(body or b"")
+def blob_ranges(repo: str, o: dict) -> list[list[tuple[str, str]]]:
+    """(hash, path) of the files of a tree, in runs of about `splitBytes` bytes of content; of those alone that another tree (`base`) has not, if it is given."""
+    had = {r[3] for r in _tree(repo, {"rev": o["base"]})} if "base" in o else set()
+    most, runs, size = int(o.get("splitbytes", SPLIT_BYTES)), [], 0
+    for item in git(repo, "ls-tree", "-r", "-l", "-z", o.get("rev", "HEAD")).split(b"\0")[:-1]:
+        head, _, path = item.partition(b"\t")
+        mode, _, sha, n = head.decode().split()
+        if (o.get("files", "true") != "true" or mode in ("100644", "100755")) and n != "-" and sha not in had:
+            if not runs or size + int(n) > most:
+                runs.append([])
+                size = 0
+            runs[-1].append((sha, _text(path)))
+            size += int(n)
+    return runs
+
+
+def _blobs(repo: str, rows: list[tuple[str, str]]) -> Iterator[tuple]:
+    for (sha, path), body in zip(rows, many_objects(repo, [sha for sha, _ in rows]), strict=True):
+        yield sha, path, _text(body or b"")
 
 
 def _blame(repo: str, o: dict) -> Iterator[tuple]:
@@ -157,23 +195,26 @@ def _remote(repo: str, o: dict) -> Iterator[tuple]:
         yield ref, sha
 
 
-_READ = {"commits": _commits, "refs": _refs, "tree": _tree, "paths": _paths, "notes": _notes, "blobs": _blobs, "blame": _blame, "patch": _patch, "remote": _remote}
+_READ = {"commits": _commits, "refs": _refs, "tree": _tree, "paths": _paths, "notes": _notes, "blame": _blame, "patch": _patch, "remote": _remote}
 
 
 class GitReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = {k: v for k, v in options.items()}
+        self.options = {k.lower(): v for k, v in options.items()}
         self.repos = self.options["path"].split(",")
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(r) for r in self.repos]
+        if self.options.get("table") == "blobs":
+            return [InputPartition((r, run)) for r in self.repos for run in blob_ranges(r, self.options)] or [InputPartition((self.repos[0], []))]
+        return [InputPartition((r, None)) for r in self.repos]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from _READ[self.options.get("table", "commits")](partition.value, self.options)
+        repo, run = partition.value
+        yield from _READ[self.options.get("table", "commits")](repo, self.options) if run is None else _blobs(repo, run)
 
 
 class GitSource(DataSource):
-    """One partition a repository (`path` may list several, with commas)."""
+    """One partition a repository (`path` may list several, with commas); contents of files in as many as their bytes ask for."""
 
     @classmethod
     def name(cls) -> str:
