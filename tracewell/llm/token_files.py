@@ -364,7 +364,7 @@ def token_files(spark: SparkSession, docs: DataFrame, tokenizer_json: str, shard
     """Writes the files under the shared folder; what reading them back gives, and where they are."""
     scratch = Scratch(spark, "token-files")
     if shards is None:  # as many tasks as a shuffle has, or more where files would be large
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) if docs.inputFiles() else 0
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if docs.inputFiles() else 0
         shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     folder = f"{scratch.root}/files"
     folder = folder if "://" in folder else f"file://{folder}"
