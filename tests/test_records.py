@@ -556,6 +556,22 @@ def test_long_lines_are_looked_up_by_segments(spark, monkeypatch):
     assert [got[p] for p in pairs] == [True, True, False, True, True, True, False, True, False]
 
 
+def test_pairs_of_one_door_are_walked_once(spark, monkeypatch):
+    from tracewell.operators import ancestry
+
+    monkeypatch.setattr(ancestry, "SEGMENT", 4)
+    rows = [(f"m{k}", [f"m{k - 1}"] + ([f"s{k // 10}"] if k % 10 == 9 else []) if k else [], 2000 - 2 * k) for k in range(100)] + [(f"s{k}", [f"m{10 * k + 2}"], 2000 - 2 * (10 * k + 2) - 1) for k in range(10)]
+    places, joints = ancestry.lines(spark.createDataFrame(rows, "sha string, parents array<string>, at long"))
+    doors = {r.sha: r.door for r in places.collect()}
+    assert [doors[f"m{k}"] for k in (8, 9, 18, 19, 57, 99)] == [None, 9, 9, 19, 49, 99] and doors["s3"] == 0
+    pairs = [(f"m{k}", f"s{i}") for k in range(100) for i in range(10)]
+    walked, keep = [], ancestry.stored
+    monkeypatch.setattr(ancestry, "stored", lambda df: walked.append(keep(df)) or walked[-1])
+    got = {(r.descendant, r.ancestor): r.leads for r in ancestry.leads_to(spark.createDataFrame(pairs, "descendant string, ancestor string"), places, joints).collect()}
+    assert got == {(f"m{k}", f"s{i}"): k >= 10 * i + 9 for k in range(100) for i in range(10)}
+    assert walked[0].count() == 1000 and all(df.count() <= 100 for df in walked[1:]) and walked[1].count() == 10
+
+
 # -- maps made anew
 
 

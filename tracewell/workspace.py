@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As `cut`, as a compressed table under `tracewell`: for rows of an iteration by the million, of which a checkpoint would write several times the bytes. `sweep` removes it."""
+    path = f"{shared_dir(df.sparkSession)}/tracewell/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sweep(spark: SparkSession, hours: float) -> list[str]:
     """Removes what runs left under `tracewell` in the shared folder and did not change for so many hours: tables that lazy results read, of jobs that broke off or are long read. Returns the paths. No result that is still to be read may be as old."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracewell")
