@@ -1,5 +1,6 @@
 """Stores of vectors, caches of embeddings and batches for a model."""
 
+import math
 import random
 import threading
 
@@ -120,6 +121,32 @@ def test_a_word_of_all_rows_has_several_files(spark, tmp_path, monkeypatch):
     assert [r.key for r in bare.search("word7", 3).collect()] == [7]
 
 
+def test_postings_are_counted_within_their_row(spark, tmp_path):
+    """Building writes no second copy of the postings; words are counted before a shuffle, and rows of one key and length still count as one."""
+    from collections import Counter
+
+    from tracewell.operators import keyword
+
+    texts = {1: "b a B a_1 b", 2: None, 3: "!?", 4: "x", 5: "ä Ä z9 z9 z9", 6: " ".join(f"w{k % 7}" for k in range(500))}
+    docs = spark.createDataFrame(list(texts.items()), "key long, text string")
+    rows = keyword.postings(docs)
+    want = {(k, w, n, len(x.split())) for k, x in texts.items() if x and x != "!?" for w, n in Counter(x.lower().split()).items()}
+    assert {(r.key, r.term, r.tf, r.dl) for r in rows.collect()} == want and rows.count() == len(want)
+    assert dict(rows.dtypes)["tf"] == "bigint" and "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    index = keyword.KeywordIndex(spark, f"file://{tmp_path}/k")
+    checkpoints = []
+    old, type(docs).checkpoint = type(docs).checkpoint, lambda self, *a, **b: checkpoints.append(1) or old(self, *a, **b)
+    try:
+        index.build(docs.unionByName(docs.where("key = 1")))
+    finally:
+        type(docs).checkpoint = old
+    assert not checkpoints
+    n, avgdl, df = 7, (5 * 2 + 1 + 5 + 500) / 7, 1
+    idf = math.log((n - df + 0.5) / (df + 0.5))
+    got = index.search("b", None).collect()
+    assert [r.key for r in got] == [1] and math.isclose(got[0].score, -idf * 6 * 2.2 / (6 + 1.2 * (0.25 + 0.75 * 5 / avgdl)))
+
+
 def test_what_runs_left_is_swept(spark):
     import os
     import time

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..sources.versioned import VersionedTable
-from ..workspace import cut
 from .retrieval import IDF_FLOOR, K1, B
 from .sets import delete
 
@@ -28,10 +27,19 @@ def _bucket(term):
 
 
 def postings(docs: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """key, term, tf, dl, bucket of each row's words; a row without words has none."""
-    w = docs.select(F.col(key).alias("key"), words(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("w"))
-    rows = w.select("key", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("key", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return rows.withColumn("bucket", _bucket(F.col("term")))
+    """key, term, tf, dl, bucket of each row's words, counted within the row; a row without words has none."""
+    w = docs.select(F.col(key).alias("key"), F.array_sort(words(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("w"))
+    rows = w.select("key", F.size("w").alias("dl"), F.explode(_runs(F.col("w"))).alias("run"))
+    return rows.select("key", "run.term", "run.tf", "dl").withColumn("bucket", _bucket(F.col("term")))
+
+
+def _runs(w: Column) -> Column:
+    """term and tf of each run of equal words in a sorted array."""
+    first = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    run = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+    # an array of one binds what is used many times, so it is made once
+    runs = F.flatten(F.transform(F.array(w), lambda s: F.flatten(F.transform(F.array(first(s)), lambda at: run(s, at)))))
+    return F.when(F.size(w) > 0, runs)
 
 
 def row_lengths(docs: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
@@ -45,8 +53,10 @@ class KeywordIndex:
         self.rows, self.lengths, self.totals = (VersionedTable(spark, f"{path.rstrip('/')}/{n}") for n in ("postings", "lengths", "totals"))
 
     def _write(self, rows: DataFrame, lengths: DataFrame) -> None:
-        """A bucket's postings go to as many files as `FILE_ROWS` asks for, dealt by a hash of the key, so that no word's postings meet in one task."""
-        rows = cut(rows)
+        """A bucket's postings go to as many files as `FILE_ROWS` asks for, dealt by a hash of the key, so that no word's postings meet in one task.
+
+        They are counted by one more reading of the texts, which writes nothing, so postings are shuffled and written once.
+        """
         v, w, u = self.rows.version(), self.totals.version(), self.lengths.version()
         files = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("files"))  # a row a bucket: BUCKETS at most
         dealt = rows.join(F.broadcast(files), "bucket").withColumn("file", F.pmod(F.xxhash64("key"), F.col("files"))).drop("files")
@@ -82,7 +92,7 @@ class KeywordIndex:
             return rows.select("key", F.lit(0.0).alias("score")).where(F.lit(False))
         # bucket numbers come from the same hash; the question's words are a few
         buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in asked], "term string").select(_bucket(F.col("term")).alias("b")).distinct().collect()]
-        hits = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
+        hits = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(asked)).groupBy("key", "term", "dl").agg(F.sum("tf").alias("tf"))  # rows of one key and length count as one
         df = F.broadcast(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # a row a word of the question
         total = F.broadcast(self.totals.read().select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avgdl")))
         idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
