@@ -184,6 +184,23 @@ def test_resolution_rules(spark):
     assert after[ID].head == "n3" and set(after[ID].history) == {"s0", "s1", "n1", "n3"} and after[ID].origin == "inferred" and after["d" * 32].head == "n2" and after[ID2].history == ["t1"]
 
 
+def test_commits_without_a_trailer_are_dealt_over_tasks(spark):
+    m = change_map(spark, [(ID, "s1", ["s0", "s1"], None)])
+    commits = spark.createDataFrame([(f"c{k}", "x") for k in range(400)] + [("s0", "x"), ("n1", f"x\n\nChange-Id: I{ID}"), (None, "x")], "sha string, message string")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = identity.resolve(commits, m).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    rules = {r.sha: r.rule for r in got}
+    assert len(got) == 403 and rules["s0"] == "R1" and rules["n1"] == "R2" and rules[None] == "R5" and all(rules[f"c{k}"] == "R5" for k in range(400))
+    tasks = [r.task for r in got]
+    assert max(map(tasks.count, set(tasks))) < 200
+
+
 def test_rewrites_in_order():
     rows = [{"change_id": c, "head": h, "history": [h], "absorbed": None, "folded_into": None} for c, h in (("A", "1"), ("B", "2"))]
     changed, said = identity.rewrite_in_order(rows, [("1", "x"), ("2", "x"), ("9", "x"), ("x", "y")], "now")

@@ -94,11 +94,12 @@ def resolve(commits: DataFrame, change_map: DataFrame, siblings: DataFrame | Non
     folded = fold_closure(change_map)
     known = commit_to_change(change_map).join(folded, "change_id").select("sha", F.col("survivor").alias("mapped"))
     c = commits.select("sha", trailer_change_id(F.col("message")).alias("trailer")).join(known, "sha", "left")
-    c = c.join(folded.select(F.col("change_id").alias("trailer"), F.col("survivor").alias("by_trailer")), "trailer", "left")
     if siblings is None:
         c = c.withColumn("sibling", F.lit(None).cast("string"))
     else:
         c = c.join(siblings.select("sha", F.col("change_id").alias("sibling")), "sha", "left")
+    # commits without a trailer find nothing, and by keys of their own they don't meet in one task
+    c = c.withColumn("_by", F.coalesce("trailer", F.concat(F.lit("no trailer "), "sha"))).join(folded.select(F.col("change_id").alias("_by"), F.col("survivor").alias("by_trailer")), "_by", "left")
     rule = F.when(F.col("mapped").isNotNull(), "R1").when(F.col("by_trailer").isNotNull(), "R2").when(F.col("trailer").isNotNull(), "R3").when(F.col("sibling").isNotNull(), "R4").otherwise("R5")
     origin = F.when(rule.isin("R2", "R3"), "trailer-recovery").when(rule == "R4", "inferred").when(rule == "R5", "orphan-recovery")
     return c.select("sha", F.coalesce("mapped", "by_trailer", "trailer", "sibling", F.concat(F.substring(F.sha2(F.concat(F.lit("orphan"), F.col("sha")), 256), 1, 32))).alias("change_id"), rule.alias("rule"), origin.alias("origin"))
