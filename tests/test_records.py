@@ -589,6 +589,22 @@ def test_pairs_of_one_door_are_walked_once(spark, monkeypatch):
     assert walked[0].count() == 1000 and all(df.count() <= 100 for df in walked[1:]) and walked[1].count() == 10
 
 
+def test_only_what_holds_of_a_note_goes_on_to_its_change(spark, tmp_path, monkeypatch):
+    """Two changes with three notes; instants tie over notes and within one, and a line status is null."""
+    from tracewell.operators import ledger
+    from tracewell.plans.all_queries import QUERIES
+
+    spark.sql("""SELECT * FROM VALUES (1L, 7L, '1-URGENT', TIMESTAMP'1996-01-02'), (2L, 7L, '2-HIGH', TIMESTAMP'1996-01-01'), (3L, 8L, '5-LOW', TIMESTAMP'1996-01-03'), (4L, 8L, '5-LOW', TIMESTAMP'1996-01-03'), (5L, 9L, '5-LOW', TIMESTAMP'1996-01-04')
+        AS t(o_orderkey, o_custkey, o_orderpriority, o_orderdate)""").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("""SELECT k AS l_orderkey, n AS l_linenumber, p AS l_partkey, s AS l_linestatus, f AS l_returnflag, CAST(d AS DOUBLE) AS l_discount, TIMESTAMP'1996-02-01' AS l_shipdate FROM VALUES
+        (1L, 1, 10L, 'O', 'N', 0.01), (1L, 2, 10L, 'F', 'A', 0.02), (1L, 3, 9L, 'F', 'R', 0.03), (2L, 1, 30L, null, 'R', 0.09), (2L, 2, 30L, 'F', 'R', 0.04), (3L, 1, 5L, 'O', 'N', 0.01), (4L, 1, 5L, 'O', 'N', 0.06) AS t(k, n, p, s, f, d)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, keep = [], ledger.effective
+    monkeypatch.setattr(ledger, "effective", lambda e, *a: seen.append((e, a[0])) or keep(e, *a))
+    got = {r.change_id: tuple(r[c] for c in ("n_commits", "entry_summary", "kind")) for r in QUERIES["change_sections"](spark, str(tmp_path)).collect()}
+    assert got == {7: (2, "part 30", "human"), 8: (2, "part 5", "agent"), 9: (1, None, None)}
+    assert [e.count() for e, by in seen if by == "change_id"] == [4]
+
+
 # -- maps made anew
 
 
