@@ -603,6 +603,8 @@ def test_only_what_holds_of_a_note_goes_on_to_its_change(spark, tmp_path, monkey
     got = {r.change_id: tuple(r[c] for c in ("n_commits", "entry_summary", "kind")) for r in QUERIES["change_sections"](spark, str(tmp_path)).collect()}
     assert got == {7: (2, "part 30", "human"), 8: (2, "part 5", "agent"), 9: (1, None, None)}
     assert [e.count() for e, by in seen if by == "change_id"] == [4]
+    items = sorted((r.kind, r.id, r.detail) for r in QUERIES["attention_items"](spark, str(tmp_path)).collect())
+    assert items == [("inferred-provenance", "7", "part 30"), ("low-confidence", "7", "part 30"), ("no-intent", "5", "5-LOW")]
 
 
 # -- maps made anew
