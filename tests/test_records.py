@@ -605,6 +605,7 @@ def test_only_what_holds_of_a_note_goes_on_to_its_change(spark, tmp_path, monkey
     assert [e.count() for e, by in seen if by == "change_id"] == [4]
     items = sorted((r.kind, r.id, r.detail) for r in QUERIES["attention_items"](spark, str(tmp_path)).collect())
     assert items == [("inferred-provenance", "7", "part 30"), ("low-confidence", "7", "part 30"), ("no-intent", "5", "5-LOW")]
+    assert {r.kind: r.n for r in QUERIES["attention_groups"](spark, str(tmp_path)).collect()} == {"inferred-provenance": 1, "low-confidence": 1, "no-intent": 1}
 
 
 # -- maps made anew
