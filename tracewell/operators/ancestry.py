@@ -74,11 +74,20 @@ def leads_to(pairs: DataFrame, places: DataFrame, joints: DataFrame) -> DataFram
     There are as many rounds as joints on the longest of these paths.
     """
     p = pairs.select("descendant", "ancestor").distinct()
-    d, a = ([F.col("sha").alias(name), *[F.col(c).alias(f"{c}_{name[0]}") for c in columns]] for name, columns in (("descendant", ("line", "place", "at", "door")), ("ancestor", ("line", "place", "at"))))
+    return placed_lead(p.join(side(places, "descendant"), "descendant", "left").join(side(places, "ancestor"), "ancestor", "left"), joints)
+
+
+def side(places: DataFrame, name: str) -> DataFrame:
+    """Places as the `descendant` or `ancestor` of pairs."""
+    return places.select(F.col("sha").alias(name), *[F.col(c).alias(f"{c}_{name[0]}") for c in ("line", "place", "at", "door")])
+
+
+def placed_lead(pairs: DataFrame, joints: DataFrame) -> DataFrame:
+    """As leads_to, a row a pair, of pairs whose commits were joined with their `side` before they were paired, so that pairs aren't shuffled for it."""
     one_line = F.col("line_d") == F.col("line_a")
     own = F.coalesce(one_line & (F.col("place_d") >= F.col("place_a")), F.lit(False)) | F.col("descendant").eqNullSafe(F.col("ancestor"))
     far = F.coalesce((F.col("line_d") != F.col("line_a")) & (F.col("at_d") <= F.col("at_a")) & F.col("door_d").isNotNull(), F.lit(False))
-    asked = p.join(places.select(*d), "descendant", "left").join(places.select(*a), "ancestor", "left").select("descendant", "ancestor", own.alias("leads"), far.alias("far"), *[F.when(far, F.col(c)).alias(n) for c, n in (("line_d", "from_line"), ("door_d", "door"), ("line_a", "line"), ("place_a", "goal"), ("at_a", "at_a"))])
+    asked = pairs.select("descendant", "ancestor", own.alias("leads"), far.alias("far"), *[F.when(far, F.col(c)).alias(n) for c, n in (("line_d", "from_line"), ("door_d", "door"), ("line_a", "line"), ("place_a", "goal"), ("at_a", "at_a"))])
     asked = stored(asked)
     key = ["from_line", "door"]
     front = asked.where("far").groupBy(*key).agg(F.max("at_a").alias("last_at")).select(*key, F.col("from_line").alias("line"), F.col("door").alias("place"), "last_at")
