@@ -608,6 +608,20 @@ def test_only_what_holds_of_a_note_goes_on_to_its_change(spark, tmp_path, monkey
     assert {r.kind: r.n for r in QUERIES["attention_groups"](spark, str(tmp_path)).collect()} == {"inferred-provenance": 1, "low-confidence": 1, "no-intent": 1}
 
 
+def test_values_of_the_strongest_entry_are_carried_once(spark, monkeypatch):
+    """What orders the entries of notes and changes is all that is carried of them; nulls are least."""
+    from tracewell.operators import ledger
+    from tracewell.plans.all_queries import QUERIES
+
+    rows = spark.createDataFrame([(1, "b", None), (1, "b", 2), (1, None, 9), (2, None, None)], "k int, x string, y int")
+    assert sorted(map(tuple, ledger.effective(rows, "k", F.struct("x", "y")).collect())) == [(1, "b", 2), (2, None, None)]
+    seen, keep = [], ledger.effective
+    monkeypatch.setattr(ledger, "effective", lambda e, *a: seen.append(a[2:]) or keep(e, *a))
+    sizes = {r.kind: r.n for r in QUERIES["attention_groups"](spark, "/root/testdata/sf0.001").collect()}
+    items = QUERIES["attention_items"](spark, "/root/testdata/sf0.001").groupBy("kind").count().collect()
+    assert sizes == {r["kind"]: r["count"] for r in items} and seen and not any(seen)
+
+
 # -- maps made anew
 
 
