@@ -430,6 +430,23 @@ def test_toxicity_of_held_out_rows(spark):
     assert got[len(truth)].predicted == 1 and got[len(truth) + 1].predicted == 0 and got[len(truth) + 1].score == got[len(truth) + 2].score
 
 
+def test_counts_and_rows_are_handed_on_in_parts(spark, monkeypatch):
+    """Features counted in many parts give the same model; rows with their texts leave a task run by run, not a batch at a time."""
+    docs, labels, _ = toxic_tables(spark, 200)
+    whole = toxicity.train(spark, docs, labels)
+    monkeypatch.setattr(toxicity, "KEPT_FEATURES", 20)
+    parts = toxicity.train(spark, docs, labels)
+    assert parts.weights == whole.weights and (parts.slope, parts.bias) == (whole.slope, whole.bias)
+    runs = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: runs.append((f, self.toArrow().combine_chunks().to_batches()[0])))
+    for module, call in ((toxicity, lambda: toxicity.score(docs, whole, ("doc_id", "text"))), (langid, lambda: langid.predict(docs, ["en", "de"], np.zeros((langid.BUCKETS + 1, 2)), ("doc_id", "text")))):
+        monkeypatch.setattr(module, "CHUNK_CHARS", 1000)
+        call()
+        f, batch = runs.pop()
+        out = list(f(iter([batch])))
+        assert len(out) > 5 and [i for b in out for i in b.column(0).to_pylist()] == batch.column(0).to_pylist()
+
+
 def test_toxicity_of_little_data(spark):
     docs, labels, _ = toxic_tables(spark, 30)
     none = toxicity.toxicity(spark, docs, labels.limit(0)).collect()

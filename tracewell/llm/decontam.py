@@ -334,10 +334,10 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                held = np.zeros(batch.num_rows, bool)
-                for x, _, texts in text_groups(batch, CHUNK_CHARS):
-                    held[[x + d for d, *_ in matches(index, texts)]] = True
-                yield batch.filter(pa.array(~held))
+                for x, y, texts in text_groups(batch, CHUNK_CHARS):  # handed on run by run
+                    held = np.zeros(y - x, bool)
+                    held[[d for d, *_ in matches(index, texts)]] = True
+                    yield batch.slice(x, y - x).filter(pa.array(~held))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

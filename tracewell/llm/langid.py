@@ -135,12 +135,9 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, keep: tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = model.value
         for batch in batches:
-            langs, scores = [], []
-            for _, _, texts in text_groups(batch, CHUNK_CHARS):
-                lang, score = score_texts(texts, names, matrix)
-                langs += lang
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*keep, "lang_pred", "score"])
+            for a, b, texts in text_groups(batch, CHUNK_CHARS):  # handed on run by run, as kept columns can hold the whole texts
+                langs, scores = score_texts(texts, names, matrix)
+                yield pa.RecordBatch.from_arrays([*(column(batch, c)[a:b] for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 

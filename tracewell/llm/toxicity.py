@@ -16,17 +16,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import Scratch, column, in_fold, text_groups
+from .common import Scratch, column, groups, in_fold, text_groups
 from .words import hashed_words, shingle_hashes
 
 FOLD, HELD_OUT = 5, 0
@@ -36,6 +36,8 @@ TRAIN_ROWS, PREFIXES, LEAST_DOCS, MARGIN, SHRINK = 20_000, (4, 5, 6, 7), 3, 3.0,
 ALIKE = 0.8
 CHUNK_CHARS = 1_000_000
 KEPT_WORDS = 200_000
+#: Features that a task counts before it hands them to Spark, which sums them; words of texts held at a time.
+KEPT_FEATURES, CHUNK_WORDS = 60_000, 20_000
 
 #: What a digit or mark is written for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
@@ -237,6 +239,19 @@ def distinct_features(found: list[tuple[str, float, int]]) -> dict[str, float]:
     return {f: w for f, w, _ in found if f not in told}
 
 
+def word_lists(batch: pa.RecordBatch) -> Iterator[tuple[list[str], int]]:
+    """Words and label of each row. Only about `CHUNK_WORDS` words are held as Python strings at a time."""
+    words, y = column(batch, "words"), column(batch, "y")
+    for a, b in groups(pc.list_value_length(words).to_pylist(), CHUNK_WORDS):
+        yield from zip(words[a:b].to_pylist(), y[a:b].to_pylist(), strict=True)
+
+
+def feature_rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
+    """f, t and n: the features and in how many texts with the label and without it they are."""
+    t, n = np.array(list(counts.values()), np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(t), pa.array(n)], ["f", "t", "n"])
+
+
 class Model(NamedTuple):
     logp: np.ndarray
     weights: dict[str, float]
@@ -331,12 +346,15 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
         return Model(logp, {}, 0.0, math.log((bad + 0.5) / (good + 0.5)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, n = Counter(), Counter()
+        counts: dict[str, list[int]] = {}
         for batch in batches:
-            for words, label in zip(column(batch, "words").to_pylist(), column(batch, "y").to_pylist(), strict=True):
-                (t if label == 1 else n).update({f for w in words for f in features(w)})
-        keys = list(t | n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([t[k] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())], ["f", "t", "n"])
+            for words, label in word_lists(batch):
+                for f in {f for w in words for f in features(w)}:
+                    counts.setdefault(f, [0, 0])[label != 1] += 1
+                if len(counts) > KEPT_FEATURES:
+                    yield feature_rows(counts)
+                    counts = {}
+        yield feature_rows(counts)
 
     c = read_rows.select("words", "y").mapInArrow(count, "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     t, n, base = F.col("t"), F.col("n"), bad / (bad + good)
@@ -349,7 +367,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([evidence(w, weights) for w in column(batch, "words").to_pylist()], pa.float64()), column(batch, "y")], ["e", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([evidence(w, weights) for w, _ in word_lists(batch)], pa.float64()), column(batch, "y")], ["e", "y"])
 
     fit = read_rows.select("words", "y").mapInArrow(judge, "e double, y int").toPandas()  # two numbers a row of the bounded sample
     scratch.drop()
@@ -367,8 +385,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         m = shared.value
         r = Scorer(Restorer(m.logp), m.weights)
         for batch in batches:
-            s = [probability(r.evidence(t), m.slope, m.bias) for _, _, texts in text_groups(batch, CHUNK_CHARS) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], [*keep, "score", "predicted"])
+            for a, b, texts in text_groups(batch, CHUNK_CHARS):  # handed on run by run, as kept columns can hold the whole texts
+                s = [probability(r.evidence(t), m.slope, m.bias) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(column(batch, c)[a:b] for c in keep), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], [*keep, "score", "predicted"])
 
     return rows.mapInArrow(run, schema)
 
