@@ -622,6 +622,30 @@ def test_values_of_the_strongest_entry_are_carried_once(spark, monkeypatch):
     assert sizes == {r["kind"]: r["count"] for r in items} and seen and not any(seen)
 
 
+def test_attention_reads_each_table_once_and_equals_sql_on_odd_rows(spark, tmp_path):
+    """Orders twice, without a note, a customer, a subject or a key, and items without an order or values; one scan a table."""
+    import duckdb
+
+    from tracewell.plans.all_queries import ORACLES, QUERIES
+
+    spark.sql("""SELECT * FROM VALUES (1L, 7L, '1-URGENT', TIMESTAMP'1996-01-02'), (1L, 7L, '1-URGENT', TIMESTAMP'1996-01-02'), (2L, 7L, '2-HIGH', TIMESTAMP'1996-01-01'), (2L, 7L, '2-HIGH', TIMESTAMP'1996-01-01'), (2L, 8L, '2-HIGH', TIMESTAMP'1996-01-01'),
+        (3L, 8L, null, TIMESTAMP'1996-01-03'), (4L, null, '5-LOW', TIMESTAMP'1996-01-03'), (5L, null, '5-LOW', TIMESTAMP'1996-01-04'), (null, 9L, '5-LOW', TIMESTAMP'1996-01-04'), (6L, 9L, '5-LOW', TIMESTAMP'1996-01-05'), (1L, 10L, '1-URGENT', TIMESTAMP'1996-01-02')
+        AS t(o_orderkey, o_custkey, o_orderpriority, o_orderdate)""").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("""SELECT k AS l_orderkey, n AS l_linenumber, p AS l_partkey, s AS l_linestatus, f AS l_returnflag, CAST(d AS DOUBLE) AS l_discount, CAST(t AS TIMESTAMP) AS l_shipdate FROM VALUES
+        (1L, 1, 10L, 'O', 'R', 0.01, '1996-02-01'), (1L, 2, 10L, 'F', 'A', 0.09, '1996-02-01'), (1L, 3, null, 'F', 'R', 0.09, null), (4L, 1, 30L, 'F', 'R', 0.05, '1996-02-01'), (4L, 1, 30L, 'F', 'R', 0.05, '1996-02-01'), (5L, 1, 30L, 'O', 'N', 0.09, '1996-01-01'),
+        (6L, 1, 5L, 'F', null, null, '1996-02-01'), (6L, 2, 4L, 'O', 'R', 0.01, '1996-02-01'), (null, 1, 5L, 'O', 'R', 0.01, '1996-02-01'), (99L, 1, 5L, 'O', 'R', 0.01, '1996-02-01') AS t(k, n, p, s, f, d, t)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("attention_items", "attention_groups", "report_timeline"):
+        df, want = QUERIES[name](spark, str(tmp_path)), duck.execute(ORACLES[name])
+        names = [d[0] for d in want.description]
+        assert sorted(map(repr, map(tuple, df.select(names).collect()))) == sorted(map(repr, want.fetchall())), name
+    for name in ("attention_items", "attention_groups"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 2 and plan.count("Union") == 0, name
+
+
 # -- maps made anew
 
 
